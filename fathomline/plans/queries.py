@@ -631,7 +631,7 @@ def _rechunked(spark, d):
 def chunk_upsert(spark, d):
     stored, labelled = _rechunked(spark, d)
     batch = stored.join(labelled, "accession_number", "left_semi").filter(F.col("chunk_index") < 2).select(
-        *[c if c != "document" else F.upper("document").alias("document") for c in stored.columns]
+        *[c if c != "document" else F.concat(F.lit("New: "), "document").alias("document") for c in stored.columns]
     )
     return stores.upsert_chunks(stored, batch).select("chunk_id", "accession_number", "chunk_index", "document")
 
