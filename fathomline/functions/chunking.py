@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import text as tx
+from .binding import let
 
 
 def overlap_chunks(
@@ -51,12 +52,14 @@ def overlap_chunks(
 
 def fixed_groups(items: Column, size: int = 10) -> Column:
     """Consecutive groups of ``size`` items; the last one holds the remainder."""
-    n = F.ceil(F.size(items) / size).cast("int")
-    groups = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: F.slice(items, i * size + 1, size),
-    )
-    return F.filter(groups, lambda g: F.size(g) > 0)
+
+    def grouped(all_items: Column) -> Column:
+        last = F.floor((F.greatest(F.size(all_items), F.lit(1)) - 1) / size).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(all_items, i * size + 1, size)
+        )
+
+    return F.filter(let(items, grouped), lambda g: F.size(g) > 0)
 
 
 def group_text(sentences: Column) -> Column:

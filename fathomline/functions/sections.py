@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from . import text as tx
 from .. import fixed_values as fv
+from .binding import let
 
 SECTION_ARRAY = "array<struct<section:string,text:string>>"
 # Unicode-aware classes and case folding, and a dot that stops at \n only, as Python has them.
@@ -47,21 +46,27 @@ def slice_sections(
 ) -> Column:
     """Text from each header to the next; only the last section is cut at ``max_chars``."""
 
-    def cut(hit: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(positions, i + 1)["pos"], hit["pos"] + max_chars)
-        body = tx.strip(F.substring(text, hit["pos"] + 1, end - hit["pos"]))
-        return F.struct(hit["section"].alias("section"), body.alias("text"))
+    def cut(hits: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(hits, i + 1)["pos"], hit["pos"] + max_chars)
+            body = tx.strip(F.substring(text, hit["pos"] + 1, end - hit["pos"]))
+            return F.struct(hit["section"].alias("section"), body.alias("text"))
+
+        return F.filter(F.transform(hits, one), lambda s: F.length(s["text"]) > min_chars)
 
-    found = F.filter(F.transform(positions, cut), lambda s: F.length(s["text"]) > min_chars)
-    return found.cast(SECTION_ARRAY)
+    return let(positions, cut).cast(SECTION_ARRAY)
 
 
 def keep_last_per_key(found: Column) -> Column:
     """A later section replaces an earlier one of the same name (custom catalogs may repeat names)."""
-    return F.filter(
+    return let(
         found,
-        lambda s, i: ~F.exists(
-            F.slice(found, i + 2, F.size(found)), lambda later: later["section"] == s["section"]
+        lambda all_found: F.filter(
+            all_found,
+            lambda s, i: ~F.exists(
+                F.slice(all_found, i + 2, F.size(all_found)),
+                lambda later: later["section"] == s["section"],
+            ),
         ),
     )
 
@@ -85,16 +90,20 @@ def split_sections(
     What follows the last rule is not part of any section, and numbers keep their gaps.
     """
     rule = rf"(?i)<{boundary_tag}\b[^>]*>"
-    pieces = F.split(html, rule, -1)
-    ruled = F.filter(
-        F.transform(
-            F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-            lambda p: tx.strip(tx.node_text(p)),
-        ),
-        lambda p: F.length(p) > min_part_chars,
-    )
+
+    def ruled(pieces: Column) -> Column:
+        before = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.filter(
+            F.transform(before, lambda p: tx.strip(tx.node_text(p))),
+            lambda p: F.length(p) > min_part_chars,
+        )
+
     dashed = F.transform(F.split(clean, "-{10,}", -1), tx.strip)
-    parts = F.slice(F.when(F.size(pieces) >= 3, ruled).otherwise(dashed), 1, max_parts)
+    parts = F.slice(
+        let(F.split(html, rule, -1), lambda p: F.when(F.size(p) >= 3, ruled(p)).otherwise(dashed)),
+        1,
+        max_parts,
+    )
     numbered = F.transform(
         parts,
         lambda p, i: F.struct(
@@ -112,10 +121,6 @@ def full_text(clean: Column, max_chars: int = 50_000) -> Column:
     return F.array(whole).cast(SECTION_ARRAY)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def form_sections(clean: Column, form_type: Column, annual=None, quarterly=None) -> Column:
     """Sections by the catalog of the form: the quarterly one for 10-Q, else the annual one."""
 

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, functions as F
 
-from . import text as tx
 from .. import fixed_values as fv
+from .binding import let
 from .lookup import lookup
 
 SCORE = "struct<pos:double,neu:double,neg:double,compound:double>"
-_EDGE_PUNCTUATION = r"^\p{Punct}+|\p{Punct}+$"
-
-
 def override(base: dict[str, float], extra: dict[str, float]) -> dict[str, float]:
     """Base valences with domain terms laid over them."""
     return {**base, **extra}
@@ -24,10 +22,16 @@ def tokens(text: Column, keep_short: bool = False) -> Column:
 
     ``keep_short`` leaves tokens of up to two letters as written, as the rules want them.
     """
+    if not keep_short:
+        # From the first to the last character of a token that is no punctuation.
+        core = r"[^\s\p{Punct}](?:\S*[^\s\p{Punct}])?"
+        return F.regexp_extract_all(text, F.lit(core), F.lit(0))
 
     def bare(w: Column) -> Column:
-        inner = F.regexp_replace(w, _EDGE_PUNCTUATION, "")
-        return F.when(F.length(inner) <= 2, w).otherwise(inner) if keep_short else inner
+        return let(
+            F.btrim(w, F.lit(string.punctuation)),
+            lambda inner: F.when(F.length(inner) <= 2, w).otherwise(inner),
+        )
 
     words = F.split(text, r"\s+", -1)
     return F.filter(F.transform(words, bare), lambda w: F.length(w) > 0)
@@ -49,27 +53,32 @@ def _compound(total: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
 
 
-def _sum(values: Column, term) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + term(v))
-
-
 def score_parts(valences: Column, emphasis: Column, digits: tuple[int, int]) -> Column:
     """Scores from token valences; ``emphasis`` strengthens the side that leads."""
-    total = _sum(valences, lambda v: v)
-    pos = _sum(valences, lambda v: F.when(v > 0, v + 1).otherwise(0.0))
-    neg = _sum(valences, lambda v: F.when(v < 0, 1 - v).otherwise(0.0))
-    neu = _sum(valences, lambda v: F.when(v == 0, 1.0).otherwise(0.0))
-    strong = total + F.signum(total) * emphasis
-    pos_e = pos + F.when(pos > neg, emphasis).otherwise(0.0)
-    neg_e = neg + F.when(neg > pos, emphasis).otherwise(0.0)
-    mass = pos_e + neg_e + neu
     part, whole = digits
-    return F.struct(
-        F.round(F.try_divide(pos_e, mass), part).alias("pos"),
-        F.round(F.try_divide(neu, mass), part).alias("neu"),
-        F.round(F.try_divide(neg_e, mass), part).alias("neg"),
-        F.round(_compound(strong), whole).alias("compound"),
-    ).cast(SCORE)
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("total", "pos", "neg", "neu")])
+
+    def add(acc: Column, v: Column) -> Column:
+        return F.struct(
+            (acc["total"] + v).alias("total"),
+            (acc["pos"] + F.when(v > 0, v + 1).otherwise(0.0)).alias("pos"),
+            (acc["neg"] + F.when(v < 0, 1 - v).otherwise(0.0)).alias("neg"),
+            (acc["neu"] + F.when(v == 0, 1.0).otherwise(0.0)).alias("neu"),
+        )
+
+    def finish(acc: Column) -> Column:
+        strong = acc["total"] + F.signum(acc["total"]) * emphasis
+        pos = acc["pos"] + F.when(acc["pos"] > acc["neg"], emphasis).otherwise(0.0)
+        neg = acc["neg"] + F.when(acc["neg"] > acc["pos"], emphasis).otherwise(0.0)
+        mass = pos + neg + acc["neu"]
+        return F.struct(
+            F.round(F.try_divide(pos, mass), part).alias("pos"),
+            F.round(F.try_divide(acc["neu"], mass), part).alias("neu"),
+            F.round(F.try_divide(neg, mass), part).alias("neg"),
+            F.round(_compound(strong), whole).alias("compound"),
+        )
+
+    return F.aggregate(valences, zero, add, finish).cast(SCORE)
 
 
 def _blank() -> Column:
@@ -86,52 +95,60 @@ def plain_valences(words: Column, lexicon: dict[str, float]) -> Column:
 def rule_valences(words: Column, lexicon: dict[str, float]) -> Column:
     """Valences adjusted for capitals, degree words, negation and a contrasting "but"."""
     degree = {w: fv.DEGREE_STEP for w in fv.INTENSIFIERS} | {w: -fv.DEGREE_STEP for w in fv.DAMPENERS}
-    negations = {w: 1.0 for w in fv.NEGATIONS}
-    low = F.transform(words, F.lower)
-    capital = F.transform(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w))
-    mixed = F.exists(capital, lambda c: c) & F.exists(capital, lambda c: ~c)
-    # One record per token: everything the rules look at, computed once.
-    facts = F.transform(
-        words,
-        lambda w: F.struct(
-            lookup(F.lower(w), lexicon).alias("v"),
-            F.coalesce(lookup(F.lower(w), degree), F.lit(0.0)).alias("deg"),
-            (
-                lookup(F.replace(F.lower(w), F.lit("'"), F.lit("")), negations).isNotNull()
-                | F.endswith(F.lower(w), F.lit("n't"))
-            ).alias("neg"),
-            ((F.upper(w) == w) & (F.lower(w) != w)).alias("cap"),
-        ),
-    )
-
-    def adjusted(all_facts: Column, is_mixed: Column) -> Column:
+    roles = {
+        w: {"v": lexicon.get(w), "deg": degree.get(w, 0.0), "neg": w in fv.NEGATIONS}
+        for w in {*lexicon, *degree, *fv.NEGATIONS}
+    }
+
+    def fact(w: Column) -> Column:
+        """What the rules need to know about a token, from a single lookup."""
+        return let(
+            lookup(F.lower(w), roles, "struct<v:double,deg:double,neg:boolean>"),
+            lambda role: F.struct(
+                role["v"].alias("v"),
+                F.coalesce(role["deg"], F.lit(0.0)).alias("deg"),
+                (F.coalesce(role["neg"], F.lit(False)) | F.endswith(F.lower(w), F.lit("n't"))).alias("neg"),
+                ((F.upper(w) == w) & (F.lower(w) != w)).alias("cap"),
+                (F.lower(w) == "but").alias("but"),
+            ),
+        )
+
+    def adjusted(facts: Column, mixed: Column, but: Column) -> Column:
         def one(f: Column, i: Column) -> Column:
-            v = f["v"] + F.when(is_mixed & f["cap"], F.signum(f["v"]) * fv.CAPS_STEP).otherwise(0.0)
-            for back, damp in enumerate(fv.DISTANCE_DAMPING, start=1):
-                prev = F.when(i >= back, F.get(all_facts, i - back))
-                plain = prev["v"].isNull()
-                loud = is_mixed & prev["cap"] & (prev["deg"] != 0)
-                step = prev["deg"] + F.when(loud, fv.CAPS_STEP).otherwise(0.0)
-                v = v + F.when(plain, F.coalesce(step, F.lit(0.0)) * F.signum(v) * damp).otherwise(0.0)
-                v = v * F.when(plain & F.coalesce(prev["neg"], F.lit(False)),
-                               F.lit(fv.NEGATION_FACTOR)).otherwise(1.0)
-            return F.when(f["v"].isNull() | (f["deg"] != 0), F.lit(0.0)).otherwise(v)
-
-        return F.transform(all_facts, one)
-
-    # Wrapping in a one-element array binds the facts once for all tokens.
-    bound = F.transform(
-        F.array(F.struct(facts.alias("facts"), mixed.alias("mixed"),
-                         F.array_position(low, F.lit("but")).cast("int").alias("but"))),
-        lambda b: F.transform(
-            adjusted(b["facts"], b["mixed"]),
-            lambda v, i: v * F.when(b["but"] == 0, F.lit(1.0))
-            .when(i + 1 < b["but"], F.lit(fv.BUT_BEFORE))
-            .when(i + 1 > b["but"], F.lit(fv.BUT_AFTER))
-            .otherwise(F.lit(1.0)),
-        ),
-    )
-    return bound[0]
+            loud = F.when(mixed & f["cap"], F.signum(f["v"]) * fv.CAPS_STEP).otherwise(0.0)
+            before = F.array(
+                *[
+                    F.struct(F.when(i >= back, F.get(facts, i - back)).alias("f"), F.lit(damp).alias("damp"))
+                    for back, damp in enumerate(fv.DISTANCE_DAMPING, start=1)
+                ]
+            )
+
+            def step(v: Column, prev: Column) -> Column:
+                p = prev["f"]
+                caps = F.when(mixed & p["cap"] & (p["deg"] != 0), fv.CAPS_STEP).otherwise(0.0)
+                moved = v + (p["deg"] + caps) * F.signum(v) * prev["damp"]
+                # A word with a valence of its own neither strengthens nor negates.
+                return F.when(p.isNull() | p["v"].isNotNull(), v).when(
+                    p["neg"], moved * fv.NEGATION_FACTOR
+                ).otherwise(moved)
+
+            side = F.when(but == 0, 1.0).when(i + 1 < but, fv.BUT_BEFORE).when(
+                i + 1 > but, fv.BUT_AFTER
+            ).otherwise(1.0)
+            own = F.aggregate(before, f["v"] + loud, step)
+            return F.when(f["v"].isNull() | (f["deg"] != 0), F.lit(0.0)).otherwise(own * side)
+
+        return F.transform(facts, one)
+
+    def ruled(facts: Column) -> Column:
+        mixed = F.exists(facts, lambda f: f["cap"]) & F.exists(facts, lambda f: ~f["cap"])
+        but = F.array_position(F.transform(facts, lambda f: f["but"]), F.lit(True)).cast("int")
+        return let(
+            F.struct(mixed.alias("mixed"), but.alias("but")),
+            lambda t: adjusted(facts, t["mixed"], t["but"]),
+        )
+
+    return let(F.transform(words, fact), ruled)
 
 
 def punctuation_emphasis(text: Column) -> Column:
@@ -160,10 +177,6 @@ def score(
     words = tokens(head, keep_short=rules)
     valences = rule_valences(words, lexicon) if rules else plain_valences(words, lexicon)
     emphasis = punctuation_emphasis(head) if rules else F.lit(0.0)
-    # Bind valences once; the sums below would otherwise each recompute them.
-    scored = F.transform(
-        F.array(F.struct(valences.alias("v"), emphasis.alias("e"))),
-        lambda b: score_parts(b["v"], b["e"], digits),
-    )[0]
-    blank = text.isNull() | (F.length(tx.strip(text)) == 0)
+    scored = let(emphasis, lambda e: score_parts(valences, e, digits))
+    blank = text.isNull() | ~F.rlike(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
     return F.when(blank, _blank()).otherwise(F.coalesce(scored, _blank()))

@@ -6,6 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .lookup import lookup
 
 # (?U) makes \s cover every Unicode space; the control range is what str.strip() adds to it.
@@ -75,16 +76,23 @@ def decode_entities(text: Column) -> Column:
             (F.length(ref) > 0) & char.isNotNull(), F.concat(char, rest)
         ).otherwise(F.concat(F.lit("&"), piece))
 
-    # The most frequent references go first as plain replacements; none of them yields an "&".
-    plain = text
-    for ref, char in {"&nbsp;": "\u00a0", "&#160;": "\u00a0", "&#8217;": "\u2019",
-                      "&lt;": "<", "&gt;": ">", "&quot;": '"'}.items():
-        plain = F.replace(plain, F.lit(ref), F.lit(char))
-    pieces = F.split(plain, "&", -1)
-    joined = F.concat(
-        pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), "")
+    def frequent(plain: Column) -> Column:
+        # The most frequent references go first as plain replacements; none of them yields an "&".
+        for ref, char in {"&nbsp;": "\u00a0", "&#160;": "\u00a0", "&#8217;": "\u2019",
+                          "&lt;": "<", "&gt;": ">", "&quot;": '"'}.items():
+            plain = F.replace(plain, F.lit(ref), F.lit(char))
+        return plain
+
+    def rebuilt(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, 2, F.size(pieces)), decoded)
+        return F.concat(pieces[0], F.array_join(rest, ""))
+
+    return let(
+        text,
+        lambda t: F.when(
+            F.contains(t, F.lit("&")), let(F.split(frequent(t), "&", -1), rebuilt)
+        ).otherwise(t),
     )
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def node_text(html: Column, drop: tuple[str, ...] = ("script", "style")) -> Column:

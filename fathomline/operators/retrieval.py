@@ -6,18 +6,21 @@ the candidate vectors, so only k rows per question and task are shuffled, never
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import fixed_values as fv
 from ..functions import text as tx, vectors as vx
+from ..functions.binding import let
 
 # A block of question vectors that travels to every task stays under this size.
 BLOCK_BYTES = 32 << 20
@@ -66,6 +69,9 @@ def _kernel(ids_q, matrix, k, cosine, digits, allowed, schema):
         dim = matrix.shape[1]
         best: list[list[tuple]] = [[] for _ in ids_q]
         for batch in batches:
+            # Vectors of another length, or none, cannot be scored. This is checked here and
+            # not as a filter: pushed below the encoder, a filter would encode twice.
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False))
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_pylist()
@@ -142,7 +148,7 @@ def exact_topk(
 
     arrow = to_arrow_schema(out_type)
     columns = [cand_id, F.col(cand_vec).cast("array<float>").alias("_v"), *[c for _, c in filters]]
-    scan = candidates.filter(F.size(cand_vec) == dim).select(*columns)
+    scan = candidates.select(*columns)
     usable = queries.filter(F.size(query_vec) == dim).select(
         query_id, F.col(query_vec).cast("array<double>").alias("_q"), *[q for q, _ in filters]
     )
@@ -237,12 +243,27 @@ def nearest(
     )
 
 
+# Projections that must agree for two vectors to share a bucket of a hash table.
+PROJECTIONS_PER_TABLE = 4
+
+
 def fit_lsh(
-    vectors: DataFrame, vec: str = "embedding", bucket_length: float = 0.5, tables: int = 8, seed: int = 42
+    vectors: DataFrame,
+    vec: str = "embedding",
+    bucket_length: float | None = None,
+    tables: int = 8,
+    seed: int = 42,
 ) -> BucketedRandomProjectionLSHModel:
-    """Random projections of unit vectors; fitting only needs the dimension."""
+    """Random projections of unit vectors; fitting only needs the dimension.
+
+    Projections of unit vectors spread by about one over the root of the dimension, and
+    buckets are twice that wide if ``bucket_length`` does not say otherwise.
+    """
+    if bucket_length is None:
+        bucket_length = 2.0 / math.sqrt(vectors.select(F.size(vec).alias("d")).first()["d"])
     lsh = BucketedRandomProjectionLSH(
-        inputCol="_lsh_in", outputCol="_lsh_out", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="_lsh_in", outputCol="_lsh_out", bucketLength=bucket_length,
+        numHashTables=tables * PROJECTIONS_PER_TABLE, seed=seed,
     )
     return lsh.fit(vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("_lsh_in")))
 
@@ -252,8 +273,14 @@ def with_buckets(df: DataFrame, model: BucketedRandomProjectionLSHModel, vec: st
     hashed = model.transform(
         df.withColumn("_lsh_in", array_to_vector(F.col(vec).cast("array<double>")))
     )
-    numbers = F.transform("_lsh_out", lambda h: vector_to_array(h)[0].cast("int"))
-    return hashed.withColumn("buckets", numbers).drop("_lsh_in", "_lsh_out")
+    m, tables = PROJECTIONS_PER_TABLE, model.getNumHashTables() // PROJECTIONS_PER_TABLE
+    keys = let(
+        F.transform("_lsh_out", lambda h: vector_to_array(h)[0].cast("int")),
+        lambda numbers: F.transform(
+            F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.xxhash64(F.slice(numbers, i * m + 1, m))
+        ),
+    )
+    return hashed.withColumn("buckets", keys).drop("_lsh_in", "_lsh_out")
 
 
 def lsh_topk(
@@ -273,11 +300,11 @@ def lsh_topk(
     that meets in several tables is kept in the first of them, without a distinct.
     """
     q = with_buckets(queries, model, vec).select(
-        query_id, F.col(vec).alias("_q"), F.col("buckets").alias("_qb"), F.posexplode("buckets").alias("_t", "_b")
+        query_id, F.col(vec).alias("_q"), F.col("buckets").alias("_qb"), F.posexplode(F.slice("buckets", 1, 1 << 10)).alias("_t", "_b")
     )
     n = queries.count()
     c = (candidates if "buckets" in candidates.columns else with_buckets(candidates, model, vec)).select(
-        cand_id, F.col(vec).alias("_c"), F.col("buckets").alias("_cb"), F.posexplode("buckets").alias("_t", "_b")
+        cand_id, F.col(vec).alias("_c"), F.col("buckets").alias("_cb"), F.posexplode(F.slice("buckets", 1, 1 << 10)).alias("_t", "_b")
     )
     side = F.broadcast(q) if n * model.getNumHashTables() <= BROADCAST_ROWS else q
     first_table = F.array_position(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as fv
+from ..functions.binding import let
 from ..functions.lookup import lookup
 from ..session import cut_lineage
 
@@ -27,19 +28,14 @@ def terms(text: Column, stop_words: list[str]) -> Column:
     kept = _without(
         F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), stop_words
     )
-    # The words are bound once; pairs zip them with themselves, shifted by one.
-    return F.transform(
-        F.array(kept),
-        lambda ws: F.concat(
-            ws,
-            F.filter(
-                F.zip_with(
-                    ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))
-                ),
-                lambda pair: pair.isNotNull(),
-            ),
-        ),
-    )[0]
+
+
+    def with_pairs(ws: Column) -> Column:
+        shifted = F.slice(ws, 2, F.size(ws))
+        pairs = F.zip_with(ws, shifted, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+        return F.concat(ws, F.filter(pairs, lambda pair: pair.isNotNull()))
+
+    return let(kept, with_pairs)
 
 
 def english_stop_words(extra: list[str] = fv.FILING_STOP_WORDS) -> list[str]:
@@ -61,19 +57,34 @@ def tfidf_table(
     at most ``max_features`` terms, so it is broadcast and all other terms never leave the task.
     """
     stops = english_stop_words() if stop_words is None else stop_words
-    counted = (
-        docs.select(F.col(doc_id), F.explode(terms(F.col(text), stops)).alias("term"))
-        .groupBy(doc_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    found = terms(F.col(text), stops)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    stats = counted.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")
-    ).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    # First pass: totals per term only, combined before the shuffle. Each document gives
+    # every occurrence once for the total and every distinct term once for the df.
+    marks = let(
+        found,
+        lambda ts: F.concat(
+            F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"))),
+            F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"))),
+        ),
+    )
+    stats = (
+        docs.select(F.inline(marks))
+        .groupBy("term")
+        .agg(F.sum("doc").alias("df"), F.sum(1 - F.col("doc")).alias("total"))
+        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    )
     vocabulary = stats.orderBy(F.desc("total"), "term").limit(max_features).select(
         "term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    raw = counted.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # Second pass: only terms of the vocabulary are counted per document and shuffled.
+    raw = (
+        docs.select(F.col(doc_id), F.explode(found).alias("term"))
+        .join(F.broadcast(vocabulary), "term")
+        .groupBy(doc_id, "term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+        .withColumn("w", F.col("tf") * F.col("idf"))
+    )
     per_doc = Window.partitionBy(doc_id)
     return raw.select(
         doc_id, "term", "tf", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc))).alias("weight")
@@ -145,31 +156,27 @@ def fit_topics(
     """TF-IDF and LDA over a corpus.
 
     Every pass uses all documents and replaces the topics fully (no decaying average), which
-    is batch variational inference. Features are written to the checkpoint folder once,
-    because the fit reads them on every pass.
+    is batch variational inference. Term counts are written to the checkpoint folder once,
+    because the fit reads them on every pass; texts are only read to count terms.
     """
     stops = english_stop_words() if stop_words is None else stop_words
     prepared = docs.select(terms(F.col(text), stops).alias("_terms"))
-    pipeline = Pipeline(
-        stages=[
-            CountVectorizer(
-                inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df), maxDF=max_df
-            ),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="features"),
-        ]
-    )
-    fitted = pipeline.fit(prepared)
-    features = cut_lineage(fitted.transform(prepared).select("features"))
-    if features.isEmpty():
+    counter = CountVectorizer(
+        inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df), maxDF=max_df
+    ).fit(prepared)
+    counts = cut_lineage(counter.transform(prepared).select("_tf"))
+    if counts.isEmpty():
         raise ValueError("no documents to fit topics on")
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts)
+    unit = Normalizer(inputCol="_tfidf", outputCol="features")
+    features = unit.transform(idf.transform(counts)).select("features")
     lda = LDA(
         k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
         learningOffset=1.0, learningDecay=1e-9, optimizeDocConcentration=False,
     )
     model = lda.fit(features)
     return TopicModel(
-        fitted, model, list(fitted.stages[0].vocabulary), stops, text,
+        PipelineModel([counter, idf, unit]), model, list(counter.vocabulary), stops, text,
         model.logPerplexity(features) if perplexity else None,
     )
 

@@ -17,7 +17,7 @@ from ..operators import (
     asof, correlation, documents as docs, embedding, filings as fl, profile, retrieval as rt,
     sentiment as sent, series as se, stores, topics,
 )
-from ..sources.tables import table
+from ..sources.tables import table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -113,7 +113,7 @@ def merged_orders(spark: SparkSession, d: str) -> DataFrame:
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Passages of the documents as a chunk store without vectors."""
     passages = docs.over_min_tokens(
-        docs.page_chunks(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+        docs.page_chunks(text_table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
     )
     ticker, accession = F.upper("source"), F.col("doc_id").cast("string")
     return passages.select(
@@ -164,7 +164,7 @@ def bounded_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_filings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(
+    return text_table(spark, d, "pages").select(
         F.col("page_id").cast("string").alias("accession_number"),
         F.when(F.contains("url", F.lit("/en")), "10-K").otherwise("10-Q").alias("form_type"),
         "html",
@@ -179,7 +179,7 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(
+    rows = text_table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("accession_number"), F.upper("source").alias("ticker"), "text"
     )
     return docs.catalog_sections(rows, DOC_CATALOG)
@@ -314,7 +314,7 @@ def corr_significance(spark, d):
 @query
 def sentiment_macro_study(spark, d):
     scores = sent.score_texts(
-        table(spark, d, "documents").select("doc_id", "text"), lexicon=DEMO_LEXICON, rules=False,
+        text_table(spark, d, "documents").select("doc_id", "text"), lexicon=DEMO_LEXICON, rules=False,
         max_chars=None, digits=(6, 6),
     ).drop("text")
     dates = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("filing_date"))
@@ -328,7 +328,7 @@ def sentiment_macro_study(spark, d):
 @query
 def page_stats(spark, d):
     return docs.page_stats(
-        table(spark, d, "documents").select(F.col("doc_id").alias("page_number"), "text")
+        text_table(spark, d, "documents").select(F.col("doc_id").alias("page_number"), "text")
     )
 
 
@@ -342,12 +342,12 @@ def text_profile(spark, d):
 
 @query
 def sentences(spark, d):
-    return docs.sentence_rows(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.sentence_rows(text_table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query
 def fixed_chunks(spark, d):
-    return docs.page_chunks(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.page_chunks(text_table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query
@@ -362,13 +362,13 @@ def chunk_under_min_tokens(spark, d):
 
 @query
 def overlap_chunks(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text")
+    rows = text_table(spark, d, "documents").select("doc_id", "text")
     return rows.select("doc_id", F.posexplode(docs.ch.overlap_chunks(F.col("text"))).alias("chunk_index", "document"))
 
 
 @query
 def chunk_records(spark, d):
-    rows = table(spark, d, "documents").select(
+    rows = text_table(spark, d, "documents").select(
         F.col("source").alias("ticker"),
         F.col("doc_id").cast("string").alias("accession_number"),
         F.col("lang").alias("section"),
@@ -379,13 +379,13 @@ def chunk_records(spark, d):
 
 @query
 def html_text(spark, d):
-    return docs.clean_documents(table(spark, d, "pages").select("page_id", "html")).drop("html")
+    return docs.clean_documents(text_table(spark, d, "pages").select("page_id", "html")).drop("html")
 
 
 @query
 def text_cuts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         "doc_id", tx.snippet(t, 400).alias("snippet"), tx.ellipsis(t, 120).alias("title"),
         F.length(tx.snippet(t, 10_000)).alias("scored_chars"),
     )
@@ -412,7 +412,7 @@ def ingest_counts(spark, d):
 
 @query
 def link_ranking(spark, d):
-    pages = table(spark, d, "pages").select(
+    pages = text_table(spark, d, "pages").select(
         F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("accession_number"), "page_id", "url", "html"
     )
     href = fl.best_link(F.col("html"), F.col("accession_number"), LINK_SUFFIXES)
@@ -421,7 +421,7 @@ def link_ranking(spark, d):
 
 @query
 def resolved_documents(spark, d):
-    pages = table(spark, d, "pages")
+    pages = text_table(spark, d, "pages")
     filings = pages.select(
         F.col("page_id").cast("string").alias("accession_number"), F.col("url").alias("document_url")
     )
@@ -481,8 +481,8 @@ def skip_existing(spark, d):
 
 @query
 def embed_texts(spark, d):
-    vectors = embedding.hashed_embedding(table(spark, d, "documents").select("doc_id", "text"), "text", DIM)
-    return vectors.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).filter(
+    vectors = embedding.hashed_embedding(text_table(spark, d, "documents").select("doc_id", "text"), "text", DIM)
+    return vectors.select("doc_id", F.posexplode(F.slice("embedding", 1, DIM)).alias("slot", "weight")).filter(
         F.col("weight") > 0
     ).select("doc_id", "slot", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
@@ -586,7 +586,7 @@ def citations(spark, d):
 
 @query
 def lexicon_sentiment(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang", "text")
+    rows = text_table(spark, d, "documents").select("doc_id", "lang", "text")
     return sent.score_texts(rows, lexicon=DEMO_LEXICON, rules=False, max_chars=None, digits=(6, 6)).drop("text")
 
 
@@ -600,7 +600,7 @@ def section_sentiment(spark, d):
 
 @query
 def rule_sentiment(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text")
+    rows = text_table(spark, d, "documents").select("doc_id", "text")
     return sent.score_texts(rows, lexicon=DEMO_LEXICON, max_chars=None).drop("text")
 
 
@@ -609,7 +609,7 @@ def rule_sentiment(spark, d):
 
 @query
 def sentiment_upsert(spark, d):
-    existing = table(spark, d, "documents").select(
+    existing = text_table(spark, d, "documents").select(
         F.col("doc_id").alias("accession_number"), F.lit("body").alias("section"),
         F.col("n_chars").cast("double").alias("compound"), F.lit("old").alias("origin"),
     )
@@ -678,12 +678,12 @@ def section_reader(spark, d):
 
 @query
 def tfidf(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text")
+    rows = text_table(spark, d, "documents").select("doc_id", "text")
     return rounded(topics.tfidf_table(rows, "doc_id", stop_words=fv.FILING_STOP_WORDS), "weight")
 
 
 def _fitted(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang", "text")
+    rows = text_table(spark, d, "documents").select("doc_id", "lang", "text")
     return topics.fit_topics(rows), rows
 
 

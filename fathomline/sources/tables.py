@@ -12,6 +12,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Deal a small table out over all cores before costly row-local work.
+
+    A file with one row group is one task. The shuffle is only made where the table has
+    fewer files than there are cores and is too small to fill them with full-size splits;
+    a large table is left as it is scanned.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    small = size < cores * split and len(df.inputFiles()) < cores
+    return df.repartition(cores) if small else df
+
+
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(table(spark, folder, name), f"{folder}/{name}.parquet")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
