@@ -12,7 +12,7 @@ def pearson(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def pair_count(x: Column, y: Column) -> Column:

@@ -18,9 +18,9 @@ def hashed_embedding(
     A word's slot comes from its md5. With ``idf`` words are weighted by rarity over ``df``,
     which adds one pass over it.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     slots = F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % dim).cast("string")
+        F.filter(words, lambda w: F.length(w) > 0), lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % dim).cast("string")
     )
     hashed = df.withColumn("_slots", slots)
     counter = CountVectorizerModel.from_vocabulary(

@@ -18,12 +18,14 @@ def pad_cik(cik: Column) -> Column:
 
 
 def resolve_tickers(
-    requested: DataFrame, ticker_map: DataFrame, pos: str = "cik_str"
+    requested: DataFrame, ticker_map: DataFrame, pos: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(found, rejected): tickers with their padded CIK, and those the map does not have.
 
-    Of several entries with one ticker the first by ``pos`` wins.
+    Of several entries with one ticker the first by ``pos`` wins: the column of that name
+    in the map, or the CIK where there is none.
     """
+    pos = pos or ("pos" if "pos" in ticker_map.columns else "cik_str")
     first = ticker_map.groupBy(F.upper("ticker").alias("ticker")).agg(
         F.min_by(F.struct("cik_str", "title"), pos).alias("e")
     )
@@ -77,10 +79,10 @@ def filing_index(submissions: DataFrame, form_type: str = "10-K", limit: int = 5
             recent["form"], recent["accessionNumber"], recent["filingDate"], recent["primaryDocument"]
         ),
         lambda f: F.struct(
-            f["0"].alias("form_type"),
-            f["1"].alias("accession_number"),
-            f["2"].alias("filing_date"),
-            f["3"].alias("primary_document"),
+            f["form"].alias("form_type"),
+            f["accessionNumber"].alias("accession_number"),
+            f["filingDate"].alias("filing_date"),
+            f["primaryDocument"].alias("primary_document"),
         ),
     )
     chosen = F.slice(F.filter(zipped, lambda f: f["form_type"] == form_type), 1, limit)

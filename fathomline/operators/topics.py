@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,79 +16,91 @@ from ..functions.lookup import lookup
 from ..session import cut_lineage
 
 
-def _without(found: Column, stop_words: list[str]) -> Column:
-    if not stop_words:
-        return found
+def words(text: Column, stop_words: list[str]) -> Column:
+    """Lower-case words of two letters or more, without stop words."""
     stops = {w: 1.0 for w in stop_words}
-    return F.filter(found, lambda w: lookup(w, stops).isNull())
+    found = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    keep = lambda w: F.length(w) >= 2
+    if not stops:
+        return F.filter(found, keep)
+    return F.filter(found, lambda w: keep(w) & lookup(w, stops).isNull())
 
 
 def terms(text: Column, stop_words: list[str]) -> Column:
     """Words and pairs of neighbouring words; stop words are gone before pairs are formed."""
-    kept = _without(
-        F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), stop_words
-    )
-
 
     def with_pairs(ws: Column) -> Column:
         shifted = F.slice(ws, 2, F.size(ws))
         pairs = F.zip_with(ws, shifted, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
         return F.concat(ws, F.filter(pairs, lambda pair: pair.isNotNull()))
 
-    return let(kept, with_pairs)
+    return let(words(text, stop_words), with_pairs)
 
 
 def english_stop_words(extra: list[str] = fv.FILING_STOP_WORDS) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english") + list(extra)
 
 
-def tfidf_table(
+def vocabulary(
     docs: DataFrame,
-    doc_id: str,
-    text: str = "text",
-    stop_words: list[str] | None = None,
+    text: str,
+    stop_words: list[str],
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.9,
 ) -> DataFrame:
-    """(doc, term, tf, weight): smooth idf, unit length per document.
+    """(term, df, total): the most frequent terms that occur in enough but not too many documents.
 
-    Weight is tf * (ln((1 + n) / (1 + df)) + 1) over the document's norm. The vocabulary is
-    at most ``max_features`` terms, so it is broadcast and all other terms never leave the task.
+    Only totals per term are shuffled, combined in each task first. A document gives every
+    occurrence of a term once for ``total`` and every distinct term once for ``df``.
     """
-    stops = english_stop_words() if stop_words is None else stop_words
-    found = terms(F.col(text), stops)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    # First pass: totals per term only, combined before the shuffle. Each document gives
-    # every occurrence once for the total and every distinct term once for the df.
     marks = let(
-        found,
+        terms(F.col(text), stop_words),
         lambda ts: F.concat(
             F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"))),
             F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"))),
         ),
     )
-    stats = (
+    return (
         docs.select(F.inline(marks))
         .groupBy("term")
         .agg(F.sum("doc").alias("df"), F.sum(1 - F.col("doc")).alias("total"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+        .orderBy(F.desc("total"), "term")
+        .limit(max_features)
     )
-    vocabulary = stats.orderBy(F.desc("total"), "term").limit(max_features).select(
+
+
+def tfidf_table(
+    docs: DataFrame,
+    doc_id: str,
+    text: str = "text",
+    stop_words: list[str] | None = None,
+    max_features: int = 5000,
+    min_df: int = 2,
+    max_df: float = 0.9,
+) -> DataFrame:
+    """(doc, term, tf, weight): smooth idf, unit length per document.
+
+    Weight is tf * (ln((1 + n) / (1 + df)) + 1) over the document's norm. The vocabulary is
+    at most ``max_features`` rows and is broadcast, so only its terms are counted per
+    document and shuffled.
+    """
+    stops = english_stop_words() if stop_words is None else stop_words
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    vocab = vocabulary(docs, text, stops, max_features, min_df, max_df).select(
         "term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    # Second pass: only terms of the vocabulary are counted per document and shuffled.
     raw = (
-        docs.select(F.col(doc_id), F.explode(found).alias("term"))
-        .join(F.broadcast(vocabulary), "term")
+        docs.select(F.col(doc_id), F.explode(terms(F.col(text), stops)).alias("term"))
+        .join(F.broadcast(vocab), "term")
         .groupBy(doc_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
         .withColumn("w", F.col("tf") * F.col("idf"))
     )
-    per_doc = Window.partitionBy(doc_id)
-    return raw.select(
-        doc_id, "term", "tf", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc))).alias("weight")
-    )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
+    return raw.select(doc_id, "term", "tf", (F.col("w") / norm).alias("weight"))
 
 
 @dataclass
@@ -161,12 +173,12 @@ def fit_topics(
     """
     stops = english_stop_words() if stop_words is None else stop_words
     prepared = docs.select(terms(F.col(text), stops).alias("_terms"))
-    counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df), maxDF=max_df
-    ).fit(prepared)
+    # At most ``max_features`` rows come to the driver.
+    vocab = [r["term"] for r in vocabulary(docs, text, stops, max_features, min_df, max_df).collect()]
+    if not vocab:
+        raise ValueError("no terms to fit topics on")
+    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_tf")
     counts = cut_lineage(counter.transform(prepared).select("_tf"))
-    if counts.isEmpty():
-        raise ValueError("no documents to fit topics on")
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts)
     unit = Normalizer(inputCol="_tfidf", outputCol="features")
     features = unit.transform(idf.transform(counts)).select("features")
@@ -176,7 +188,7 @@ def fit_topics(
     )
     model = lda.fit(features)
     return TopicModel(
-        PipelineModel([counter, idf, unit]), model, list(counter.vocabulary), stops, text,
+        PipelineModel([counter, idf, unit]), model, vocab, stops, text,
         model.logPerplexity(features) if perplexity else None,
     )
 
