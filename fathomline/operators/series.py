@@ -28,12 +28,20 @@ def observations(df: DataFrame, start: str = "2000-01-01", end: str | None = Non
 def monthly_last(obs: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """Last non-null value of each (series, month); months that hold only nulls stay as null.
 
-    ``tie_break`` columns decide among readings of one date.
+    A series has one reading per date, or ``tie_break`` columns say which one is last. Ties
+    are settled per date first: orders of plain types then keep both steps hash aggregates,
+    where one order of (date, tie) pairs would sort all raw rows.
     """
     value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
-    order = F.struct("obs_date", *tie_break, value.alias("_v"))
-    return obs.groupBy("series_id", F.last_day("obs_date").alias("month")).agg(
-        F.max_by(value, F.when(value.isNotNull(), order)).alias("value")
+    rows = obs.select("series_id", "obs_date", *tie_break, value.alias("value"))
+    present = F.col("value").isNotNull()
+    if tie_break:
+        order = F.col(tie_break[0]) if len(tie_break) == 1 else F.struct(*tie_break)
+        rows = rows.groupBy("series_id", "obs_date").agg(
+            F.max_by("value", F.when(present, order)).alias("value")
+        )
+    return rows.groupBy("series_id", F.last_day("obs_date").alias("month")).agg(
+        F.max_by("value", F.when(present, F.col("obs_date"))).alias("value")
     )
 
 

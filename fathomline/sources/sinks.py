@@ -33,10 +33,10 @@ def write_vectors_csv(df: DataFrame, path: str, vec: str = "embedding") -> None:
 class UpsertTable:
     """A Parquet table with one row per key, cut into slots by a hash of ``slot_by``.
 
-    An upsert reads and rewrites only the slots its batch falls into. The new slots are
-    first written aside and then moved over the old ones by a dynamic partition overwrite,
-    so no path is read and overwritten in one job, and a broken second step can be repeated
-    from the staged copy.
+    An upsert reads and rewrites only the slots its batch falls into. The batch and then the
+    merged slots are written aside, and the merge replaces the old slots by a dynamic
+    partition overwrite: no path is read and overwritten in one job, and a broken last step
+    can be repeated from the staged copy.
     """
 
     def __init__(
@@ -68,29 +68,33 @@ class UpsertTable:
         replace_filing: bool = False,
     ) -> None:
         """Batch rows win over stored ones. ``replace_filing`` drops old chunks of its filings first."""
-        fresh = self._slotted(batch)
+        last = [F.col(c) for c in (order or [c for c in batch.columns if c not in self.keys])]
+        fresh = self._slotted(stores.keep_last(batch, self.keys, last))
         if not path_exists(self.spark, self.path):
-            last = [F.col(c) for c in (order or [c for c in batch.columns if c not in self.keys])]
-            self._write(self._slotted(stores.keep_last(batch, self.keys, last)), self.path)
+            self._write(fresh, self.path)
             return
+        # The batch may be costly (parsed, encoded): it is computed once, into a table of its own.
+        staged_batch, staged_merge = (f"{self.path.rstrip('/')}__{uuid.uuid4().hex}" for _ in range(2))
+        self._write(fresh, staged_batch)
+        new = self.spark.read.parquet(staged_batch)
         # At most ``slots`` numbers come back; they prune the partitions of the stored table.
-        touched = [r["_slot"] for r in fresh.select("_slot").distinct().collect()]
-        if not touched:
-            return
-        stored = self.spark.read.parquet(self.path).filter(F.col("_slot").isin(touched)).drop("_slot")
-        if replace_filing:
-            filings = batch.select("accession_number").distinct()
-            stored = stored.join(filings, "accession_number", "left_anti").select(*stored.columns)
-        merged = self._slotted(stores.upsert(stored, batch, self.keys, order))
-        staged = f"{self.path.rstrip('/')}__staged_{uuid.uuid4().hex}"
-        self._write(merged, staged)
-        self._write(self.spark.read.parquet(staged), self.path)
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        touched = [r["_slot"] for r in new.select("_slot").distinct().collect()]
+        if touched:
+            stored = self.spark.read.parquet(self.path).filter(F.col("_slot").isin(touched))
+            if replace_filing:
+                filings = new.select("accession_number").distinct()
+                stored = stored.join(filings, "accession_number", "left_anti")
+            kept = stored.join(new.select("_slot", *self.keys), ["_slot", *self.keys], "left_anti")
+            self._write(kept.unionByName(new, allowMissingColumns=True), staged_merge)
+            self._write(self.spark.read.parquet(staged_merge), self.path)
+        for path in (staged_batch, staged_merge):
+            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def sentiment_table(spark: SparkSession, path: str) -> UpsertTable:
-    return UpsertTable(spark, path, ["accession_number", "section"])
+    """Scores by filing and section, in the slot of their filing."""
+    return UpsertTable(spark, path, ["accession_number", "section"], slot_by=["accession_number"])
 
 
 def chunk_table(spark: SparkSession, path: str) -> UpsertTable:
