@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions import sentiment as sn
 from ..schemas import FILING_META, SENTIMENT
+from ..sources.tables import with_lenient_dates
 from .asof import asof_join
 from .correlation import correlation_table
 from .documents import default_metadata
@@ -42,10 +43,7 @@ def score_sections(
 
 def sentiment_series(records: DataFrame) -> DataFrame:
     """Typed scores, sorted by ticker, date and section; unreadable dates become null and sort last."""
-    typed = records.withColumn(
-        "filing_date", F.try_to_timestamp(F.col("filing_date").cast("string")).cast("timestamp_ntz")
-    )
-    return typed.orderBy("ticker", F.asc_nulls_last("filing_date"), "section")
+    return with_lenient_dates(records).orderBy("ticker", F.asc_nulls_last("filing_date"), "section")
 
 
 def empty_sentiment(spark: SparkSession) -> DataFrame:

@@ -67,8 +67,8 @@ def stored_chunks(spark: SparkSession, store: str) -> DataFrame | None:
 
 
 def stored_sentiment(spark: SparkSession, store: str) -> DataFrame | None:
-    df = tables.sentiment(spark, f"{store}/sentiment")
-    return df if df is None else df.drop("_slot")
+    df = sinks.sentiment_table(spark, f"{store}/sentiment").read()
+    return df if df is None else tables.with_lenient_dates(df)
 
 
 def store_overview(chunks: DataFrame) -> DataFrame:

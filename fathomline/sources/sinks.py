@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as vx
 from ..operators import stores
-from .tables import path_exists, read_if_exists
 
 
 def write_series(monthly: DataFrame, path: str) -> None:
@@ -45,9 +44,14 @@ class UpsertTable:
         self.spark, self.path, self.keys = spark, path, keys
         self.slot_by, self.slots = slot_by or keys, slots
 
+    def _exists(self) -> bool:
+        """Whether any slot was written; an empty first batch leaves a folder without one."""
+        slots = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/_slot=*")
+        found = slots.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(slots)
+        return found is not None and len(found) > 0
+
     def read(self) -> DataFrame | None:
-        df = read_if_exists(self.spark, self.path)
-        return df if df is None else df.drop("_slot")
+        return self.spark.read.parquet(self.path).drop("_slot") if self._exists() else None
 
     def _slotted(self, df: DataFrame) -> DataFrame:
         slot = F.pmod(F.xxhash64(*self.slot_by), F.lit(self.slots)).cast("int")
@@ -70,13 +74,13 @@ class UpsertTable:
         """Batch rows win over stored ones. ``replace_filing`` drops old chunks of its filings first."""
         last = [F.col(c) for c in (order or [c for c in batch.columns if c not in self.keys])]
         fresh = self._slotted(stores.keep_last(batch, self.keys, last))
-        if not path_exists(self.spark, self.path):
+        if not self._exists():
             self._write(fresh, self.path)
             return
         # The batch may be costly (parsed, encoded): it is computed once, into a table of its own.
         staged_batch, staged_merge = (f"{self.path.rstrip('/')}__{uuid.uuid4().hex}" for _ in range(2))
         self._write(fresh, staged_batch)
-        new = self.spark.read.parquet(staged_batch)
+        new = self.spark.read.schema(fresh.schema).parquet(staged_batch)
         # At most ``slots`` numbers come back; they prune the partitions of the stored table.
         touched = [r["_slot"] for r in new.select("_slot").distinct().collect()]
         if touched:

@@ -85,8 +85,9 @@ def vectors_csv(spark: SparkSession, path: str, schema: str, vec: str = "embeddi
 def sentiment(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored scores with dates read leniently, or None."""
     df = read_if_exists(spark, path)
-    if df is None:
-        return None
-    return df.withColumn(
-        "filing_date", F.try_to_timestamp(F.col("filing_date").cast("string")).cast("timestamp_ntz")
-    )
+    return df if df is None else with_lenient_dates(df)
+
+
+def with_lenient_dates(df: DataFrame, date: str = "filing_date") -> DataFrame:
+    """Text or timestamps as timestamps; what cannot be read becomes null."""
+    return df.withColumn(date, F.try_to_timestamp(F.col(date).cast("string")).cast("timestamp_ntz"))
