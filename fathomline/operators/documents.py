@@ -96,6 +96,13 @@ def sentence_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*kept, F.posexplode(tx.sentences(F.col(text))).alias("sentence_index", "sentence"))
 
 
+def page_sentence_counts(pages: DataFrame, group_size: int = 10, text: str = "text") -> DataFrame:
+    """How many sentences a page has, and how many groups of them."""
+    kept = [c for c in pages.columns if c != text]
+    counted = pages.select(*kept, F.size(tx.sentences(F.col(text))).alias("page_sentence_count"))
+    return counted.withColumn("num_chunks", F.ceil(F.col("page_sentence_count") / group_size))
+
+
 def page_chunks(pages: DataFrame, group_size: int = 10, text: str = "text") -> DataFrame:
     """Groups of sentences as passages with their statistics."""
     kept = [c for c in pages.columns if c != text]

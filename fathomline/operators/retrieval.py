@@ -7,7 +7,7 @@ the candidate vectors, so only k rows per question and task are shuffled, never
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from heapq import nsmallest
 
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixed_values as fv
 from ..functions import text as tx, vectors as vx
@@ -61,9 +62,11 @@ def date_filter(
     return rows.filter(keep)
 
 
-def _kernel(ids_q, matrix, k, cosine, digits, allowed, schema):
-    """Task-side search: running best k per question over the batches of a partition."""
-    n_filters = len(allowed)
+def _kernel(ids_q, matrix, k, cosine, digits, tests, schema):
+    """Task-side search: running best k per question over the batches of a partition.
+
+    ``tests`` holds one list per filter column, with a predicate (or None) per question.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim = matrix.shape[1]
@@ -80,21 +83,19 @@ def _kernel(ids_q, matrix, k, cosine, digits, allowed, schema):
             if cosine:
                 norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
                 vecs = np.divide(vecs, norm, out=np.zeros_like(vecs), where=norm > 0)
-            masks = []
-            for f in range(n_filters):
-                enc = batch.column(2 + f).dictionary_encode()
-                names = enc.dictionary.to_pylist()
-                codes = enc.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
-                masks.append((names, codes))
+            columns = []
+            for f in range(len(tests)):
+                enc = pc.fill_null(batch.column(2 + f), "").dictionary_encode()
+                columns.append((enc.dictionary.to_pylist(), enc.indices.to_numpy(zero_copy_only=False)))
             for lo in range(0, len(ids_q), 256):
                 scores = np.round(vecs @ matrix[lo : lo + 256].T, digits)
                 for j in range(scores.shape[1]):
                     q, s = lo + j, scores[:, j]
                     ok = np.ones(len(ids), dtype=bool)
-                    for f, (names, codes) in enumerate(masks):
-                        want = allowed[f][q]
-                        if want:
-                            ok &= np.array([n in want for n in names] + [False])[codes]
+                    for per_question, (names, codes) in zip(tests, columns):
+                        test = per_question[q]
+                        if test is not None:
+                            ok &= np.array([test(n) for n in names], dtype=bool)[codes]
                     if len(best[q]) == k:
                         ok &= s >= -best[q][-1][0]
                     idx = np.flatnonzero(ok)
@@ -112,6 +113,37 @@ def _kernel(ids_q, matrix, k, cosine, digits, allowed, schema):
     return run
 
 
+def _one_of(values) -> Callable[[str], bool] | None:
+    return set(values).__contains__ if values is not None and len(values) else None
+
+
+def _between(start, end) -> Callable[[str], bool] | None:
+    """Inclusive bounds on ISO text; a missing date is empty text."""
+    start, end = start or "", end or ""
+    if not start and not end:
+        return None
+    return lambda day: (not start or day >= start) and (not end or day <= end)
+
+
+def _pushed(pdf, filters, dates) -> list[Column]:
+    """What every question of a block excludes, as filters that reach the scan."""
+    pushed = []
+    for q, c in filters:
+        lists = [v for v in pdf[q] if v is not None and len(v)]
+        union = sorted({x for v in lists for x in v})
+        if len(lists) == len(pdf) and len(union) <= 1000:
+            pushed.append(F.col(c).isin(union))
+    if dates:
+        start, end, c = dates
+        starts, ends = [s for s in pdf[start] if s], [e for e in pdf[end] if e]
+        day = F.col(c).cast("string")
+        if len(starts) == len(pdf):
+            pushed.append(day >= min(starts))
+        if len(ends) == len(pdf):
+            pushed.append(day.isNull() | (day <= max(ends)))
+    return pushed
+
+
 def exact_topk(
     queries: DataFrame,
     candidates: DataFrame,
@@ -123,16 +155,17 @@ def exact_topk(
     cosine: bool = True,
     digits: int = 9,
     filters: list[tuple[str, str]] | None = None,
+    dates: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """(query_id, cand_id, score, rank): the best ``k`` candidates of every question.
 
     ``filters`` pairs an array column of the questions with a candidate column it restricts;
-    an empty or null array does not restrict. Scores count to ``digits`` places, ties go to
+    an empty or null array does not restrict. ``dates`` names the questions' inclusive start
+    and end columns and the candidates' date. Scores count to ``digits`` places, ties go to
     the smaller id. Questions travel to the tasks in blocks of bounded size; more questions
     mean more blocks, each one pass over the candidates.
     """
     filters = filters or []
-    first = queries.select(F.size(query_vec).alias("d")).filter("d > 0").first()
     out_type = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
@@ -140,17 +173,16 @@ def exact_topk(
             T.StructField("score", T.DoubleType()),
         ]
     )
+    first = queries.select(F.size(query_vec).alias("d")).filter("d > 0").first()
     if first is None:
         empty = candidates.sparkSession.createDataFrame([], out_type)
         return empty.withColumn("rank", F.lit(None).cast("int"))
     dim = first["d"]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(out_type)
-    columns = [cand_id, F.col(cand_vec).cast("array<float>").alias("_v"), *[c for _, c in filters]]
-    scan = candidates.select(*columns)
+    restricted = [c for _, c in filters] + ([dates[2]] if dates else [])
+    asked = [q for q, _ in filters] + (list(dates[:2]) if dates else [])
     usable = queries.filter(F.size(query_vec) == dim).select(
-        query_id, F.col(query_vec).cast("array<double>").alias("_q"), *[q for q, _ in filters]
+        query_id, F.col(query_vec).cast("array<double>").alias("_q"), *asked
     )
     n_blocks = max(1, -(-usable.count() * dim * 8 // BLOCK_BYTES))
     parts = []
@@ -165,8 +197,18 @@ def exact_topk(
         if cosine:
             norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
             matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        allowed = [[set(v) if v is not None else set() for v in pdf[q]] for q, _ in filters]
-        run = _kernel(pdf[query_id].tolist(), matrix, k, cosine, digits, allowed, arrow)
+        tests = [[_one_of(v) for v in pdf[q]] for q, _ in filters]
+        if dates:
+            tests.append([_between(s, e) for s, e in zip(pdf[dates[0]], pdf[dates[1]])])
+        scan = candidates
+        for condition in _pushed(pdf, filters, dates):
+            scan = scan.filter(condition)
+        scan = scan.select(
+            cand_id,
+            F.col(cand_vec).cast("array<float>").alias("_v"),
+            *[F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(restricted)],
+        )
+        run = _kernel(pdf[query_id].tolist(), matrix, k, cosine, digits, tests, arrow)
         parts.append(scan.mapInArrow(run, out_type))
     found = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(cand_id))
@@ -199,14 +241,12 @@ def search(
     if "tickers" in questions.columns:
         asked = asked.withColumn("tickers", F.transform("tickers", F.upper))
     dated = {"date_start", "date_end"} <= set(questions.columns) and "filing_date" in chunks.columns
-    n = questions.count()
-    if dated and date_mode == "pre":
-        return _search_in_dates(asked, chunks, k, cosine, vec, filters, n)
+    before = ("date_start", "date_end", "filing_date") if dated and date_mode == "pre" else None
     ranked = exact_topk(
-        asked, chunks, k, query_vec=vec, cand_vec=vec, cosine=cosine, filters=filters
+        asked, chunks, k, query_vec=vec, cand_vec=vec, cosine=cosine, filters=filters, dates=before
     )
-    found = attach(ranked, chunks.drop(vec), "chunk_id", n * k)
-    if dated:
+    found = attach(ranked, chunks.drop(vec), "chunk_id", questions.count() * k)
+    if dated and before is None:
         bounds = asked.select("query_id", "date_start", "date_end")
         found = date_filter(
             found.join(bounds, "query_id"), "filing_date", F.col("date_start"), F.col("date_end")
@@ -214,23 +254,6 @@ def search(
     return found
 
 
-def _search_in_dates(asked, chunks, k, cosine, vec, filters, n) -> DataFrame:
-    """Questions grouped by their date bounds; each distinct pair of bounds is one pushed filter."""
-    pairs = [
-        (r["date_start"], r["date_end"])
-        for r in asked.select("date_start", "date_end").distinct().collect()
-    ]
-    parts = []
-    for start, end in pairs:
-        group = asked.filter(
-            F.col("date_start").eqNullSafe(F.lit(start)) & F.col("date_end").eqNullSafe(F.lit(end))
-        )
-        inside = date_filter(chunks, "filing_date", start, end)
-        ranked = exact_topk(group, inside, k, query_vec=vec, cand_vec=vec, cosine=cosine, filters=filters)
-        parts.append(attach(ranked, inside.drop(vec), "chunk_id", n * k))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def nearest(
     candidates: DataFrame, vector: list[float], k: int = 5, vec: str = "embedding", tie: str = "chunk_id"
 ) -> DataFrame:

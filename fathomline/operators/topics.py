@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as fv
@@ -174,12 +176,14 @@ def fit_topics(
     stops = english_stop_words() if stop_words is None else stop_words
     prepared = docs.select(terms(F.col(text), stops).alias("_terms"))
     # At most ``max_features`` rows come to the driver.
-    vocab = [r["term"] for r in vocabulary(docs, text, stops, max_features, min_df, max_df).collect()]
-    if not vocab:
+    rows = vocabulary(docs, text, stops, max_features, min_df, max_df).collect()
+    if not rows:
         raise ValueError("no terms to fit topics on")
+    vocab, n_docs = [r["term"] for r in rows], docs.count()
+    weights = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
     counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_tf")
     counts = cut_lineage(counter.transform(prepared).select("_tf"))
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts)
+    idf = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_tfidf")
     unit = Normalizer(inputCol="_tfidf", outputCol="features")
     features = unit.transform(idf.transform(counts)).select("features")
     lda = LDA(

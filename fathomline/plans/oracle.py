@@ -518,6 +518,8 @@ def statements() -> dict[str, str]:
     sql["page_stats"] = with_(PAGE_STATS, final="FROM page_stats")
     sql["text_profile"] = with_(PAGE_STATS, final=_profile())
     sql["sentences"] = f"""SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS sentence_index, unnest(ss) AS sentence
+FROM (SELECT doc_id, {sentence_list("text")} AS ss FROM documents)"""
+    sql["page_sentence_counts"] = f"""SELECT doc_id, len(ss) AS page_sentence_count, CAST(ceil(len(ss) / 10.0) AS BIGINT) AS num_chunks
 FROM (SELECT doc_id, {sentence_list("text")} AS ss FROM documents)"""
     sql["fixed_chunks"] = with_(PASSAGES, final=f"SELECT {PAGE_CHUNK_COLS} FROM page_chunks")
     sql["chunk_min_tokens"] = with_(
@@ -626,6 +628,12 @@ FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
         *SEARCHED, _contexts(1200, False), PROMPTED,
         final=f"SELECT query_id, question, context, {_prompt(fv.ANSWER_TEMPLATE)} AS prompt FROM prompted",
     )
+    sql["ask_questions"] = with_(
+        *SEARCHED, _contexts(1200, False), PROMPTED,
+        "sources AS (SELECT query_id, count(*) AS n_sources FROM found GROUP BY query_id)",
+        final=f"""SELECT query_id, context, {_prompt(fv.ANSWER_TEMPLATE)} AS prompt, CAST(n_sources AS INTEGER) AS n_sources
+                  FROM prompted LEFT JOIN sources USING (query_id)""",
+    )
     sql["prompt_bullets"] = with_(
         *SEARCHED, _contexts(600, True), PROMPTED,
         final=f"SELECT query_id, {_prompt(fv.BULLET_TEMPLATE)} AS prompt FROM prompted",

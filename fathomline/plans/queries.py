@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
+from . import ask
 from ..functions import text as tx, vectors as vx
 from ..operators import (
     asof, correlation, documents as docs, embedding, filings as fl, profile, retrieval as rt,
@@ -345,6 +346,11 @@ def sentences(spark, d):
     return docs.sentence_rows(text_table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query
+def page_sentence_counts(spark, d):
+    return docs.page_sentence_counts(text_table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query
 def fixed_chunks(spark, d):
     return docs.page_chunks(text_table(spark, d, "documents").select("doc_id", "text"))
@@ -581,6 +587,15 @@ def citations(spark, d):
     )
 
 
+@query
+def ask_questions(spark, d):
+    chunks = embedding.hashed_embedding(document_chunks(spark, d), "document", DIM)
+    answered = ask.ask(
+        questions(spark, d), chunks, TOP_K, encode=lambda df, text: embedding.hashed_embedding(df, text, DIM)
+    )
+    return answered.select("query_id", "context", "prompt", F.size("sources").alias("n_sources"))
+
+
 # ---- sentiment -------------------------------------------------------------------------
 
 

@@ -8,6 +8,10 @@ from .. import schemas
 from ..functions import vectors as vx
 
 
+# Spark's default size of a scan split.
+FULL_SPLIT_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -21,10 +25,9 @@ def spread(df: DataFrame, path: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
-    small = size < cores * split and len(df.inputFiles()) < cores
+    small = size < cores * FULL_SPLIT_BYTES and len(df.inputFiles()) < cores
     return df.repartition(cores) if small else df
 
 
