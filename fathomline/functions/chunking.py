@@ -16,38 +16,46 @@ def overlap_chunks(
     Sentences are added until the next one would pass ``size``; lengths leave out the
     joining spaces. ``overlap=0`` carries nothing over. Chunks up to ``min_chars`` are dropped.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("cur"),
+    # The walk carries sentence numbers only, so a long text never drags its chunks along:
+    # ``cuts`` holds (first, end) of each closed chunk, ``first`` opens the current one.
+    begin = F.struct(
+        F.array().cast("array<bigint>").alias("cuts"),
+        F.lit(0).alias("first"),
+        F.lit(0).alias("i"),
         F.lit(0).alias("n"),
     )
-
-    def add(acc: Column, s: Column) -> Column:
-        full = (acc["n"] + F.length(s) > size) & (F.size(acc["cur"]) > 0)
-        kept = F.slice(acc["cur"], F.greatest(F.size(acc["cur"]) - overlap, F.lit(0)) + 1, overlap)
-        kept_n = F.aggregate(kept, F.lit(0), lambda n, k: n + F.length(k))
-        return F.when(
-            full,
-            F.struct(
-                F.array_append(acc["done"], F.array_join(acc["cur"], " ")).alias("done"),
-                F.array_append(kept, s).alias("cur"),
-                (kept_n + F.length(s)).alias("n"),
-            ),
-        ).otherwise(
-            F.struct(
-                acc["done"].alias("done"),
-                F.array_append(acc["cur"], s).alias("cur"),
-                (acc["n"] + F.length(s)).alias("n"),
+    width = F.lit(1 << 32)
+
+    def walk(ss: Column) -> Column:
+        def add(acc: Column, s: Column) -> Column:
+            full = (acc["n"] + F.length(s) > size) & (acc["i"] > acc["first"])
+            first = F.when(full, F.greatest(acc["i"] - overlap, acc["first"])).otherwise(acc["first"])
+            kept = F.aggregate(
+                F.slice(ss, F.greatest(acc["i"] - overlap, acc["first"]) + 1, F.least(F.lit(overlap), acc["i"] - acc["first"])),
+                F.lit(0),
+                lambda n, k: n + F.length(k),
             )
-        )
+            return F.struct(
+                F.when(full, F.array_append(acc["cuts"], acc["first"] * width + acc["i"]))
+                .otherwise(acc["cuts"]).alias("cuts"),
+                first.alias("first"),
+                (acc["i"] + 1).alias("i"),
+                (F.when(full, kept).otherwise(acc["n"]) + F.length(s)).alias("n"),
+            )
+
+        def finish(acc: Column) -> Column:
+            last = F.when(acc["i"] > acc["first"], F.array(acc["first"] * width + acc["i"]))
+            return F.concat(acc["cuts"], F.coalesce(last, F.array().cast("array<bigint>")))
+
+        def passage(cut: Column) -> Column:
+            first = F.shiftright(cut, 32).cast("int")
+            end = (cut % width).cast("int")
+            return F.array_join(F.slice(ss, first + 1, end - first), " ")
 
-    def finish(acc: Column) -> Column:
-        rest = F.when(
-            F.size(acc["cur"]) > 0, F.array(F.array_join(acc["cur"], " "))
-        ).otherwise(F.array().cast("array<string>"))
-        return F.filter(F.concat(acc["done"], rest), lambda c: F.length(c) > min_chars)
+        texts = F.transform(F.aggregate(ss, begin, add, finish), passage)
+        return F.filter(texts, lambda c: F.length(c) > min_chars)
 
-    return F.aggregate(tx.sentences(text), start, add, finish)
+    return let(tx.sentences(text), walk)
 
 
 def fixed_groups(items: Column, size: int = 10) -> Column:

@@ -101,10 +101,11 @@ def node_text(html: Column, drop: tuple[str, ...] = ("script", "style")) -> Colu
     for name in drop:
         end = r"(?:</head\s*>|(?=<body\b)|\z)" if name == "head" else rf"(?:</{name}\s*>|\z)"
         out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?{end}", "<!>")
-    # A run of tags with nothing between them separates two text nodes once.
+    # A run of tags with nothing between them separates two text nodes once. The repeats are
+    # possessive: Java walks them in a loop, where a plain group repeat would recurse per tag.
     tag = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-    out = F.regexp_replace(out, rf"(?:{tag})+", " ")
-    out = F.regexp_replace(out, r"(?:<[a-zA-Z/!?][^>]*>)+", " ")
+    out = F.regexp_replace(out, rf"(?:{tag})++", " ")
+    out = F.regexp_replace(out, r"(?:<[a-zA-Z/!?][^>]*+>)++", " ")
     return decode_entities(out)
 
 

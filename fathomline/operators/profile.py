@@ -23,7 +23,7 @@ def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(values: DataFrame, buckets: int = 256) -> DataFrame:
+def exact_quantiles(values: DataFrame, buckets: int = 64) -> DataFrame:
     """Exact linear-interpolated quartiles per column, with no column sorted in one task.
 
     A mergeable sketch cuts the distinct values of a column into ``buckets`` ranges. Counts

@@ -172,3 +172,23 @@ def test_heavy_text_is_parsed_once(spark):
 def test_fixed_values():
     assert len(fv.FINANCE_LEXICON) == 46 and len(fv.SERIES) == 17
     assert len({c for _, c in fv.SERIES.values()}) == 6 and len(fv.FILING_STOP_WORDS) == 37
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a" + "<td></td>" * 60_000 + "b", "a b"),
+        ("a<p title='x>" + "y's \"q\" " * 20_000, None),
+        ("<!-- " + "x" * 500_000, ""),
+        ("&amp;" * 20_000, "&" * 20_000),
+    ],
+)
+def test_dirty_pages_do_not_exhaust_the_stack(spark, html, text):
+    got = one(spark, html, tx.html_to_text(X))
+    assert text is None or got == text
+
+
+def test_book_size_text(spark):
+    text = " ".join(f"Sentence number {i} of a long book is here." for i in range(60_000))
+    chunks = one(spark, text, ch.overlap_chunks(X))
+    assert len(chunks) > 3_000 and chunks[-1].endswith("Sentence number 59999 of a long book is here.")
