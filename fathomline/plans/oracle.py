@@ -169,8 +169,8 @@ def sentence_list(expr: str) -> str:
 
 PAGE_STATS = f"""flat AS (SELECT doc_id - 41 AS page_number, {strip("replace(text, chr(10), ' ')")} AS text FROM documents),
 page_stats AS (
-  SELECT page_number, length(text) AS page_char_count, len(string_split(text, ' ')) AS page_word_count,
-         len(string_split(text, '. ')) AS page_sentence_count_raw, length(text) / 4.0 AS page_token_count, text
+  SELECT page_number, length(text)::INTEGER AS page_char_count, len(string_split(text, ' '))::INTEGER AS page_word_count,
+         len(string_split(text, '. '))::INTEGER AS page_sentence_count_raw, length(text) / 4.0 AS page_token_count, text
   FROM flat)"""
 
 
@@ -195,7 +195,7 @@ passages AS (
          regexp_replace({strip("replace(array_to_string(grp, ''), '  ', ' ')")}, '\\.([A-Z])', '. \\1', 'g') AS sentence_chunk
   FROM groups),
 page_chunks AS (
-  SELECT *, length(sentence_chunk) AS chunk_char_count, len(string_split(sentence_chunk, ' ')) AS chunk_word_count,
+  SELECT *, length(sentence_chunk)::INTEGER AS chunk_char_count, len(string_split(sentence_chunk, ' '))::INTEGER AS chunk_word_count,
          length(sentence_chunk) / 4.0 AS chunk_token_count FROM passages)"""
 CHUNK_STORE = """chunks AS (
   SELECT md5(concat_ws('_', upper(source), doc_id::VARCHAR, lang, chunk_index::VARCHAR)) AS chunk_id,
@@ -519,7 +519,7 @@ def statements() -> dict[str, str]:
     sql["text_profile"] = with_(PAGE_STATS, final=_profile())
     sql["sentences"] = f"""SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS sentence_index, unnest(ss) AS sentence
 FROM (SELECT doc_id, {sentence_list("text")} AS ss FROM documents)"""
-    sql["page_sentence_counts"] = f"""SELECT doc_id, len(ss) AS page_sentence_count, CAST(ceil(len(ss) / 10.0) AS BIGINT) AS num_chunks
+    sql["page_sentence_counts"] = f"""SELECT doc_id, len(ss)::INTEGER AS page_sentence_count, CAST(ceil(len(ss) / 10.0) AS BIGINT) AS num_chunks
 FROM (SELECT doc_id, {sentence_list("text")} AS ss FROM documents)"""
     sql["fixed_chunks"] = with_(PASSAGES, final=f"SELECT {PAGE_CHUNK_COLS} FROM page_chunks")
     sql["chunk_min_tokens"] = with_(
