@@ -159,9 +159,9 @@ WITH RECURSIVE w AS (
 ), f AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM p
 ), s AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + n - 1], ' ') AS k FROM f
 ), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+), m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
 ), l AS (
-  SELECT m.a, m.b FROM m JOIN z x ON x.doc_id = m.a JOIN z y ON y.doc_id = m.b WHERE 100 * both >= 80 * (x.n + y.n - both)
+  SELECT m.a, m.b FROM m JOIN z x ON x.doc_id = m.a JOIN z y ON y.doc_id = m.b WHERE 100 * common >= 80 * (x.n + y.n - common)
 ), reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
 ), c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id,
