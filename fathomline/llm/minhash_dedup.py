@@ -9,9 +9,10 @@ keys hold 2 x rows minhashes. Two documents meet in a table when they agree in s
 2. A small hash that only one class has cannot be part of a shared key. Keys are formed from the
    shared ones alone, which leaves most documents with none.
 3. In each table every class is paired with one class of its bucket, chosen differently per table:
-   a bucket of n gives n - 1 pairs. Pairs are verified on full shingle sets.
-4. Buckets that still hold several components give their pairs across components, which are verified too.
-   So every pair that shares a key is either verified or already connected.
+   a bucket of n gives n - 1 pairs. Pairs are verified on full shingle sets. This is done twice, the
+   second time for buckets that still hold several components.
+4. Where a bucket still does, its pairs across components are verified, each in the first table that the
+   two share. So every pair that shares a key is either verified or already connected.
 
 At a similarity of exactly 0.8 a pair shares no key with a chance of 2e-5 (rows 3, m 16).
 """
@@ -36,7 +37,7 @@ BROADCAST_IDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def _scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
@@ -57,7 +58,7 @@ class Shingler:
         n = max(1, len(ids) - self.size + 1)
         out = np.full(n, min(len(ids), self.size), np.uint64)
         for k in range(min(self.size, len(ids))):
-            out = _mixed(out * _MIX + ids[k : k + n])
+            out = _scrambled(out * _MIX + ids[k : k + n])
         out.sort()
         return out if n == 1 else out[np.concatenate(([True], out[1:] != out[:-1]))]
 
@@ -77,7 +78,7 @@ def small_hashes(shingles: np.ndarray, factors: np.ndarray, rows: int) -> np.nda
     folded = least.reshape(-1, rows)
     out = folded[:, 0]
     for k in range(1, rows):
-        out = _mixed(out * _MIX + folded[:, k])
+        out = _scrambled(out * _MIX + folded[:, k])
     return out
 
 
@@ -162,16 +163,51 @@ def _table_keys(classes: DataFrame, collection: int) -> DataFrame:
     )
 
 
-def _bucket_pairs(keys: DataFrame) -> DataFrame:
-    """Each class with one other of its bucket; which one differs by table."""
-    rng = np.random.default_rng(7)
-    masks = F.array(*(F.lit(int(m)) for m in rng.integers(0, 2**62, 16)))
-    mask = F.element_at(masks, (F.col("table") % 16 + 1).cast("int"))
+def _bucket_pairs(keys: DataFrame, masks: int, labels: DataFrame | None = None) -> DataFrame:
+    """Each class with one other of its bucket; which one differs by table, in ``masks`` ways.
+
+    With ``labels`` (node, component), pairs within a component are left out.
+    """
+    rng = np.random.default_rng(masks)
+    by_table = F.array(*(F.lit(int(m)) for m in rng.integers(0, 2**62, masks)))
+    mask = F.element_at(by_table, (F.col("table") % masks + 1).cast("int"))
     ranked = keys.select("table", "key", "node", F.col("node").bitwiseXOR(mask).alias("rank"), mask.alias("mask"))
     heads = ranked.groupBy("table", "key").agg(F.min("rank").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = ranked.join(heads.select("table", "key", "head"), ["table", "key"])
     head = F.col("head").bitwiseXOR(F.col("mask"))
-    return met.where(F.col("node") != head).select(F.greatest("node", head).alias("a"), F.least("node", head).alias("b")).distinct()
+    pairs = met.where(F.col("node") != head).select(F.greatest("node", head).alias("a"), F.least("node", head).alias("b")).distinct()
+    if labels is None:
+        return pairs
+    label = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    return pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(apart).select("a", "b")
+
+
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """The keys of buckets that hold several components: (table, key, node, component, minor).
+
+    ``minor`` rows are outside the component that most of the bucket belongs to.
+    """
+    labelled = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = labelled.groupBy("table", "key", "component").agg(F.count("*").alias("n"))
+    several = held.groupBy("table", "key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("k")).where("k > 1")
+    met = labelled.join(several.select("table", "key", "major"), ["table", "key"])
+    return met.select("table", "key", "node", "component", (F.col("component") != F.col("major")).alias("minor"))
+
+
+def _pairs_across(mixed: DataFrame, classes: DataFrame, collection: int) -> DataFrame:
+    """(a, b): all pairs of a bucket that lie in different components, each from the first table they share."""
+    small = classes.select("node", F.transform("small", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
+    rows = mixed.join(small, "node")
+    left = rows.where("minor").select("table", "key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("small").alias("sa"))
+    right = rows.select("table", "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("small").alias("sb"), "minor")
+    first = lambda name, at, n: F.slice(name, at, n)
+    i, j = F.floor(F.col("table") / collection).cast("int"), (F.col("table") % collection).cast("int")
+    earlier = lambda at, n: F.exists(F.zip_with(first("sa", at, n), first("sb", at, n), lambda x, y: x == y), lambda same: same)
+    met = left.join(right, ["table", "key"]).where(
+        (F.col("ca") != F.col("cb")) & (~F.col("minor") | (F.col("a") > F.col("b"))) & ~earlier(F.lit(1), i) & ~earlier(F.lit(collection + 1), j)
+    )
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, collection: int) -> DataFrame:
@@ -184,17 +220,19 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, colle
     # the digest tells apart rows that repeat an id with another text; equal rows count once
     sets = _shingle_sets(texts.join(wanted, "rep", "left_semi"), shingle).join(met, ["rep", "digest"])
     sets = cut(sets.groupBy("node").agg(F.min("shingles").alias("shingles")))
-    pairs = cut(_bucket_pairs(keys))
-    edges = cut(_verified(pairs, sets, percent))
-    parts = cut(connected_components(edges))
-    labelled = keys.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("table", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = labelled.join(mixed.select("table", "key"), ["table", "key"])
-    left = rest.select("table", "key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = rest.select("table", "key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, ["table", "key"]).where("a > b and ca != cb").select("a", "b").distinct()
-    late = _verified(across.join(pairs, ["a", "b"], "left_anti"), sets, percent)
-    return connected_components(cut(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)))
+    pairs = cut(_bucket_pairs(keys, 8))
+    labels = cut(connected_components(cut(_verified(pairs, sets, percent))))
+    for again in (False, True):
+        mixed = cut(_mixed(keys, labels))
+        if again:
+            more = _pairs_across(mixed, classes, collection)
+        else:
+            more = _bucket_pairs(mixed.select("table", "key", "node"), collection * collection, labels)
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        late = _verified(more, sets, percent)
+        labels = cut(connected_components(cut(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))))
+        pairs = pairs.union(more)
+    return labels
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, collection: int = COLLECTION, rows: int = ROWS) -> DataFrame:
