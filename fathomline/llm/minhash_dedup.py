@@ -9,10 +9,11 @@ keys hold 2 x rows minhashes. Two documents meet in a table when they agree in s
 2. A small hash that only one class has cannot be part of a shared key. Keys are formed from the
    shared ones alone, which leaves most documents with none.
 3. In each table every class is paired with one class of its bucket, chosen differently per table:
-   a bucket of n gives n - 1 pairs. Pairs are verified on full shingle sets. This is done twice, the
-   second time for buckets that still hold several components.
-4. Where a bucket still does, its pairs across components are verified, each in the first table that the
-   two share. So every pair that shares a key is either verified or already connected.
+   a bucket of n gives n - 1 pairs. Pairs are verified on full shingle sets.
+4. Buckets that still hold several components are chained by the classes they have in common. A chain
+   that fits in one task is compared there, all with all, and gives a spanning forest. Larger ones
+   are paired again as in step 3; then their pairs across components are verified, each in the
+   first table that the two share. So every pair that shares a key is verified or already connected.
 
 At a similarity of exactly 0.8 a pair shares no key with a chance of 2e-5 (rows 3, m 16).
 """
@@ -20,6 +21,7 @@ At a similarity of exactly 0.8 a pair shares no key with a chance of 2e-5 (rows
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +35,8 @@ COLLECTION = 16
 ROWS = 3
 #: Ids that may be broadcast as a filter: 8 bytes each, so 16 MB.
 BROADCAST_IDS = 2_000_000
+#: Packed shingles of a chain of buckets that one task may hold.
+CHAIN_BYTES = 48 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,17 +226,56 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, colle
     sets = cut(sets.groupBy("node").agg(F.min("shingles").alias("shingles")))
     pairs = cut(_bucket_pairs(keys, 8))
     labels = cut(connected_components(cut(_verified(pairs, sets, percent))))
-    for again in (False, True):
-        mixed = cut(_mixed(keys, labels))
-        if again:
-            more = _pairs_across(mixed, classes, collection)
-        else:
-            more = _bucket_pairs(mixed.select("table", "key", "node"), collection * collection, labels)
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        late = _verified(more, sets, percent)
-        labels = cut(connected_components(cut(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))))
-        pairs = pairs.union(more)
-    return labels
+    mixed = cut(_mixed(keys, labels))
+    chains = connected_components(_bucket_pairs(mixed, 1)).withColumnRenamed("component", "chain")
+    chained = cut(chains.join(sets.select("node", F.length("shingles").alias("size")), "node"))
+    small = chained.groupBy("chain").agg(F.sum("size").alias("bytes")).where(F.col("bytes") <= CHAIN_BYTES).select("chain")
+    inside = cut(chained.join(small, "chain").select("node", "chain"))
+    edges = [labels.select(F.col("node").alias("a"), F.col("component").alias("b")), _linked_within(inside.join(sets, "node"), percent)]
+    mixed = cut(mixed.join(inside, "node", "left_anti"))
+    if not mixed.isEmpty():
+        more = cut(_bucket_pairs(mixed, collection * collection, labels).join(pairs, ["a", "b"], "left_anti"))
+        late = cut(_verified(more, sets, percent))
+        merged = cut(connected_components(edges[0].union(late)))
+        rest = cut(_pairs_across(_mixed(mixed, merged), classes, collection).join(pairs.union(more), ["a", "b"], "left_anti"))
+        edges += [late, _verified(rest, sets, percent)]
+    whole = edges[0]
+    for part in edges[1:]:
+        whole = whole.union(part)
+    return connected_components(cut(whole))
+
+
+def _linked_within(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each chain of ``rows`` (chain, node, shingles).
+
+    Every pair of a chain is compared, by counting common shingles over postings: the shingle lists
+    of a chain fit in CHAIN_BYTES, and what is written is a row per class.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy()
+        lists = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        sizes = np.array([len(x) for x in lists])
+        owner = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)
+        ids = np.unique(np.concatenate(lists), return_inverse=True)[1].astype(np.int32)
+        posted = owner[np.argsort(ids, kind="stable")]
+        ends = np.cumsum(np.bincount(ids))
+        starts = np.concatenate(([0], ends[:-1]))
+        shared = (ends - starts > 1)[ids]
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        root = np.arange(len(nodes))
+        for k in range(len(nodes)):
+            own = ids[first[k] : first[k + 1]][shared[first[k] : first[k + 1]]]
+            if not len(own):
+                continue
+            common = np.bincount(np.concatenate([posted[i:j] for i, j in zip(starts[own], ends[own])]), minlength=len(nodes))
+            hit = np.flatnonzero(100 * common >= percent * (sizes[k] + sizes - common))
+            roots = np.unique(root[hit])
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[0]
+        return pd.DataFrame({"a": nodes, "b": nodes[root]})
+
+    return rows.select("chain", "node", "shingles").groupBy("chain").applyInPandas(run, "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, collection: int = COLLECTION, rows: int = ROWS) -> DataFrame:
