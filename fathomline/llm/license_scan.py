@@ -98,12 +98,12 @@ def blocks(text: str) -> list[tuple[int, str]]:
                 covered = -1
                 for k in cued:
                     if places[k][1] > covered:
-                        start = places[max(0, k - 1)][0]
-                        last = k
+                        first = k - 1 if k and places[k][0] - places[k - 1][0] < STRETCH // 4 else k
+                        start, last = places[first][0], k
                         while last + 1 < len(places) and places[last + 1][1] - start <= STRETCH:
                             last += 1
                         covered = places[last][1]
-                        if last > max(0, k - 1):
+                        if last > first:
                             out.append((start, text[start:covered]))
         at += len(part) + 2
     return out

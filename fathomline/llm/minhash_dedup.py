@@ -192,7 +192,7 @@ def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``minor`` rows are outside the component that most of the bucket belongs to.
     """
-    labelled = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = keys.select("table", "key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     held = labelled.groupBy("table", "key", "component").agg(F.count("*").alias("n"))
     several = held.groupBy("table", "key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("k")).where("k > 1")
     met = labelled.join(several.select("table", "key", "major"), ["table", "key"])
@@ -224,7 +224,7 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, colle
     # the digest tells apart rows that repeat an id with another text; equal rows count once
     sets = _shingle_sets(texts.join(wanted, "rep", "left_semi"), shingle).join(met, ["rep", "digest"])
     sets = cut(sets.groupBy("node").agg(F.min("shingles").alias("shingles")))
-    pairs = cut(_bucket_pairs(keys, 8))
+    pairs = cut(_bucket_pairs(keys, 2))
     labels = cut(connected_components(cut(_verified(pairs, sets, percent))))
     mixed = cut(_mixed(keys, labels))
     chains = connected_components(_bucket_pairs(mixed, 1)).withColumnRenamed("component", "chain")
