@@ -42,13 +42,14 @@ def header_positions(text: Column, catalog: list, case_sensitive: bool = False)
 
 
 def slice_sections(
-    text: Column, positions: Column, max_chars: int = 30_000, min_chars: int = 200
+    text: Column, positions: Column, max_chars: int | None = None, min_chars: int = 200
 ) -> Column:
-    """Text from each header to the next; only the last section is cut at ``max_chars``."""
+    """Text from each header to the next; the last section runs to the end, or to ``max_chars`` where that is given."""
 
     def cut(hits: Column) -> Column:
         def one(hit: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(hits, i + 1)["pos"], hit["pos"] + max_chars)
+            last = F.length(text) if max_chars is None else hit["pos"] + max_chars
+            end = F.coalesce(F.get(hits, i + 1)["pos"], last)
             body = tx.strip(F.substring(text, hit["pos"] + 1, end - hit["pos"]))
             return F.struct(hit["section"].alias("section"), body.alias("text"))
 
@@ -76,14 +77,18 @@ def has_repeated_keys(catalog: list) -> bool:
     return len(set(keys)) < len(keys)
 
 
+def _head(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
 def split_sections(
     html: Column,
     clean: Column,
     boundary_tag: str = "hr",
-    max_parts: int = 8,
+    max_parts: int | None = None,
     min_part_chars: int = 300,
     min_chars: int = 200,
-    max_chars: int = 30_000,
+    max_chars: int | None = None,
 ) -> Column:
     """Numbered parts between rule tags, or between dash lines where there are under two rules.
 
@@ -99,25 +104,21 @@ def split_sections(
         )
 
     dashed = F.transform(F.split(clean, "-{10,}", -1), tx.strip)
-    parts = F.slice(
-        let(F.split(html, rule, -1), lambda p: F.when(F.size(p) >= 3, ruled(p)).otherwise(dashed)),
-        1,
-        max_parts,
-    )
+    parts = let(F.split(html, rule, -1), lambda p: F.when(F.size(p) >= 3, ruled(p)).otherwise(dashed))
+    if max_parts is not None:
+        parts = F.slice(parts, 1, max_parts)
     numbered = F.transform(
         parts,
         lambda p, i: F.struct(
             F.concat(F.lit("section_"), (i + 1).cast("string")).alias("section"),
-            F.when(F.length(p) > min_chars, F.substring(p, 1, max_chars)).alias("text"),
+            F.when(F.length(p) > min_chars, _head(p, max_chars)).alias("text"),
         ),
     )
     return F.filter(numbered, lambda s: s["text"].isNotNull()).cast(SECTION_ARRAY)
 
 
-def full_text(clean: Column, max_chars: int = 50_000) -> Column:
-    whole = F.struct(
-        F.lit("full_text").alias("section"), F.substring(clean, 1, max_chars).alias("text")
-    )
+def full_text(clean: Column, max_chars: int | None = None) -> Column:
+    whole = F.struct(F.lit("full_text").alias("section"), _head(clean, max_chars).alias("text"))
     return F.array(whole).cast(SECTION_ARRAY)
 
 

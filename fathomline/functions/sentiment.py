@@ -167,10 +167,10 @@ def score(
     lexicon: dict[str, float],
     rules: bool = True,
     phrases: bool = False,
-    max_chars: int | None = 10_000,
+    max_chars: int | None = None,
     digits: tuple[int, int] = (3, 4),
 ) -> Column:
-    """Sentiment of a text. ``max_chars=None`` scores the whole of it."""
+    """Sentiment of a whole text, or of its first ``max_chars`` characters where that is given."""
     head = text if max_chars is None else F.substring(text, 1, max_chars)
     if phrases:
         head, lexicon = join_phrases(head, lexicon)

@@ -17,9 +17,9 @@ from ..functions import stats as st
 from ..functions.lookup import lookup
 
 
-def observations(df: DataFrame, start: str = "2000-01-01", end: str | None = None) -> DataFrame:
-    """Rows inside the inclusive date bounds; the filter reaches the scan."""
-    keep = F.col("obs_date") >= F.lit(start).cast("date")
+def observations(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows inside the inclusive date bounds that are given; the filter reaches the scan."""
+    keep = F.col("obs_date") >= F.lit(start).cast("date") if start else F.col("obs_date").isNotNull()
     if end:
         keep = keep & (F.col("obs_date") <= F.lit(end).cast("date"))
     return df.filter(keep)

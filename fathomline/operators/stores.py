@@ -79,20 +79,18 @@ def all_sections(summary: DataFrame) -> DataFrame:
 
 
 def section_text(
-    chunks: DataFrame, accession: str | None = None, section: str | None = None, max_chunks: int = 50
+    chunks: DataFrame, accession: str | None = None, section: str | None = None, max_chunks: int | None = None
 ) -> DataFrame:
-    """Text of each (filing, section): its first ``max_chunks`` chunks in document order.
-
-    The rank filter runs in each partition before the shuffle, so no more than
-    ``max_chunks`` rows per partition and section are gathered.
-    """
+    """Text of each (filing, section): its chunks in document order, or the first ``max_chunks`` of them."""
     rows = chunks
     if accession is not None:
         rows = rows.filter(F.col("accession_number") == accession)
     if section is not None:
         rows = rows.filter(F.col("section") == section)
     w = Window.partitionBy("accession_number", "section").orderBy("chunk_index")
-    head = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_chunks)
+    head = rows.withColumn("_rn", F.row_number().over(w))
+    if max_chunks is not None:
+        head = head.filter(F.col("_rn") <= max_chunks)
     ordered = F.array_sort(F.collect_list(F.struct("_rn", "document")))
     return head.groupBy("accession_number", "section").agg(
         F.count(F.lit(1)).alias("n_chunks"),

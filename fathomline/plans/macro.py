@@ -13,7 +13,7 @@ def build_panel(
     spark: SparkSession,
     observations_path: str,
     store: str,
-    start: str = "2000-01-01",
+    start: str | None = None,
     end: str | None = None,
     ids: list[str] | None = None,
 ) -> DataFrame:

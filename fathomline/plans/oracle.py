@@ -271,7 +271,7 @@ def catalog_slices(source: str, key: str, catalog: list, out: str, flags: str =
         + f") AS pos FROM {source} WHERE {where}"
         for i, (name, patterns) in enumerate(catalog)
     )
-    body = strip("substr(text, pos + 1, coalesce(nxt, pos + 30000) - pos)")
+    body = strip("substr(text, pos + 1, coalesce(nxt, length(text)) - pos)")
     return (
         f"{out}_hits AS ({hits})",
         f"""{out}_spans AS (
@@ -301,11 +301,11 @@ dashed AS (
         FROM (SELECT accession_number, string_split_regex(text, '-{{10,}}') AS ds FROM docs
               WHERE len(string_split_regex(html, '(?i)<p\b[^>]*>')) < 3))),
 c AS (
-  SELECT accession_number, 'section_' || k AS section, substr(text, 1, 30000) AS text
+  SELECT accession_number, 'section_' || k AS section, text
   FROM (SELECT * FROM ruled WHERE accession_number IN
           (SELECT accession_number FROM docs WHERE len(string_split_regex(html, '(?i)<p\b[^>]*>')) >= 3)
         UNION ALL SELECT * FROM dashed)
-  WHERE k <= 8 AND length(text) > 200)"""
+  WHERE length(text) > 200)"""
     return with_(
         f"""docs AS (
   SELECT page_id::VARCHAR AS accession_number, CASE WHEN contains(url, '/en') THEN '10-K' ELSE '10-Q' END AS form_type,
@@ -325,7 +325,7 @@ c AS (
     WHERE accession_number NOT IN (FROM a_ok) AND accession_number NOT IN (FROM b_ok))""",
         final="""SELECT r.accession_number, d.form_type, r.section, r.text FROM result r JOIN docs d USING (accession_number)
 UNION ALL
-SELECT accession_number, form_type, 'full_text', substr(text, 1, 50000) FROM docs
+SELECT accession_number, form_type, 'full_text', text FROM docs
 WHERE accession_number NOT IN (SELECT accession_number FROM result)""",
     )
 
@@ -650,7 +650,7 @@ FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
     )
     sql["section_sentiment"] = with_(
         *DOC_SECTIONS,
-        "cut AS (SELECT ticker, accession_number, section, substr(text, 1, 10000) AS text FROM found)",
+        "cut AS (SELECT ticker, accession_number, section, text FROM found)",
         *scored("cut", "ticker, accession_number, section"),
         final="FROM scored",
     )
@@ -691,7 +691,7 @@ WHERE doc_id NOT IN (SELECT accession_number FROM batch WHERE section = 'body')"
     sql["section_reader"] = with_(
         PASSAGES, CHUNK_STORE,
         """firsts AS (
-  SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY accession_number, section ORDER BY chunk_index) <= 50)""",
+  SELECT * FROM chunks)""",
         final="""SELECT accession_number, section, count(*) AS n_chunks,
                         string_agg(document, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM firsts GROUP BY 1, 2""",
     )

@@ -66,7 +66,7 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def observations(
-    spark: SparkSession, path: str, start: str = "2000-01-01", end: str | None = None, fmt: str = "parquet"
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """(series_id, obs_date, value) inside inclusive bounds, filtered in the scan."""
     from ..operators.series import observations as bounded

@@ -121,7 +121,7 @@ def test_uppercase_tier_uses_annual_items_for_quarterly_forms(spark):
 
 def test_one_section_is_discarded(spark):
     found = parse(spark, f"<p>Item 8 {PARAGRAPH * 150}</p>")
-    assert list(found) == ["section_1"] and len(found["section_1"]) == 30_000
+    assert list(found) == ["section_1"] and len(found["section_1"]) > 30_000
 
 
 def test_short_text_is_full_text(spark):
@@ -139,10 +139,10 @@ def test_dash_split_keeps_gaps(spark):
     assert list(found) == ["section_1", "section_3"]
 
 
-def test_middle_sections_are_not_cut(spark):
+def test_sections_are_not_cut(spark):
     text = "Item 1 " + "a " * 200 + "Item 7 " + "b " * 20_000 + "Item 8 " + "c " * 20_000
     found = parse(spark, text)
-    assert len(found["mda"]) > 30_000 and len(found["financials"]) <= 30_000
+    assert len(found["mda"]) > 30_000 and len(found["financials"]) > 30_000
 
 
 def test_repeated_keys_keep_the_later(spark):
