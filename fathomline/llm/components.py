@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import cut
 
+#: Edges that one task of a round takes, and the fewest tasks that a round is cut into.
+EDGES_PER_TASK = 100_000
+LEAST_TASKS = 16
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node points to the least one; at most one row per edge."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
     Each round cuts the lineage, so a lost executor repeats one round at most; all steps are
-    aggregates with a map-side combine and joins that AQE can split. Self-loops and repeated
+    aggregates with a map-side combine and joins that AQE can split. Rounds over few edges
+    write few shuffle and checkpoint files: their tasks follow the number of edges. Self-loops and repeated
     edges do no harm; an empty table gives an empty table.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
@@ -32,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = cut(_small_star(_large_star(now)))
+        tasks = max(LEAST_TASKS, before[0] // EDGES_PER_TASK + 1)
+        now = cut(_small_star(_large_star(now.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         after = mark(now)
         if after == before:
             break
