@@ -27,6 +27,8 @@ from ..functions.binding import let
 BLOCK_BYTES = 32 << 20
 # A ranked result is broadcast up to this many rows; it has k rows per question.
 BROADCAST_ROWS = 1_000_000
+# Bytes of question rows (one per hash table, each with its vector) that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def metadata_filter(
@@ -173,11 +175,13 @@ def exact_topk(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    first = queries.select(F.size(query_vec).alias("d")).filter("d > 0").first()
-    if first is None:
+    lengths = queries.select(F.size(query_vec).alias("d")).filter("d > 0").agg(F.min("d").alias("least"), F.max("d").alias("dim")).first()
+    if lengths["least"] != lengths["dim"]:
+        raise ValueError(f"question vectors have different lengths, from {lengths['least']} to {lengths['dim']}")
+    dim = lengths["dim"]
+    if dim is None:
         empty = candidates.sparkSession.createDataFrame([], out_type)
         return empty.withColumn("rank", F.lit(None).cast("int"))
-    dim = first["d"]
     arrow = to_arrow_schema(out_type)
     restricted = [c for _, c in filters] + ([dates[2]] if dates else [])
     asked = [q for q, _ in filters] + (list(dates[:2]) if dates else [])
@@ -318,18 +322,18 @@ def lsh_topk(
 ) -> DataFrame:
     """Approximate top k by cosine: only candidates that share a bucket with the question are scored.
 
-    The questions are the small side and are broadcast while their size allows it, so the
+    The questions are the small side and are broadcast while their measured bytes allow it, so the
     candidates stay where they are and a crowded bucket is not gathered anywhere. A pair
     that meets in several tables is kept in the first of them, without a distinct.
     """
     q = with_buckets(queries, model, vec).select(
-        query_id, F.col(vec).alias("_q"), F.col("buckets").alias("_qb"), F.posexplode(F.slice("buckets", 1, 1 << 10)).alias("_t", "_b")
+        query_id, F.col(vec).alias("_q"), F.col("buckets").alias("_qb"), F.posexplode(F.slice("buckets", 1, F.size("buckets"))).alias("_t", "_b")
     )
-    n = queries.count()
+    q_bytes = q.agg(F.sum(F.size("_q") * 8 + F.size("_qb") * 8 + 64)).first()[0] or 0
     c = (candidates if "buckets" in candidates.columns else with_buckets(candidates, model, vec)).select(
-        cand_id, F.col(vec).alias("_c"), F.col("buckets").alias("_cb"), F.posexplode(F.slice("buckets", 1, 1 << 10)).alias("_t", "_b")
+        cand_id, F.col(vec).alias("_c"), F.col("buckets").alias("_cb"), F.posexplode(F.slice("buckets", 1, F.size("buckets"))).alias("_t", "_b")
     )
-    side = F.broadcast(q) if n * model.getNumHashTables() <= BROADCAST_ROWS else q
+    side = F.broadcast(q) if q_bytes <= BROADCAST_BYTES else q
     first_table = F.array_position(
         F.zip_with("_qb", "_cb", lambda a, b: a == b), F.lit(True)
     ) == F.col("_t") + 1

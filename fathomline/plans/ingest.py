@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ from ..sources import sinks, tables
 
 @dataclass
 class IngestResult:
+    """What one run did, read from the tables of that run, which later runs leave alone."""
+
     filings: DataFrame
     rejected: DataFrame
     counts: DataFrame
@@ -36,30 +39,40 @@ def ingest_filings(
 ) -> IngestResult:
     """Resolve, select, parse, chunk, embed and score; then upsert chunks and sentiment.
 
-    ``raw_documents`` holds the landed HTML by accession number. Sections are written to a
-    table once, since chunks and scores both read them; a lost executor then costs no
-    second parse. Unknown tickers and filings without text come back as rejects.
+    ``raw_documents`` holds the landed HTML by accession number. Filings, rejects, sections and
+    counts of a run are written under ``{store}/runs/{id}`` before any store changes: the run's
+    choice of filings depends on the chunk store, and chunks and scores both read the sections. Unknown tickers and filings without text come back as rejects.
     """
     chunk_store = sinks.chunk_table(spark, f"{store}/chunks")
     known = chunk_store.read()
     wanted = requested if known is None else fl.skip_existing(requested, known, force)
+    run = f"{store.rstrip('/')}/runs/{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{run}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{run}/{name}")
+
     filings, rejected = fl.filings_for_tickers(wanted, ticker_map, submissions, form_type, limit)
+    filings = kept(filings, "filings")
     readable = fl.readable(raw_documents).select("accession_number", "html")
     unread = filings.join(readable, "accession_number", "left_anti").select(
         *[F.col(c) if c in filings.columns else F.lit(None).alias(c) for c in requested.columns],
         F.concat(F.lit("no text for "), "accession_number").alias("reason"),
     )
 
-    parsed = docs.parse_sections(filings.join(readable, "accession_number"))
-    sections_path = f"{store}/sections"
-    parsed.write.mode("overwrite").parquet(sections_path)
-    sections = spark.read.parquet(sections_path)
-
+    rejected = kept(rejected.unionByName(unread), "rejected")
+    sections = kept(docs.parse_sections(filings.join(readable, "accession_number")), "sections")
     chunks = docs.chunk_table(sections, chunk_size, overlap)
+    counts = kept(docs.ingest_counts(sections, chunks), "counts")
+    sinks.section_table(spark, f"{store}/sections").upsert(sections, replace_filing=True)
     chunk_store.upsert(encode(chunks, "document"))
     scores = sent.sentiment_series(sent.score_sections(sections, lexicon))
     sinks.sentiment_table(spark, f"{store}/sentiment").upsert(scores)
-    return IngestResult(filings, rejected.unionByName(unread), docs.ingest_counts(sections, chunks))
+    return IngestResult(filings, rejected, counts)
+
+
+def stored_sections(spark: SparkSession, store: str) -> DataFrame | None:
+    return sinks.section_table(spark, f"{store}/sections").read()
 
 
 def stored_chunks(spark: SparkSession, store: str) -> DataFrame | None:

@@ -14,6 +14,7 @@ def local_session(app: str = "fathomline", cores: int | str = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.fathomline.textPartitions", str(cores) if str(cores).isdigit() else "")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -34,8 +34,8 @@ class UpsertTable:
 
     An upsert reads and rewrites only the slots its batch falls into. The batch and then the
     merged slots are written aside, and the merge replaces the old slots by a dynamic
-    partition overwrite: no path is read and overwritten in one job, and a broken last step
-    can be repeated from the staged copy.
+    partition overwrite: no path is read and overwritten in one job. A broken last step is mended by
+    repeating the upsert, which gives the same rows.
     """
 
     def __init__(
@@ -101,6 +101,11 @@ def sentiment_table(spark: SparkSession, path: str) -> UpsertTable:
     return UpsertTable(spark, path, ["accession_number", "section"], slot_by=["accession_number"])
 
 
+def section_table(spark: SparkSession, path: str) -> UpsertTable:
+    """Sections of all filings that were ever ingested, by filing and name."""
+    return UpsertTable(spark, path, ["accession_number", "section"], slot_by=["accession_number"])
+
+
 def chunk_table(spark: SparkSession, path: str) -> UpsertTable:
     """Chunks sit in the slot of their filing, so replacing a filing touches one slot."""
     return UpsertTable(spark, path, ["chunk_id"], slot_by=["accession_number"])

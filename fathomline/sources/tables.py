@@ -8,31 +8,23 @@ from .. import schemas
 from ..functions import vectors as vx
 
 
-# Spark's default size of a scan split.
-FULL_SPLIT_BYTES = 128 << 20
+# Session setting: the number of tasks that texts are dealt out to before row-local work.
+TEXT_PARTITIONS = "spark.fathomline.textPartitions"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Deal a small table out over all cores before costly row-local work.
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, as it is scanned.
 
-    A file with one row group is one task. The shuffle is only made where the table has
-    fewer files than there are cores and is too small to fill them with full-size splits;
-    a large table is left as it is scanned.
+    A file with one row group is one task however small the splits are. A session over such
+    files (local runs) can set ``spark.fathomline.textPartitions``; it is unset by default.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
-    small = size < cores * FULL_SPLIT_BYTES and len(df.inputFiles()) < cores
-    return df.repartition(cores) if small else df
-
-
-def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(table(spark, folder, name), f"{folder}/{name}.parquet")
+    df = table(spark, folder, name)
+    parts = spark.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, QUERIES[name], SQL[name], SMALL) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"lda_topics", "doc_topics", "topic_mix", "dominant_topic"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 

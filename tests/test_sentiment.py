@@ -37,7 +37,7 @@ def test_blank(spark, text):
 
 
 def test_override_effect(spark):
-    assert score(spark, "The company recorded an impairment.")["compound"] < score(spark, "The company recorded a transaction.")["compound"]
+    assert score(spark, "Auditors found an impairment.")["compound"] < score(spark, "Auditors found a transaction.")["compound"]
     assert sn.override({"risk": 1.0, "odd": 2.0}, fv.FINANCE_LEXICON) == {"odd": 2.0, **fv.FINANCE_LEXICON}
 
 

@@ -158,6 +158,34 @@ def test_ingest_job(spark, landed, tmp_path):
     again = ingest.stored_chunks(spark, str(tmp_path / "store"))
     assert first < {r["chunk_id"] for r in again.collect()} and again.count() == 2 * len(first)
     assert ingest.store_overview(again).count() == 2
+    # What the first run returned is still readable and the same; sections of all runs are kept.
+    assert [r["accession_number"] for r in result.filings.orderBy("accession_number").collect()][0] == "0000000320-20-000000"
+    assert result.rejected.count() == 3 and [tuple(r)[:2] for r in result.counts.collect()] == [("0000000320-20-000000", 2)]
+    sections = ingest.stored_sections(spark, str(tmp_path / "store"))
+    assert {r["accession_number"] for r in sections.collect()} == {"0000000320-20-000000", "0000000077-20-000001"}
+
+
+def test_ingest_of_many_then_more(spark, tmp_path):
+    def landing(first, last):
+        (tmp_path / f"subs{first}").mkdir()
+        for k in range(first, last):
+            recent = {"form": ["10-K"], "accessionNumber": [f"{k:010d}-20-000001"], "filingDate": ["2020-01-01"], "primaryDocument": ["d.htm"]}
+            (tmp_path / f"subs{first}/{k}.json").write_text(json.dumps({"cik": f"{k:010d}", "name": f"Co {k}", "tickers": [f"T{k}"], "filings": {"recent": recent}}))
+        names = {str(k): {"cik_str": k, "ticker": f"T{k}", "title": f"Co {k}"} for k in range(first, last)}
+        (tmp_path / f"names{first}.json").write_text(json.dumps(names))
+        html = spark.createDataFrame([(f"{k:010d}-20-000001", HTML) for k in range(first, last)], "accession_number string, html string")
+        return tables.ticker_map(spark, str(tmp_path / f"names{first}.json")), tables.submissions(spark, str(tmp_path / f"subs{first}")), html
+
+    store = str(tmp_path / "many")
+    results = []
+    for first, last in ((1, 101), (101, 151)):
+        asked = requested(spark, *(f"T{k}" for k in range(first, last)), "none")
+        results.append(ingest.ingest_filings(spark, asked, *landing(first, last), store))
+    for result, n in zip(results, (100, 50)):
+        assert result.filings.count() == n and result.counts.count() == n
+        assert [r["reason"] for r in result.rejected.collect()] == ["unknown ticker"]
+    assert ingest.stored_sections(spark, store).select("accession_number").distinct().count() == 150
+    assert ingest.stored_chunks(spark, store).select("accession_number").distinct().count() == 150
 
 
 def test_streams(spark, tmp_path):
