@@ -70,6 +70,9 @@ def test_unusable_vectors_are_left_out(spark):
     asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert as_ranks(rt.exact_topk(asked, cands, 5)) == {(0, 1): 1, (0, 4): 2}
     assert rt.exact_topk(asked.limit(0), cands, 5).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="different lengths"):
+        rt.exact_topk(mixed, cands, 5)
 
 
 def test_single_vector(spark, vectors):
