@@ -696,6 +696,28 @@ WHERE doc_id NOT IN (SELECT accession_number FROM batch WHERE section = 'body')"
                         string_agg(document, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM firsts GROUP BY 1, 2""",
     )
 
+    sql["one_ticker_summary"] = f"FROM ({sql['filing_summary']}) WHERE ticker = 'SRC3'"
+    sql["series_store"] = sql["macro_monthly_last"]
+    sql["panel_store"] = sql["macro_panel"]
+    sql["observations_csv"] = with_(
+        OBS,
+        final="SELECT series_id, obs_date, value FROM obs WHERE obs_date BETWEEN DATE '1996-03-01' AND DATE '1999-10-31'",
+    )
+    sql["vectors_csv"] = """SELECT vec_id, len(v) AS n, round(sqrt(list_dot_product(v, v)), 6) AS norm, v[1] AS first, v[-1] AS last
+FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
+    sql["sentiment_dates"] = """SELECT 'C' || o_custkey AS ticker, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS filing_date,
+       o_orderkey::VARCHAR AS section, o_totalprice AS compound FROM orders"""
+    sql["ticker_filings"] = f"""WITH asked AS (
+  SELECT p_partkey, 'CUSTOMER#' || lpad(p_partkey::VARCHAR, 9, '0') AS ticker FROM part),
+found AS (SELECT a.ticker, c.* FROM asked a JOIN customer c ON upper(c.c_name) = a.ticker),
+index AS ({sql["filing_index"]})
+SELECT i.cik, i.form_type, i.accession_number, i.filing_date, i.primary_document, i.document_url, i.index_url, f.ticker,
+       CASE WHEN f.c_acctbal >= 0 THEN f.c_mktsegment ELSE f.ticker END AS company_name, '' AS reason
+FROM index i JOIN found f ON i.cik = lpad(f.c_custkey::VARCHAR, 10, '0')
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, ticker, NULL, 'unknown ticker' FROM asked
+WHERE ticker NOT IN (SELECT upper(c_name) FROM customer)"""
+
     stops = ", ".join(_str(w) for w in fv.FILING_STOP_WORDS)
     sql["tfidf"] = rf"""WITH words AS (
   SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({stops})) AS ws

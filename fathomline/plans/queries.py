@@ -8,6 +8,7 @@ benchmark texts are questions, and embeddings are stored vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,8 @@ from ..operators import (
     asof, correlation, documents as docs, embedding, filings as fl, profile, retrieval as rt,
     sentiment as sent, series as se, stores, topics,
 )
+from ..session import ensure_checkpoint_dir
+from ..sources import sinks, tables
 from ..sources.tables import table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +63,12 @@ def registered() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new path beside the checkpoints, which all executors share, for what a query writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid4().hex}"
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -734,3 +743,87 @@ def sample_rows(spark, d):
 @query
 def first_rows(spark, d):
     return profile.head(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), 5, "doc_id")
+
+
+# ---- written tables, read again ----------------------------------------------------------
+
+
+@query
+def series_store(spark, d):
+    sinks.write_series(se.monthly_series(order_obs(spark, d), limit=0, tie_break=TIES), path := _folder(spark))
+    return spark.read.parquet(path).select("series_id", "month", "value")
+
+
+@query
+def panel_store(spark, d):
+    sinks.write_panel(_QUERIES["macro_panel"](spark, d), path := _folder(spark))
+    return tables.read_if_exists(spark, path)
+
+
+@query
+def observations_csv(spark, d):
+    order_obs(spark, d).select("series_id", "obs_date", "value").write.option("header", True).csv(path := _folder(spark))
+    return tables.observations(spark, path, "1996-03-01", "1999-10-31", fmt="csv")
+
+
+@query
+def vectors_csv(spark, d):
+    sinks.write_vectors_csv(table(spark, d, "embeddings").select("vec_id", "embedding"), path := _folder(spark))
+    read = tables.vectors_csv(spark, path, "vec_id bigint, embedding string")
+    return read.select(
+        "vec_id", F.size("embedding").cast("bigint").alias("n"), F.round(vx.l2_norm(F.col("embedding")), 6).alias("norm"),
+        F.col("embedding")[0].cast("double").alias("first"), F.element_at("embedding", -1).cast("double").alias("last"),
+    )
+
+
+@query
+def sentiment_dates(spark, d):
+    day = F.col("o_orderdate").cast("date").cast("string")
+    records = table(spark, d, "orders").select(
+        F.concat(F.lit("C"), "o_custkey").alias("ticker"),
+        F.when(F.col("o_orderkey") % 7 == 0, "no date").otherwise(day).alias("filing_date"),
+        F.col("o_orderkey").cast("string").alias("section"),
+        F.col("o_totalprice").alias("compound"),
+    )
+    records.write.parquet(path := _folder(spark))
+    return sent.sentiment_series(tables.sentiment(spark, path)).select(
+        "ticker", F.col("filing_date").cast("date").alias("filing_date"), "section", "compound"
+    )
+
+
+# ---- one company of many -----------------------------------------------------------------
+
+
+@query
+def one_ticker_summary(spark, d):
+    return stores.summary_display(stores.filing_summary(source_store(spark, d)), ticker="SRC3")
+
+
+@query
+def ticker_filings(spark, d):
+    """The parallel-array index of each customer, asked for by ticker; unknown tickers are rejected."""
+    customers = table(spark, d, "customer")
+    key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    filing = F.struct(
+        "o_orderkey", F.col("o_orderstatus").alias("form"),
+        F.concat_ws("-", F.substring(key, 1, 6), F.substring(key, 7, 6)).alias("accession"),
+        F.col("o_orderdate").cast("date").cast("string").alias("day"),
+        F.concat(F.lit("doc"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("document"),
+    )
+    listed = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(filing)).alias("f"))
+    submissions = listed.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").cast("string").alias("cik"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("name"),
+        F.array("c_name").alias("tickers"), F.lit("").alias("sic"), F.lit("").alias("sicDescription"),
+        F.lit("").alias("stateOfIncorporation"),
+        F.struct(F.struct(
+            F.col("f.form").alias("form"), F.col("f.accession").alias("accessionNumber"),
+            F.col("f.day").alias("filingDate"), F.col("f.document").alias("primaryDocument"),
+        ).alias("recent")).alias("filings"),
+    )
+    requested = table(spark, d, "part").select(
+        F.concat(F.lit("customer#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("ticker")
+    )
+    known = customers.select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("cik_str"), F.col("c_mktsegment").alias("title"))
+    found, rejected = fl.filings_for_tickers(requested, known, submissions, "F", 5)
+    return found.withColumn("reason", F.lit("")).unionByName(rejected, allowMissingColumns=True)
