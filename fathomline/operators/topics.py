@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions.binding import let
@@ -105,12 +106,73 @@ def tfidf_table(
     return raw.select(doc_id, "term", "tf", (F.col("w") / norm).alias("weight"))
 
 
+#: Documents whose mixes are inferred together, and the bounds of that inference.
+INFER_DOCS = 512
+INFER_STEPS = 100
+INFER_CHANGE = 1e-3
+#: Documents per topic from which start values are drawn, and their weight beside noise around 1.
+START_DOCS = 16
+START_WEIGHT = 10.0
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma for positive values: recurrence up to 6, then the asymptotic series."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    while (low := x < 6).any():
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    r = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+
+
+def expected_log(weights: np.ndarray) -> np.ndarray:
+    """Expected log shares under a Dirichlet distribution per row."""
+    return digamma(weights) - digamma(weights.sum(axis=1, keepdims=True))
+
+
+def infer(ids: list, values: list, log_topics: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gamma, flat ids, contributions) of some documents with at least one term each.
+
+    Gamma holds a row of topic weights per document; each document stops by its own change, so the
+    result does not depend on which others it came with. Contributions are topics x flat ids.
+    """
+    sizes = np.array([len(x) for x in ids])
+    starts, owner = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(ids)), sizes)
+    flat, value = np.concatenate(ids), np.concatenate(values)
+    likely = np.exp(log_topics)[:, flat]
+    gamma, open_ = np.ones((len(ids), len(log_topics))), np.ones(len(ids), bool)
+    for _ in range(INFER_STEPS):
+        theta = np.exp(expected_log(gamma))
+        norm = (theta[owner].T * likely).sum(axis=0) + 1e-100
+        moved = prior + theta * np.add.reduceat(likely * (value / norm), starts, axis=1).T
+        change = np.abs(moved - gamma).mean(axis=1)
+        gamma[open_] = moved[open_]
+        open_ &= change > INFER_CHANGE
+        if not open_.any():
+            break
+    theta = np.exp(expected_log(gamma))
+    norm = (theta[owner].T * likely).sum(axis=0) + 1e-100
+    return gamma, flat, theta[owner].T * likely * (value / norm)
+
+
+def _sparse(features: Column) -> Column:
+    """A vector as the arrays (ids, values) of its terms."""
+    return let(
+        F.filter(
+            F.transform(vector_to_array(features), lambda x, i: F.struct(i.alias("id"), x.alias("value"))),
+            lambda e: e["value"] > 0,
+        ),
+        lambda e: F.struct(e["id"].alias("ids"), e["value"].alias("values")),
+    )
+
+
 @dataclass
 class TopicModel:
-    """A fitted topic model: the feature pipeline, the LDA and the vocabulary."""
+    """A fitted topic model: the feature pipeline, the topic weights (topics x terms) and the vocabulary."""
 
+    spark: SparkSession
     features: PipelineModel
-    lda: LDAModel
+    weights: np.ndarray
     vocabulary: list[str]
     stop_words: list[str]
     text: str
@@ -118,27 +180,194 @@ class TopicModel:
 
     @property
     def n_topics(self) -> int:
-        return self.lda.getK()
+        return len(self.weights)
 
     def _prepared(self, docs: DataFrame) -> DataFrame:
         return docs.withColumn("_terms", terms(F.col(self.text), self.stop_words))
 
     def topics(self, n_words: int = 10, n_topics: int | None = None) -> DataFrame:
         """(topic, words, weights), the heaviest words of each topic first."""
-        vocab = F.lit(self.vocabulary)
-        top = self.lda.describeTopics(n_words).select(
-            "topic",
-            F.transform("termIndices", lambda i: F.get(vocab, i)).alias("words"),
-            F.col("termWeights").alias("weights"),
+        rows = []
+        for topic, w in enumerate((self.weights / self.weights.sum(axis=1, keepdims=True))[:n_topics]):
+            best = np.argsort(-w, kind="stable")[:n_words]
+            rows.append((topic, [self.vocabulary[i] for i in best], [float(w[i]) for i in best]))
+        return self.spark.createDataFrame(rows, "topic int, words array<string>, weights array<double>")
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        """Adds ``topic_0`` .. ``topic_{k-1}``, the topic mix of each document; all zero without known terms."""
+        log_topics, k = expected_log(self.weights), self.n_topics
+
+        @F.pandas_udf("array<double>")
+        def mix(ids: pd.Series, values: pd.Series) -> pd.Series:
+            out = [np.zeros(k)] * len(ids)
+            known = np.flatnonzero([len(x) > 0 for x in ids])
+            for at in range(0, len(known), INFER_DOCS):
+                some = known[at : at + INFER_DOCS]
+                gamma = infer(list(ids.iloc[some]), list(values.iloc[some]), log_topics, 1 / k)[0]
+                for i, g in zip(some, gamma):
+                    out[i] = g / g.sum()
+            return pd.Series(out)
+
+        sparse = self.features.transform(self._prepared(docs)).select(*docs.columns, _sparse(F.col("features")).alias("_s"))
+        mixed = sparse.select(*docs.columns, mix("_s.ids", "_s.values").alias("_mix"))
+        return mixed.select(*docs.columns, *(F.col("_mix")[i].alias(f"topic_{i}") for i in range(k)))
+
+    def dominant(self, docs: DataFrame, n_words: int = 10) -> DataFrame:
+        """Adds the leading topic (the first one on ties), its words and its share."""
+        mixed = self.transform(docs)
+        mix = F.array(*[f"topic_{i}" for i in range(self.n_topics)])
+        top = mixed.select(
+            *docs.columns,
+            (F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"),
+            F.array_max(mix).alias("probability"),
         )
-        return top if n_topics is None else top.filter(F.col("topic") < n_topics)
+        # One row per topic on the broadcast side.
+        return top.join(F.broadcast(self.topics(n_words).select("topic", "words")), "topic").select(
+            *docs.columns, "topic", "words", "probability"
+        )
+
+
+def fit_topics(
+    docs: DataFrame,
+    text: str = "text",
+    n_topics: int = 8,
+    max_features: int = 5000,
+    max_iter: int = 20,
+    seed: int = 42,
+    min_df: int = 2,
+    max_df: float = 0.9,
+    stop_words: list[str] | None = None,
+    perplexity: bool = False,
+) -> TopicModel:
+    """TF-IDF and LDA over a corpus.
+
+    Batch variational inference: every pass infers the mixes of all documents under the topics of
+    the pass before and replaces the topics by the sums. A task sends one row per term it has seen,
+    with a value per topic; topics x terms is all that reaches the driver, bounded by the vocabulary.
+    Start values depend on the seed and the texts alone. Term weights are written to the checkpoint folder once,
+    because the fit reads them on every pass; texts are only read to count terms.
+    """
+    stops = english_stop_words() if stop_words is None else stop_words
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    vocab = vocabulary(docs, text, stops, max_features, min_df, max_df).select(
+        "term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
+    )
+    raw = (
+        docs.select(F.col(doc_id), F.explode(terms(F.col(text), stops)).alias("term"))
+        .join(F.broadcast(vocab), "term")
+        .groupBy(doc_id, "term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+        .withColumn("w", F.col("tf") * F.col("idf"))
+    )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
+    return raw.select(doc_id, "term", "tf", (F.col("w") / norm).alias("weight"))
+
+
+#: Documents whose mixes are inferred together, and the bounds of that inference.
+INFER_DOCS = 512
+INFER_STEPS = 100
+INFER_CHANGE = 1e-3
+#: Documents per topic from which start values are drawn, and their weight beside noise around 1.
+START_DOCS = 16
+START_WEIGHT = 10.0
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma for positive values: recurrence up to 6, then the asymptotic series."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    while (low := x < 6).any():
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    r = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+
+
+def expected_log(weights: np.ndarray) -> np.ndarray:
+    """Expected log shares under a Dirichlet distribution per row."""
+    return digamma(weights) - digamma(weights.sum(axis=1, keepdims=True))
+
+
+def infer(ids: list, values: list, log_topics: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gamma, flat ids, contributions) of some documents with at least one term each.
+
+    Gamma holds a row of topic weights per document; each document stops by its own change, so the
+    result does not depend on which others it came with. Contributions are topics x flat ids.
+    """
+    sizes = np.array([len(x) for x in ids])
+    starts, owner = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(ids)), sizes)
+    flat, value = np.concatenate(ids), np.concatenate(values)
+    likely = np.exp(log_topics)[:, flat]
+    gamma, open_ = np.ones((len(ids), len(log_topics))), np.ones(len(ids), bool)
+    for _ in range(INFER_STEPS):
+        theta = np.exp(expected_log(gamma))
+        norm = (theta[owner].T * likely).sum(axis=0) + 1e-100
+        moved = prior + theta * np.add.reduceat(likely * (value / norm), starts, axis=1).T
+        change = np.abs(moved - gamma).mean(axis=1)
+        gamma[open_] = moved[open_]
+        open_ &= change > INFER_CHANGE
+        if not open_.any():
+            break
+    theta = np.exp(expected_log(gamma))
+    norm = (theta[owner].T * likely).sum(axis=0) + 1e-100
+    return gamma, flat, theta[owner].T * likely * (value / norm)
+
+
+def _sparse(features: Column) -> Column:
+    """A vector as the arrays (ids, values) of its terms."""
+    return let(
+        F.filter(
+            F.transform(vector_to_array(features), lambda x, i: F.struct(i.alias("id"), x.alias("value"))),
+            lambda e: e["value"] > 0,
+        ),
+        lambda e: F.struct(e["id"].alias("ids"), e["value"].alias("values")),
+    )
+
+
+@dataclass
+class TopicModel:
+    """A fitted topic model: the feature pipeline, the topic weights (topics x terms) and the vocabulary."""
+
+    spark: SparkSession
+    features: PipelineModel
+    weights: np.ndarray
+    vocabulary: list[str]
+    stop_words: list[str]
+    text: str
+    log_perplexity: float | None = None
+
+    @property
+    def n_topics(self) -> int:
+        return len(self.weights)
+
+    def _prepared(self, docs: DataFrame) -> DataFrame:
+        return docs.withColumn("_terms", terms(F.col(self.text), self.stop_words))
+
+    def topics(self, n_words: int = 10, n_topics: int | None = None) -> DataFrame:
+        """(topic, words, weights), the heaviest words of each topic first."""
+        rows = []
+        for topic, w in enumerate((self.weights / self.weights.sum(axis=1, keepdims=True))[:n_topics]):
+            best = np.argsort(-w, kind="stable")[:n_words]
+            rows.append((topic, [self.vocabulary[i] for i in best], [float(w[i]) for i in best]))
+        return self.spark.createDataFrame(rows, "topic int, words array<string>, weights array<double>")
 
     def transform(self, docs: DataFrame) -> DataFrame:
-        """Adds ``topic_0`` .. ``topic_{k-1}``, the topic mix of each document."""
-        mixed = self.lda.transform(self.features.transform(self._prepared(docs)))
-        mixed = mixed.withColumn("_mix", vector_to_array("topicDistribution"))
-        shares = [F.col("_mix")[i].alias(f"topic_{i}") for i in range(self.n_topics)]
-        return mixed.select(*docs.columns, *shares)
+        """Adds ``topic_0`` .. ``topic_{k-1}``, the topic mix of each document; all zero without known terms."""
+        log_topics, k = expected_log(self.weights), self.n_topics
+
+        @F.pandas_udf("array<double>")
+        def mix(ids: pd.Series, values: pd.Series) -> pd.Series:
+            out = [np.zeros(k)] * len(ids)
+            known = np.flatnonzero([len(x) > 0 for x in ids])
+            for at in range(0, len(known), INFER_DOCS):
+                some = known[at : at + INFER_DOCS]
+                gamma = infer(list(ids.iloc[some]), list(values.iloc[some]), log_topics, 1 / k)[0]
+                for i, g in zip(some, gamma):
+                    out[i] = g / g.sum()
+            return pd.Series(out)
+
+        sparse = self.features.transform(self._prepared(docs)).select(*docs.columns, _sparse(F.col("features")).alias("_s"))
+        mixed = sparse.select(*docs.columns, mix("_s.ids", "_s.values").alias("_mix"))
+        return mixed.select(*docs.columns, *(F.col("_mix")[i].alias(f"topic_{i}") for i in range(k)))
 
     def dominant(self, docs: DataFrame, n_words: int = 10) -> DataFrame:
         """Adds the leading topic (the first one on ties), its words and its share."""
@@ -182,19 +411,90 @@ def fit_topics(
     vocab, n_docs = [r["term"] for r in rows], docs.count()
     weights = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
     counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_tf")
-    counts = cut_lineage(counter.transform(prepared).select("_tf"))
     idf = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_tfidf")
     unit = Normalizer(inputCol="_tfidf", outputCol="features")
-    features = unit.transform(idf.transform(counts)).select("features")
-    lda = LDA(
-        k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
-        learningOffset=1.0, learningDecay=1e-9, optimizeDocConcentration=False,
-    )
-    model = lda.fit(features)
-    return TopicModel(
-        PipelineModel([counter, idf, unit]), model, vocab, stops, text,
-        model.logPerplexity(features) if perplexity else None,
-    )
+    pipeline = PipelineModel([counter, idf, unit])
+    sparse = pipeline.transform(prepared).select(_sparse(F.col("features")).alias("s")).select("s.ids", "s.values")
+    sparse = cut_lineage(sparse.where(F.size("ids") > 0))
+    topics = _start(sparse, n_topics, len(vocab), seed)
+    for _ in range(max_iter):
+        topics = 1 / n_topics + _sums(sparse, topics)
+    model = TopicModel(docs.sparkSession, pipeline, topics, vocab, stops, text)
+    if perplexity:
+        model.log_perplexity = _log_perplexity(sparse, topics)
+    return model
+
+
+def _start(sparse: DataFrame, k: int, n_terms: int, seed: int) -> np.ndarray:
+    """Topics (topics x terms) to begin with: noise plus one document each, drawn to lie far apart.
+
+    The draw is among START_DOCS documents per topic, the first ones by a hash of their terms and the
+    seed. Later passes use all documents.
+    """
+    rng = np.random.default_rng(seed)
+    topics = rng.gamma(100.0, 0.01, (k, n_terms))
+    rows = sparse.orderBy(F.xxhash64("ids", "values", F.lit(seed))).limit(START_DOCS * k).collect()
+    if not rows:
+        return topics
+    drawn = np.zeros((len(rows), n_terms))
+    for r, row in enumerate(rows):
+        drawn[r, row["ids"]] = row["values"]
+    apart = np.ones(len(rows))
+    for t in range(k):
+        chance = apart**2 if apart.any() else np.ones(len(rows))
+        pick = rng.choice(len(rows), p=chance / chance.sum())
+        topics[t] += START_WEIGHT * drawn[pick]
+        apart = np.minimum(apart, np.maximum(0, 1 - drawn @ drawn[pick]))
+    return topics
+
+
+def _sums(sparse: DataFrame, topics: np.ndarray) -> np.ndarray:
+    """Expected term weights per topic (topics x terms) over all documents (ids, values)."""
+    log_topics, (k, n_terms) = expected_log(topics), topics.shape
+
+    def run(frames):
+        total = np.zeros((k, n_terms))
+        for frame in frames:
+            for at in range(0, len(frame), INFER_DOCS):
+                some = frame.iloc[at : at + INFER_DOCS]
+                _, flat, parts = infer(list(some["ids"]), list(some["values"]), log_topics, 1 / k)
+                for t in range(k):
+                    total[t] += np.bincount(flat, parts[t], n_terms)
+        seen = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"term": seen, "parts": list(total[:, seen].T)})
+
+    parts = sparse.mapInPandas(run, "term long, parts array<double>")
+    found = parts.groupBy("term").agg(*(F.sum(F.col("parts")[t]).alias(f"t{t}") for t in range(k))).toPandas()
+    out = np.zeros((k, n_terms))
+    out[:, found["term"].to_numpy(int)] = found[[f"t{t}" for t in range(k)]].to_numpy(float).T
+    return out
+
+
+def _log_perplexity(sparse: DataFrame, topics: np.ndarray) -> float:
+    """The negative variational bound per unit of term weight."""
+    log_topics, (k, n_terms) = expected_log(topics), topics.shape
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+    def dirichlet(weights: np.ndarray, logs: np.ndarray, prior: float) -> float:
+        """Expected log prior less the expected log of the inferred distribution, summed over rows."""
+        n = weights.shape[1]
+        own = (log_gamma(weights) + (prior - weights) * logs).sum() - log_gamma(weights.sum(axis=1)).sum()
+        return float(own + len(weights) * (math.lgamma(prior * n) - n * math.lgamma(prior)))
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), INFER_DOCS):
+                some = frame.iloc[at : at + INFER_DOCS]
+                ids, values = list(some["ids"]), list(some["values"])
+                gamma = infer(ids, values, log_topics, 1 / k)[0]
+                logs = expected_log(gamma)
+                owner, flat = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
+                value = np.concatenate(values)
+                fit = (value * np.log(np.exp(logs[owner].T + log_topics[:, flat]).sum(axis=0))).sum()
+                yield pd.DataFrame({"bound": [fit + dirichlet(gamma, logs, 1 / k)], "weight": [value.sum()]})
+
+    bound, weight = sparse.mapInPandas(run, "bound double, weight double").agg(F.sum("bound"), F.sum("weight")).first()
+    return -(bound + dirichlet(topics, log_topics, 1 / k)) / weight
 
 
 def topic_mix(doc_topics: DataFrame, group: str) -> DataFrame:
