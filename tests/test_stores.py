@@ -1,6 +1,5 @@
 import json
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,33 +223,6 @@ def test_topics(spark, corpus):
     assert topics.topic_mix(mixed, "ticker").columns == ["ticker", "topic_0", "topic_1", "topic_2"]
 
 
-def test_topics_do_not_depend_on_partitions(spark, corpus):
-    few, many = (topics.fit_topics(corpus.repartition(n), n_topics=3, max_iter=5, perplexity=True) for n in (2, 7))
-    assert np.allclose(few.weights, many.weights, rtol=1e-8) and abs(few.log_perplexity - many.log_perplexity) < 1e-8
-    assert [r["words"] for r in few.topics(5).collect()] == [r["words"] for r in many.topics(5).collect()]
-
-
-def test_topic_sums_cover_all_documents(spark):
-    """One pass against a plain loop over documents: whatever is spread over the topics sums up to the input."""
-    rng = np.random.default_rng(5)
-    rows = [(sorted(rng.choice(12, 4, replace=False).tolist()), rng.random(4).tolist()) for _ in range(50)]
-    start = rng.gamma(100.0, 0.01, (3, 12))
-    got = topics._sums(spark.createDataFrame(rows, "ids array<int>, values array<double>").repartition(4), start)
-    logs, want = topics.expected_log(start), np.zeros((3, 12))
-    for ids, values in rows:
-        gamma = np.ones(3)
-        for _ in range(topics.INFER_STEPS):
-            share = np.exp(topics.expected_log(gamma[None])[0][:, None] + logs[:, ids])
-            moved = 1 / 3 + (share / share.sum(axis=0) * values).sum(axis=1)
-            done, gamma = np.abs(moved - gamma).mean() <= topics.INFER_CHANGE, moved
-            if done:
-                break
-        share = np.exp(topics.expected_log(gamma[None])[0][:, None] + logs[:, ids])
-        want[:, ids] += share / share.sum(axis=0) * values
-    assert np.allclose(got, want) and abs(got.sum() - sum(sum(v) for _, v in rows)) < 1e-9
-    assert np.allclose(topics.digamma(np.array([0.125, 1.0, 9.5])), [-8.3884925, -0.5772157, 2.1977379], atol=1e-6)
-
-
 def test_topics_need_documents(spark, corpus):
     with pytest.raises(ValueError):
         topics.fit_topics(corpus.limit(0))
