@@ -175,90 +175,6 @@ def fit_topics(
     texts are only read to count terms.
     """
     stops = english_stop_words() if stop_words is None else stop_words
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(docs, text, stops, max_features, min_df, max_df).select(
-        "term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
-    )
-    raw = (
-        docs.select(F.col(doc_id), F.explode(terms(F.col(text), stops)).alias("term"))
-        .join(F.broadcast(vocab), "term")
-        .groupBy(doc_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
-        .withColumn("w", F.col("tf") * F.col("idf"))
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
-    return raw.select(doc_id, "term", "tf", (F.col("w") / norm).alias("weight"))
-
-
-@dataclass
-class TopicModel:
-    """A fitted topic model: the feature pipeline, the LDA and the vocabulary."""
-
-    features: PipelineModel
-    lda: LDAModel
-    vocabulary: list[str]
-    stop_words: list[str]
-    text: str
-    log_perplexity: float | None = None
-
-    @property
-    def n_topics(self) -> int:
-        return self.lda.getK()
-
-    def _prepared(self, docs: DataFrame) -> DataFrame:
-        return docs.withColumn("_terms", terms(F.col(self.text), self.stop_words))
-
-    def topics(self, n_words: int = 10, n_topics: int | None = None) -> DataFrame:
-        """(topic, words, weights), the heaviest words of each topic first."""
-        vocab = F.lit(self.vocabulary)
-        top = self.lda.describeTopics(n_words).select(
-            "topic",
-            F.transform("termIndices", lambda i: F.get(vocab, i)).alias("words"),
-            F.col("termWeights").alias("weights"),
-        )
-        return top if n_topics is None else top.filter(F.col("topic") < n_topics)
-
-    def transform(self, docs: DataFrame) -> DataFrame:
-        """Adds ``topic_0`` .. ``topic_{k-1}``, the topic mix of each document."""
-        mixed = self.lda.transform(self.features.transform(self._prepared(docs)))
-        mixed = mixed.withColumn("_mix", vector_to_array("topicDistribution"))
-        shares = [F.col("_mix")[i].alias(f"topic_{i}") for i in range(self.n_topics)]
-        return mixed.select(*docs.columns, *shares)
-
-    def dominant(self, docs: DataFrame, n_words: int = 10) -> DataFrame:
-        """Adds the leading topic (the first one on ties), its words and its share."""
-        mixed = self.transform(docs)
-        mix = F.array(*[f"topic_{i}" for i in range(self.n_topics)])
-        top = mixed.select(
-            *docs.columns,
-            (F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"),
-            F.array_max(mix).alias("probability"),
-        )
-        # One row per topic on the broadcast side.
-        return top.join(F.broadcast(self.topics(n_words).select("topic", "words")), "topic").select(
-            *docs.columns, "topic", "words", "probability"
-        )
-
-
-def fit_topics(
-    docs: DataFrame,
-    text: str = "text",
-    n_topics: int = 8,
-    max_features: int = 5000,
-    max_iter: int = 20,
-    seed: int = 42,
-    min_df: int = 2,
-    max_df: float = 0.9,
-    stop_words: list[str] | None = None,
-    perplexity: bool = False,
-) -> TopicModel:
-    """TF-IDF and LDA over a corpus.
-
-    Every pass uses all documents and replaces the topics fully (no decaying average), which
-    is batch variational inference. Term counts are written to the checkpoint folder once,
-    because the fit reads them on every pass; texts are only read to count terms.
-    """
-    stops = english_stop_words() if stop_words is None else stop_words
     prepared = docs.select(terms(F.col(text), stops).alias("_terms"))
     # At most ``max_features`` rows come to the driver.
     rows = vocabulary(docs, text, stops, max_features, min_df, max_df).collect()
