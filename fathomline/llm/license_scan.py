@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-A candidate block is a paragraph with a license cue. It is compressed once alone and once with each
-template as a raw dictionary; the more its size falls, the more of it the template explains.
+A candidate block is a line or paragraph with a license cue, or of a long one a piece around each cue. It is
+compressed once alone and once with each template as a raw dictionary; the more its size falls, the more of it
+the template explains.
 Templates are tried in order of the reduction, and one is confirmed by the exact differences in wording: words
 added and words missing, of which none may be among the words that make the license what it is.
 
@@ -13,8 +14,9 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -25,8 +27,11 @@ from .shared import Cache
 LEVEL = 3
 #: A confirmed block lacks at most this share of the template's words.
 MISSING = 0.15
-#: Characters of a stretch of a long paragraph; the longest template has under a quarter of it.
+#: Lines and paragraphs of more characters are cut into pieces of so many. From 16 KB on zstandard takes other
+#: parameters, and the size no longer falls.
 STRETCH = 2400
+#: Characters on both sides of a cue that lie in one piece with it: twice the longest template or more.
+REACH = 900
 CUES = ("licen", "copyright", "permission is hereby", "redistribution and use", "public domain", "creativecommons", "cc by", "cc-by", "cc0", "warrant")
 
 
@@ -68,43 +73,71 @@ _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _NAMES = {w for t in TEMPLATES for w in t.own if len(w) <= 3 or w in ("lesser", "affero", "apache", "mozilla")} | {"noncommercial", "sharealike", "noderivatives"}
 
 
+_CUE = re.compile("|".join(map(re.escape, CUES)))
+_TOKEN = re.compile(r"\S+")
+#: A piece ends between words; only a longer run without white space is cut inside.
+LONG_TOKEN = 64
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(start, block): each line that has a cue, and each paragraph of several lines that has one.
+def lowered(text: str) -> str:
+    """``text`` in small letters, each at its place."""
+    low = text.lower()
+    # some capitals lower to two characters, which would shift places
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
 
-    Of a paragraph longer than any notice, stretches of lines are taken instead, each from the
-    line before a cue on and longer than the longest template.
+def pieces(low: str, start: int, end: int, reach: int = REACH, stretch: int = STRETCH) -> list[tuple[int, int]]:
+    """(start, end) of overlapping pieces of ``low[start:end]``; each cue has ``reach`` characters on both sides in one of them.
+
+    So a notice that is no longer than that lies whole in the piece of its cue. White space counts as one character.
+    """
+    tokens = [m.span() for m in _TOKEN.finditer(low, start, end)]
+    firsts = [a for a, _ in tokens]
+    flat = list(accumulate((b - a + 1 for a, b in tokens), initial=0))
+    total = flat.pop()
+    out, upto = [], -1
+    for cue in _CUE.finditer(low, start, end):
+        k = bisect_right(firsts, cue.start()) - 1
+        at = flat[k] + cue.start() - firsts[k]
+        if min(at + reach, total) <= upto:
+            continue
+        begin = max(0, at - reach)
+        upto = min(begin + stretch, total)
+        k = bisect_right(flat, begin) - 1
+        inside = begin - flat[k]
+        first = firsts[k] + (inside if inside > LONG_TOKEN else 0)
+        k = bisect_right(flat, upto - 1) - 1
+        inside = upto - flat[k]
+        last = firsts[k] + inside if tokens[k][1] - firsts[k] - inside > LONG_TOKEN else tokens[k][1]
+        out.append((first, last))
+    return out
+
+
+def blocks(text: str, reach: int = REACH, stretch: int = STRETCH) -> list[tuple[int, str, bool]]:
+    """(start, block, cut): each line that has a cue, and each paragraph of several lines that has one.
+
+    Of a line or paragraph longer than any notice, ``pieces`` are taken instead.
     """
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
-    if len(low) != len(text):  # some capitals lower to two characters, which would shift places
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = lowered(text)
     out, at = [], 0
     for part in text.split("\n\n"):
         if any(c in low[at : at + len(part)] for c in CUES):
-            places, inner = [], at
-            for line in part.split("\n"):
-                places.append((inner, inner + len(line)))
+            inner, lines = at, part.split("\n")
+            for line in lines:
+                if len(line) <= stretch and any(c in low[inner : inner + len(line)] for c in CUES):
+                    out.append((inner, line, False))
                 inner += len(line) + 1
-            cued = [k for k, (a, b) in enumerate(places) if any(c in low[a:b] for c in CUES)]
-            out += [(places[k][0], text[places[k][0] : places[k][1]]) for k in cued]
-            if len(places) > 1 and len(part) <= STRETCH:
-                out.append((at, part))
-            elif len(places) > 1:
-                covered = -1
-                for k in cued:
-                    if places[k][1] > covered:
-                        first = k - 1 if k and places[k][0] - places[k - 1][0] < STRETCH // 4 else k
-                        start, last = places[first][0], k
-                        while last + 1 < len(places) and places[last + 1][1] - start <= STRETCH:
-                            last += 1
-                        covered = places[last][1]
-                        if last > first:
-                            out.append((start, text[start:covered]))
+            if len(part) > stretch:
+                out += [(a, text[a:b], True) for a, b in pieces(low, at, at + len(part), reach, stretch)]
+            elif len(lines) > 1:
+                out.append((at, part, False))
         at += len(part) + 2
     return out
 
@@ -120,7 +153,9 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(dict_data=d, **options) for d in held]
         self.templates, self.missing = templates, missing
         self.words = [words(t.text) for t in templates]
-        self.answers = Cache(self._name, 20_000)
+        self.reach = max([REACH, *(2 * len(t.text) for t in templates)])
+        self.stretch = max(STRETCH, self.reach * 8 // 3)
+        self.answers, self.parts = Cache(self._name, 20_000), Cache(self._parts, 5_000)
 
     def reductions(self, block: str) -> list[float]:
         raw = " ".join(block.lower().split()).encode("utf-8", "replace")
@@ -135,39 +170,56 @@ class Scanner:
         for k in sorted(range(len(falls)), key=lambda i: (-falls[i], i)):
             if falls[k] <= 0:
                 break
-            added, lost = self.differences(own, self.words[k])
+            added, lost, first, last = self.differences(own, self.words[k])
             template = self.templates[k]
             if len(lost) <= self.missing * len(self.words[k]) and not (set(lost) & set(template.own)) and not (set(added) & _NAMES):
-                return template.name, falls[k], added, lost
+                return template.name, falls[k], added, lost, first, last
         return None
 
+    def _parts(self, block: str) -> list[tuple]:
+        """(name, fall, added, lost, start, end) of every notice in a piece, at the place of its own words."""
+        out, rest = [], [(0, lowered(block))]
+        while rest:
+            at, low = rest.pop()
+            answer = self._name(low) if _CUE.search(low) else None
+            if answer:
+                spans = [m.span() for m in _WORD.finditer(low)]
+                start, end = spans[answer[4]][0], spans[answer[5] - 1][1]
+                out.append((*answer[:4], at + start, at + end))
+                rest += [(at, low[:start]), (at + end, low[end:])]
+        return sorted(out, key=lambda x: x[4:])
+
     @staticmethod
-    def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-        """Words of the part of ``block`` facing the template that it lacks, and template words that are not there."""
+    def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int]:
+        """Words of the part of ``block`` facing the template that it lacks, template words that are not there, and that part."""
         match = difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks()
         hit = [m for m in match if m.size]
         if not hit:
-            return block, template
+            return block, template, 0, len(block)
         lost = set(range(len(template))) - {m.b + k for m in hit for k in range(m.size)}
         first, last = hit[0].a, hit[-1].a + hit[-1].size
         inside = set(range(first, last)) - {m.a + k for m in hit for k in range(m.size)}
-        return [block[k] for k in sorted(inside)], [template[k] for k in sorted(lost)]
+        return [block[k] for k in sorted(inside)], [template[k] for k in sorted(lost)], first, last
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """The number of candidate blocks, and the confirmed ones."""
-        candidates = blocks(text)
-        # a line is answered before the stretch around it; the narrower one stands for its license
+        candidates = blocks(text, self.reach, self.stretch)
+        # a line is answered before the paragraph around it; the narrower one stands for its license
         found: list[dict] = []
         ends: dict[str, list[tuple[int, int]]] = {}
-        for start, block in sorted(candidates, key=lambda c: (len(c[1]), c[0])):
-            answer = self.answers[block] if len(block) <= STRETCH else self._name(block)
-            if answer:
-                name, fall, added, lost = answer
+        for start, block, cut in sorted(candidates, key=lambda c: (c[2], len(c[1]), c[0])):
+            if cut:
+                answers = [(*a[:4], start + a[4], start + a[5]) for a in self.parts[block]]
+            else:
+                answers = [(*a[:4], start, start + len(block)) for a in (self.answers[block],) if a]
+            for name, fall, added, lost, first, last in answers:
                 inside = ends.setdefault(name, [])
-                k = bisect_left(inside, (start, 0))
-                if k == len(inside) or inside[k][1] > start + len(block):
-                    inside.insert(k, (start, start + len(block)))
-                    found.append({"license": name, "start": start, "length": len(block), "reduction": fall, "added": added, "missing": lost})
+                k = bisect_left(inside, (first, 0))
+                # pieces overlap, so a notice can be met twice
+                known = k < len(inside) and inside[k][1] <= last or cut and (k > 0 and inside[k - 1][1] > first or k < len(inside) and inside[k][0] < last)
+                if not known:
+                    inside.insert(k, (first, last))
+                    found.append({"license": name, "start": first, "length": last - first, "reduction": fall, "added": added, "missing": lost})
         return len(candidates), sorted(found, key=lambda m: (m["start"], m["length"], m["license"]))
 
 
@@ -178,7 +230,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, missing:
     """(doc_id, n_blocks, licenses, matches) of every row of ``docs`` (doc_id, text).
 
     ``n_blocks`` counts candidate blocks, ``licenses`` lists the confirmed names sorted, ``matches`` has place,
-    size reduction and differing words of each. Whole texts are scanned. Null and empty texts have no block;
+    size reduction and differing words of each; in a line or paragraph over ``STRETCH`` characters the place is that
+    of the notice's own words. Whole texts are scanned. Null and empty texts have no block;
     ties in reduction go to the earlier template; repeated rows are all returned; other columns are not read.
     """
     match = pa.struct(

@@ -425,3 +425,21 @@ def test_licenses(spark):
     first = next(r for r in got if r["doc_id"] == 0)["matches"][0]
     assert texts[0][first["start"] : first["start"] + first["length"]] == "Released under the MIT License." and first["added"] == first["missing"] == []
     assert ls.scan(table.limit(0)).count() == 0
+
+
+def test_licenses_in_long_lines():
+    rng = random.Random(12)
+    scanner = ls.Scanner()
+    for k in (0, 5, 3):
+        notice, name = ls.TEMPLATES[k].text, ls.TEMPLATES[k].name
+        for size in (1_000, 2_000, 8_000, 20_000):  # up to 100 KB in one line
+            before, after = prose(rng, size // 2), prose(rng, size // 2)
+            found = scanner.scan(f"{before} {notice} {after}")[1]
+            assert [m["license"] for m in found] == [name]
+            if size > 1_000:
+                cut = f"{before} {notice} {after}"[found[0]["start"] : found[0]["start"] + found[0]["length"]]
+                assert ls.words(cut) == ls.words(notice)
+    line = f"{prose(rng, 9000)} {ls.TEMPLATES[0].text} {prose(rng, 20)} {ls.TEMPLATES[6].text} {prose(rng, 9000)}"
+    assert [m["license"] for m in scanner.scan(line)[1]] == ["MIT", "Apache-2.0"]
+    assert scanner.scan("x" * 50_000 + " Released under the MIT License. " + "y" * 50_000)[1][0]["license"] == "MIT"
+    assert scanner.scan("the licence of a driver " * 5_000)[1] == []
