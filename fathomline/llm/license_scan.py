@@ -73,7 +73,8 @@ _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _NAMES = {w for t in TEMPLATES for w in t.own if len(w) <= 3 or w in ("lesser", "affero", "apache", "mozilla")} | {"noncommercial", "sharealike", "noderivatives"}
 
 
-_CUE = re.compile("|".join(map(re.escape, CUES)))
+#: The words of a cue may be wrapped, with comment marks between them.
+_CUE = re.compile("|".join(re.escape(c).replace(r"\ ", r"\W{1,40}") for c in CUES))
 _TOKEN = re.compile(r"\S+")
 #: A piece ends between words; only a longer run without white space is cut inside.
 LONG_TOKEN = 64
@@ -122,16 +123,15 @@ def blocks(text: str, reach: int = REACH, stretch: int = STRETCH) -> list[tuple[
 
     Of a line or paragraph longer than any notice, ``pieces`` are taken instead.
     """
-    low = text.lower()
-    if not any(c in low for c in CUES):
-        return []
     low = lowered(text)
+    if not _CUE.search(low):
+        return []
     out, at = [], 0
     for part in text.split("\n\n"):
-        if any(c in low[at : at + len(part)] for c in CUES):
+        if _CUE.search(low, at, at + len(part)):
             inner, lines = at, part.split("\n")
             for line in lines:
-                if len(line) <= stretch and any(c in low[inner : inner + len(line)] for c in CUES):
+                if len(line) <= stretch and _CUE.search(low, inner, inner + len(line)):
                     out.append((inner, line, False))
                 inner += len(line) + 1
             if len(part) > stretch:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -443,3 +444,19 @@ def test_licenses_in_long_lines():
     assert [m["license"] for m in scanner.scan(line)[1]] == ["MIT", "Apache-2.0"]
     assert scanner.scan("x" * 50_000 + " Released under the MIT License. " + "y" * 50_000)[1][0]["license"] == "MIT"
     assert scanner.scan("the licence of a driver " * 5_000)[1] == []
+
+
+def test_licenses_in_long_wrapped_paragraphs():
+    rng = random.Random(13)
+    scanner = ls.Scanner()
+    wrapped = lambda text, width: "\n".join(textwrap.wrap(text, width))
+    for k in (3, 9, 10, 14, 20):  # MIT, GPL 3 and 2, ISC, Unlicense
+        notice, name = ls.TEMPLATES[k].text, ls.TEMPLATES[k].name
+        for lead in range(1_200, 2_500, 100):  # the notice comes near the end of what an earlier cue's piece holds
+            text = "Copyright by nobody.\n" + wrapped(prose(rng, lead // 4), 70)[:lead] + "\n" + wrapped(notice, 30) + "\n" + wrapped(prose(rng, 1_000), 70)
+            found = scanner.scan(text)[1]
+            assert [m["license"] for m in found] == [name], lead
+            assert ls.words(text[found[0]["start"] :])[: len(ls.words(notice))] == ls.words(notice)
+    bsd = ls.TEMPLATES[13].text
+    for text in (bsd.replace(" and use", "\n * and use"), wrapped(prose(rng, 1_000), 70) + "\n" + bsd.replace("and use", "and\n * use")):
+        assert [m["license"] for m in scanner.scan(text)[1]] == ["BSD-3-Clause"]
