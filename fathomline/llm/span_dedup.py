@@ -1,9 +1,10 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of consecutive sentences is hashed; runs meet globally by hash; sentences covered by a run
-that is not the first of its hash are removed. A run starts at each sentence and takes as many
-sentences (at least two) as give it enough words, so the same passage gives the same runs wherever
-it stands. Text without sentence marks is cut at words chosen by their own hash.
+Runs of consecutive sentences are hashed; runs meet globally by hash; sentences covered by a run
+that is not the first of its hash are removed. The shortest run (at least two sentences) with enough words
+that starts at each sentence is hashed, and the shortest one that ends at it. So the same passage gives the
+same runs wherever it stands, each of its sentences is in one of them, and longer runs need no hash: they
+repeat where these do. Text without sentence marks is cut at words chosen by their own hash.
 
 Only (hash, document, position) travels: one aggregate with a map-side combine finds the first document
 of each hash, one join finds the runs to remove. A hash that many documents share is one row on the
@@ -48,21 +49,29 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of every run: from each sentence on, as few as hold enough words."""
+    """(hash, first sentence, sentences) of the shortest runs with enough words that start or end at each sentence, by place."""
     own = [s.lower().split() for s in sentences(text)]
     at = [k for k, w in enumerate(own) if w]
     hashes = b"".join(xxhash.xxh3_64_digest(" ".join(own[k])) for k in at)
     sizes = [len(own[k]) for k in at]
-    out, end, held = [], 0, 0
+    found, end, held = [], 0, 0
     for first in range(len(at)):
         while end < len(at) and (held < least_words or end - first < least_sentences):
             held += sizes[end]
             end += 1
         if held < least_words or end - first < least_sentences:
             break
-        out.append((xxhash.xxh3_64_intdigest(hashes[8 * first : 8 * end]) - (1 << 63), at[first], at[end - 1] - at[first] + 1))
+        found.append((first, end))
         held -= sizes[first]
-    return out
+    from_here, first, held = set(found), 0, 0
+    for end in range(1, len(at) + 1):
+        held += sizes[end - 1]
+        while end - first > least_sentences and held - sizes[first] >= least_words:
+            held -= sizes[first]
+            first += 1
+        if held >= least_words and end - first >= least_sentences and (first, end) not in from_here:
+            found.append((first, end))
+    return [(xxhash.xxh3_64_intdigest(hashes[8 * a : 8 * b]) - (1 << 63), at[a], at[b - 1] - at[a] + 1) for a, b in sorted(found)]
 
 
 def span_rows(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:

@@ -303,6 +303,28 @@ def test_runs_hold_several_sentences_and_enough_words():
     assert [(a, n) for _, a, n in found] == brute
 
 
+def test_repeated_passages_keep_no_tail(spark):
+    rng = random.Random(15)
+    sentence = lambda n: prose(rng, n, 5000) + ". "
+    passage = sentence(10) + sentence(10) + sentence(6)
+    assert [(a, n) for _, a, n in sd.runs(passage)] == [(0, 2), (0, 3)]
+    passages = [passage] + ["".join(sentence(rng.randrange(1, 14)) for _ in range(rng.randrange(2, 9))) for _ in range(12)]
+    texts = [passage, passage]
+    for _ in range(40):
+        texts.append("".join(rng.choice(passages) if rng.random() < 0.6 else sentence(rng.randrange(1, 14)) for _ in range(6)))
+    first, gone = {}, []
+    for text in texts:  # every run there is
+        own, drop = [s.split() for s in sd.sentences(text)], set()
+        for a in range(len(own)):
+            for b in range(a + 2, len(own) + 1):
+                run = tuple(map(tuple, own[a:b]))
+                if sum(map(len, run)) >= sd.WORDS and first.setdefault(run, (len(gone), a)) != (len(gone), a):
+                    drop |= set(range(a, b))
+        gone.append("".join(s for k, s in enumerate(sd.sentences(text)) if k not in drop))
+    got = {r["doc_id"]: r["text"] for r in sd.deduplicate(docs(spark, *texts)).collect()}
+    assert got[1] == "" and [got[k] for k in range(len(texts))] == gone
+
+
 # ---- URLs --------------------------------------------------------------------------------
 
 
