@@ -3,19 +3,19 @@
 A preference pair is a document labelled good and one labelled bad; the chance that the first wins
 is the logistic of the difference of their scores. Scores are linear in features of the
 whole text, so the loss is a logistic one on feature differences, fitted on a bounded sample of
-labelled rows. The raw score at the quantile of the bad share is mapped to the cut 0.7.
+labelled rows. The raw score of all documents at the quantile of the bad share of all usable labels is mapped to the cut 0.7.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import held_out
+from .shared import cut as cut_lineage, held_out
 
 CUT = 0.7
 #: Labelled rows that are fitted, the first ones by a hash of their id.
@@ -23,6 +23,8 @@ SAMPLE_ROWS = 20_000
 #: Preference pairs per labelled row of the rarer label.
 PAIRS_EACH = 16
 RIDGE = 1e-3
+#: Ranges that a pass over the raw scores counts in, to find the quantile.
+RANGES = 4096
 _ASCII = np.arange(256)
 _GROUPS = {
     "upper": (_ASCII >= 65) & (_ASCII <= 90), "lower": (_ASCII >= 97) & (_ASCII <= 122), "digit": (_ASCII >= 48) & (_ASCII <= 57),
@@ -99,8 +101,40 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "good boolean, x array<double>")
 
 
+def exact_quantile(rows: DataFrame, name: str, q: float) -> float | None:
+    """The quantile of a column of finite doubles, interpolated as numpy does; None without rows.
+
+    Each pass counts in ``RANGES`` ranges and goes on in the one that has the wanted rank, so no rows are ordered or collected.
+    """
+    n, low, high = rows.agg(F.count(name), F.min(name), F.max(name)).first()
+    if not n:
+        return None
+    at = (n - 1) * min(1.0, max(0.0, q))
+    rank = int(at)
+    own, value = F.col(name), F.col(name)
+    while low < high:
+        width = (high - low) / RANGES
+        part = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(RANGES - 1)) if width > 0 else (value > F.lit(low)).cast("long")
+        counts = rows.where((own >= F.lit(low)) & (own <= F.lit(high))).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"))
+        below = rows.where(own < F.lit(low)).count()
+        for r in sorted(counts.collect(), key=lambda r: r["part"]):
+            if below + r["n"] > rank:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    if at == rank:
+        return low
+    upto, after = rows.agg(F.count_if(own <= F.lit(low)), F.min(F.when(own > F.lit(low), own))).first()
+    above = low if upto > rank + 1 else after
+    return low + (above - low) * (at - rank)
+
+
 def train(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample_rows: int = SAMPLE_ROWS, quantile: float | None = None) -> Ranking | None:
-    """Learns from labels (doc_id, quality 0/1) of documents that are not held out, at most ``sample_rows`` of them."""
+    """Learns from labels (doc_id, quality 0/1) of documents that are not held out.
+
+    Weights are fitted on at most ``sample_rows`` of them; the share of bad labels is that of all of them, and
+    its quantile is taken over all rows of ``docs``.
+    """
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     sample = usable.orderBy(F.xxhash64("doc_id", "quality"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select((F.col("quality") == 1).alias("good"), "text")
@@ -108,7 +142,20 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample_rows: int
     if not len(found):
         return None
     found = found.assign(key=found["x"].map(lambda v: tuple(v))).sort_values(["key", "good"])  # the same whatever order rows come in
-    return fit_pairs(np.stack(found["x"].to_list()), found["good"].to_numpy(dtype=bool), cut, quantile)
+    ranking = fit_pairs(np.stack(found["x"].to_list()), found["good"].to_numpy(dtype=bool), cut, quantile)
+    if ranking is None:
+        return None
+    share = usable.agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0] if quantile is None else quantile
+    raw = cut_lineage(docs.select(_scores(lambda x: x @ ranking.weights)(F.col("text").cast("string")).alias("raw")))
+    return replace(ranking, threshold=exact_quantile(raw, "raw", share))
+
+
+def _scores(score):
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series(score(np.stack([features(t) for t in text]) if len(text) else np.zeros((0, FEATURES))))
+
+    return run
 
 
 def scored(docs: DataFrame, ranking: Ranking | None, name: str = "score") -> DataFrame:
@@ -116,11 +163,7 @@ def scored(docs: DataFrame, ranking: Ranking | None, name: str = "score") -> Dat
 
     Null texts score as empty ones. Without a ranking every score is 0.5.
     """
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        x = np.stack([features(t) for t in text]) if len(text) else np.zeros((0, FEATURES))
-        return pd.Series(np.full(len(text), 0.5) if ranking is None else ranking.score(x))
-
+    score = _scores(lambda x: np.full(len(x), 0.5) if ranking is None else ranking.score(x))
     return docs.withColumn(name, score(F.col("text").cast("string")))
 
 

@@ -377,6 +377,26 @@ def test_quality_edges(spark):
     assert ql.judge(table.limit(0), labels).count() == 0
 
 
+def test_quality_cut_is_the_quantile_of_all_documents(spark):
+    rng = random.Random(16)
+    good = lambda: "A calm sentence, with words. " + prose(rng, rng.randrange(20, 90), 10**9)
+    bad = lambda: "BUY!!! $$$ " + prose(rng, 8).upper() + "!" * rng.randrange(1, 30)
+    texts = [good() if k % 2 else bad() for k in range(200)] + [good() for _ in range(600)]  # a hot source without labels
+    table = docs(spark, *texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    ranking = ql.train(table, labels, sample_rows=40)
+    share = labels.where(~ql.held_out(F.col("doc_id"))).agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
+    raw = np.stack([ql.features(t) for t in texts]) @ ranking.weights
+    assert np.isclose(ranking.threshold, np.quantile(raw, share))
+    rejected = ql.judge(table, labels, sample_rows=40).where("predicted = 0").count()
+    assert rejected == (raw < ranking.threshold).sum() and abs(rejected - share * len(texts)) <= 1
+    values = [rng.choice([rng.random(), 0.25, 1e-300 * rng.random()]) for _ in range(501)]
+    column = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.0, 0.1, 0.333, 0.5, 0.77, 1.0):
+        assert np.isclose(ql.exact_quantile(column, "v", q), np.quantile(values, q), rtol=1e-12, atol=0)
+    assert ql.exact_quantile(column.limit(0), "v", 0.5) is None
+
+
 def test_pairs_rank_preferred_first():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))
