@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from . import (
-    decontamination, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, span_dedup, url_filter,
+    chat_format, conversation_repair, decontamination, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing,
+    phrase_mining, quality, span_dedup, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +73,29 @@ def op10_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return minhash_dedup.groups(table(spark, d, "documents"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    return conversation_repair.report(conversation_repair.damage(turns), turns)
+
+
+def op12_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat_format.digest(chat_format.format_turns(turns.union(quoted)))
+
+
+def op13_phrase_mining(spark: SparkSession, d: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, d, "documents"))
+
+
 def registered() -> dict[str, Query]:
     own = (
         op1_license_scan, op2_line_dedup, op3_language_id, op4_decontamination, op5_span_dedup,
         op6_quality, op7_url_filter, op8_packing, op9_embedding_dedup, op10_minhash_dedup,
+        op11_conversation_repair, op12_chat_format, op13_phrase_mining,
     )
     return {f.__name__: f for f in own}
 
@@ -169,10 +189,50 @@ SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
+_CHATS = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, sha256(text) AS hash, regexp_replace(regexp_replace(text, '<(\\*)(\|im_start\|>|\|im_end\|>|/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g') AS escaped FROM c
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, hash)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, hash) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_PHRASES = rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents
+), p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM d
+), o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM p
+), g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase FROM o, (SELECT unnest(range(1, {phrase_mining.LONGEST} + 1)) AS k) WHERE s + k - 1 <= len(w)
+), f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {phrase_mining.LEAST}
+), cut AS (SELECT *, unnest(range(1, k)) AS j FROM c
+), s AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.j, x.f AS l, y.f AS r, 1000000 * cut.a * cut.a // (x.f * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1 : j], ' ')
+           JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[j + 1 : cut.k], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), kept AS (
+  SELECT * FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS sub FROM c WHERE k = 3) h
+    WHERE h.lang = b.lang AND h.sub = b.phrase AND 100 * h.a >= {phrase_mining.COVERED} * b.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= {phrase_mining.TOP}
+"""
+
 
 def statements() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
     return {
         "op2_line_dedup": _LINES, "op4_decontamination": _WINDOWS, "op7_url_filter": _URLS,
-        "op9_embedding_dedup": _VECTORS, "op10_minhash_dedup": _SHINGLES,
+        "op9_embedding_dedup": _VECTORS, "op10_minhash_dedup": _SHINGLES, "op12_chat_format": _CHATS, "op13_phrase_mining": _PHRASES,
     }
