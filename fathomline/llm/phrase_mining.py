@@ -1,16 +1,27 @@
 """Phrase collocation mining by top-order marginalisation.
 
-Every word opens one window: its lead columns hold the next words of its piece, padded with empty
-text where the piece ends. Only these longest windows are counted. The count of a shorter phrase is
-the sum over the windows that it begins, so one ROLLUP over the counted windows gives the counts of
-all lengths, and of all words, without another explosion of the text.
+Every word opens one window: its lead columns hold the next words of its piece, padded where the
+piece ends. Only these longest windows are counted. The count of a shorter phrase is the sum over the
+windows that it begins, so one ROLLUP over the counted windows gives the counts of all lengths, without
+another explosion of the text.
+
+Words travel as 64-bit hashes, which a first pass over the words of all documents proves to be different
+for different words (else it takes another seed). A word rarer than any phrase ends a piece, as far as a bitmap
+of fixed size tells. A task counts its windows over word numbers and hands on each distinct window once. Windows meet by
+their beginning, sorted. There, windows too rare to be phrases themselves matter to their prefixes only
+and are merged before the roll-up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import ascii_lower, attach, stored
+from .shared import attach, stored
 
 LONGEST = 3
 LEAST = 10
@@ -19,44 +30,231 @@ TOP = 2000
 COVERED = 50
 UNKNOWN = "und"
 
-#: Ends of pieces; a newline is one of them, so it can stand for all of them between words.
-_BREAKS, _BREAK = r"[.,;:!?\n-\r]", "\n"
+#: A task hands on what it has counted after so many windows, or so many different words.
+FLUSH_WINDOWS, FLUSH_WORDS = 1 << 21, 1 << 20
+#: Bytes of a text that are split into words at a time.
+SLICE = 1 << 20
+#: Rows of an Arrow batch that is handed on.
+BATCH = 1 << 16
+#: Bits that tell frequent words, whatever the size of the corpus: 8 MB.
+BITS = 1 << 26
+#: Hash seeds to try; a second one is needed where two words of the corpus have one hash.
+SEEDS = 8
 #: Ranking deals each language out to so many groups first; each hands on its own top rows only.
 _DEALS = 64
 
+_BREAK = b"\n"
+#: A-Z to a-z, ends of pieces to a newline, tabs to spaces; other bytes of UTF-8 stay.
+_MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + 9 * b"\n" + b" ")
+#: Numbers of no word and of the end of a piece; the hash that stands for padding.
+_PAD, _END, _NO_WORD = 0, 1, 0
+
+
+def _hash(word: bytes, lang: str, seed: int) -> int:
+    """A signed 64-bit hash of a word of a language."""
+    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode(), seed)) - (1 << 63)
+
+
+def _codes(text: bytes, numbers: dict[bytes, int]) -> np.ndarray:
+    """The words of a text as numbers, with ``_END`` after each piece; new words get the next number."""
+    data = text.translate(_MAP).replace(_BREAK, b" \n ")
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b" ", at + SLICE)
+        tokens = data[at : end if end >= 0 else len(data)].split(b" ")
+        out.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+        at = end + 1 if end >= 0 else len(data)
+    codes = np.concatenate([*out, np.array([_END])])
+    return codes[codes != _PAD]
+
+
+def _by_language(docs: DataFrame, count, schema: str) -> DataFrame:
+    """Arrow batches that ``count(lang, numbered words, codes)`` makes of all texts of a language in one stretch of a task."""
+
+    def run(batches):
+        numbers: dict[str, dict[bytes, int]] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flush():
+            for lang, parts in held.items():
+                columns = count(lang, list(numbers[lang]), np.concatenate(parts))
+                for k in range(0, len(columns[0][1]), BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + BATCH], kind) for kind, c in columns], names=names)
+            held.clear(), numbers.clear()
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for k, lang in enumerate(batch.column(0).to_pylist()):
+                own = numbers.get(lang)
+                if own is None:
+                    own = numbers[lang] = defaultdict(None, {b"": _PAD, _BREAK: _END})
+                    own.default_factory = own.__len__
+                codes = _codes(texts[k].as_py(), own)
+                held.setdefault(lang, []).append(codes)
+                size += len(codes)
+                if size >= FLUSH_WINDOWS or len(own) >= FLUSH_WORDS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.mapInArrow(run, schema)
+
+
+def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, word, h, n) of all words, and the seed for which no two words have one hash."""
+    for seed in range(SEEDS):
+
+        def count(lang, words, codes):
+            n = np.bincount(codes, minlength=len(words))[2:]
+            words = words[2:]
+            return [(pa.string(), [lang] * len(words)), (pa.string(), [w.decode() for w in words]), (pa.int64(), [_hash(w, lang, seed) for w in words]), (pa.int64(), n)]
+
+        rows = _by_language(docs, count, "lang string, word string, h long, n long")
+        found = stored(rows.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")))
+        if found.groupBy("h").agg(F.count("*").alias("words")).where(f"words > 1 or h = {_NO_WORD}").isEmpty():
+            return found, seed
+    raise ValueError(f"two words have one hash with each of {SEEDS} seeds")
+
+
+def _frequent_bits(words: DataFrame, least: int) -> np.ndarray:
+    """A bitmap of ``BITS`` bits; the bit of each word of ``least`` occurrences or more is set."""
+    place = F.pmod("h", F.lit(BITS)) + 1
+    own = words.where(F.col("n") >= least).groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in own.collect():  # 4 KB each, BITS / 32768 rows at most
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
-def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, w1 ... wN): one row for each word occurrence, with the words after it in its piece."""
-    text = F.regexp_replace(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), _BREAKS, f" {_BREAK} ")
-    tokens = F.split(text, "[ \t]+", -1)
 
-    def leads(words: Column) -> Column:
-        return F.transform(words, lambda w, i: F.struct(w.alias("w1"), *(F.get(words, i + k).alias(f"w{k + 1}") for k in range(1, longest))))
+def _windows(codes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Lead columns: each word with the words after it in its piece, padded."""
+    own = np.flatnonzero(codes != _END)
+    columns, open_ = [codes[own]], np.ones(len(own), bool)
+    for k in range(1, longest):
+        then = codes[np.minimum(own + k, len(codes) - 1)]  # the last code is an end
+        open_ = open_ & (then != _END)
+        columns.append(np.where(open_, then, _PAD))
+    return columns
 
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), tokens.alias("tokens"))
-    rows = rows.select("lang", F.inline(leads(F.col("tokens")))).where(~F.col("w1").isin("", _BREAK))
-    kept = [F.col("w1")]
-    open_ = F.lit(True)
-    for k in range(2, longest + 1):  # nothing after the end of a piece, or after the end of the text
-        open_ = open_ & F.coalesce(~F.col(f"w{k}").isin("", _BREAK), F.lit(False))
-        kept.append(F.when(open_, F.col(f"w{k}")).otherwise("").alias(f"w{k}"))
-    return rows.select("lang", *kept)
+
+def _distinct(columns: list[np.ndarray], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct windows in order, and how often each occurs."""
+    if words ** len(columns) < 1 << 63:
+        key = columns[0]
+        for column in columns[1:]:
+            key = key * words + column
+        key, n = np.unique(key, return_counts=True)
+        back = []
+        for _ in columns:
+            key, part = np.divmod(key, words)
+            back.append(part)
+        return back[::-1], n
+    rows, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    return list(rows.T), n
+
+
+def _names(longest: int) -> list[str]:
+    return [f"w{k}" for k in range(1, longest + 1)]
+
+
+def counted_windows(docs: DataFrame, seed: int, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
+    """(w1 ... wN, n): distinct padded windows of word hashes of a task's share of ``docs``, each with its count there."""
+
+    def count(lang, words, codes):
+        hashes = np.array([_NO_WORD, _NO_WORD, *(_hash(w, lang, seed) for w in words[2:])], np.int64)
+        place = np.mod(hashes, BITS)
+        renamed = np.where(bits[place >> 3] >> (place & 7) & 1, np.arange(len(words)), _END)
+        columns, n = _distinct(_windows(renamed[codes], longest), len(words))
+        return [*((pa.int64(), hashes[c]) for c in columns), (pa.int64(), n)]
+
+    return _by_language(docs, count, ", ".join(f"{c} long" for c in (*_names(longest), "n")))
+
+
+def merged_windows(counted: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """(w1 ... wN, n) that rolls up to the same counts of ``least`` or more, with far fewer rows.
+
+    Windows of ``least`` occurrences or more stay. The others are merged by their beginning without the last
+    word, or where that is rare too, by the one without the last two.
+    """
+    names = _names(longest)
+    short = max(1, longest - 2)  # words of the beginning that stays in any case
+
+    def starts_of(columns: list[np.ndarray]) -> np.ndarray:
+        """Rows whose key is not that of the row before."""
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return new
+
+    def run(batches):
+        # of the window that ends a batch: its row; of its beginning: all occurrences so far, and those not handed on
+        row, total, rest = None, 0, 0
+
+        def handed(keys: list[np.ndarray], n: np.ndarray):
+            if len(n):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], names=[*names, "n"])
+
+        def remainders(keys: list[np.ndarray], all_: np.ndarray, left: np.ndarray):
+            """Rows for the beginnings of complete groups; neighbours that share a shortened one are summed."""
+            some = np.flatnonzero(left > 0)
+            if len(some):
+                own = [c[some] if k < short else np.where(all_[some] >= least, c[some], _NO_WORD) for k, c in enumerate(keys)]
+                at = np.flatnonzero(starts_of(own))
+                yield from handed([*(c[at] for c in own), np.full(len(at), _NO_WORD)], np.add.reduceat(left[some], at))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [c.to_numpy() for c in batch.columns]
+            if row is not None:
+                own = [np.concatenate([a, b]) for a, b in zip(row, own)]
+            keys, n = own[:-1], own[-1]
+            group = starts_of(keys[:-1])
+            at = np.flatnonzero(group | starts_of(keys[-1:]))
+            sums, groups = np.add.reduceat(n, at), np.cumsum(group)[at] - 1
+            row = [*(c[at[-1:]] for c in keys), sums[-1:]]
+            open_, at, sums, groups = groups[-1], at[:-1], sums[:-1], groups[:-1]
+            kept = (sums >= least) & (keys[-1][at] != _NO_WORD)
+            yield from handed([c[at[kept]] for c in keys], sums[kept])
+            all_ = np.bincount(groups, sums, open_ + 1).astype(np.int64)
+            left = np.bincount(groups, np.where(kept, 0, sums), open_ + 1).astype(np.int64)
+            all_[0], left[0] = all_[0] + total, left[0] + rest
+            total, rest = int(all_[-1]), int(left[-1])
+            firsts = np.flatnonzero(group)[:-1]
+            yield from remainders([c[firsts] for c in keys[:-1]], all_[:-1], left[:-1])
+        if row is not None:
+            own, n = row[:-1], row[-1]
+            whole = n[0] >= least and own[-1][0] != _NO_WORD
+            if whole:
+                yield from handed(own, n)
+            yield from remainders(own[:-1], n + total, np.array([rest]) if whole else n + rest)
+
+    dealt = counted.repartition(*names[:-1]).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, counted.schema)
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, f): every phrase of up to ``longest`` words with ``least`` occurrences or more.
 
-    ``words`` 0 is the count of all word occurrences of a language, whatever it is. Windows under
-    ``least`` matter to shorter prefixes only, so the roll-up merges them by their last word.
+    ``words`` 0 is the count of all word occurrences of a language, whatever it is.
     """
-    names = [f"w{k}" for k in range(1, longest + 1)]
-    counted = windows(docs, longest).groupBy("lang", *names).agg(F.count("*").alias("n"))
-    rest = counted.withColumn(names[-1], F.when(F.col("n") >= least, F.col(names[-1])).otherwise(""))
-    summed = rest.rollup("lang", *names).agg(F.sum("n").alias("f")).where("lang is not null")
-    size = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    found = summed.withColumn("words", size).where((F.col("words") == 0) | (F.col("f") >= least))
-    real = F.forall(F.array(*names), lambda w: w.isNull() | (w != ""))  # no phrase ends in padding
-    return found.where(real).select("lang", "words", F.concat_ws(" ", *names).alias("phrase"), "f")
+    names = _names(longest)
+    words, seed = word_counts(docs)
+    merged = merged_windows(counted_windows(docs, seed, _frequent_bits(words, least), longest), longest, least)
+    summed = merged.rollup(*names).agg(F.sum("n").alias("f")).where(F.col(names[0]).isNotNull() & (F.col("f") >= least))
+    whole = F.filter(F.array(*names), lambda w: w.isNotNull())
+    found = stored(summed.select(whole.alias("hashes"), "f").where(~F.array_contains("hashes", _NO_WORD)))  # no phrase ends in padding
+    # hashes to words; a word is in f / least frequent windows at most, so n tells which words are hot
+    each = found.select("hashes", "f", F.posexplode("hashes").alias("at", "h"))
+    told = attach(each, words.where(F.col("n") >= least).select("h", "lang", "word", "n"), "h", "n")
+    phrases = told.groupBy("hashes").agg(
+        F.max("lang").alias("lang"), F.count("*").cast("int").alias("words"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"), F.max("f").alias("f")
+    )
+    totals = words.groupBy("lang").agg(F.lit(0).alias("words"), F.lit("").alias("phrase"), F.sum("n").alias("f"))
+    return phrases.select("lang", "words", F.array_join("w.word", " ").alias("phrase"), "f").union(totals)
 
 
 def collocations(
