@@ -14,16 +14,26 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return last.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` as it is, where no key repeats; else the job fails, as nothing says which row is the last."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(row).alias("_row"))
+    wrong = F.raise_error(F.lit("a key repeats in the batch; order says which row is the last")).cast("boolean")
+    return found.filter(F.when(F.col("_n") > 1, wrong).otherwise(F.lit(True))).select(
+        *keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]
+    ).select(*df.columns)
+
+
 def upsert(
     existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None
 ) -> DataFrame:
     """``existing`` with ``batch`` laid over it: on equal keys the batch wins, and within it the last row.
 
     ``existing`` already has one row per key, so it is only filtered by the batch's keys,
-    never regrouped. ``order`` says which batch row is last; all its columns if not given.
+    never regrouped. ``order`` says which batch row is last; without it no key may repeat.
     """
-    ordering = [F.col(c) for c in (order or [c for c in batch.columns if c not in keys])]
-    fresh = keep_last(batch, keys, ordering)
+    fresh = keep_last(batch, keys, [F.col(c) for c in order]) if order else one_per_key(batch, keys)
     kept = existing.join(fresh.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 

@@ -643,7 +643,10 @@ def sentiment_upsert(spark, d):
         F.col("quality").cast("double").alias("compound"), F.lit("new").alias("origin"),
     )
     twice = batch.unionByName(batch.withColumn("compound", F.col("compound") - 5))
-    return stores.upsert(existing, twice, ["accession_number", "section"], order=["compound"])
+    scores = sinks.UpsertTable(spark, _folder(spark), ["accession_number", "section"])
+    scores.upsert(existing, order=["compound"])
+    scores.upsert(twice, order=["compound"])
+    return scores.read()
 
 
 def _rechunked(spark, d):
@@ -657,16 +660,20 @@ def chunk_upsert(spark, d):
     batch = stored.join(labelled, "accession_number", "left_semi").filter(F.col("chunk_index") < 2).select(
         *[c if c != "document" else F.concat(F.lit("New: "), "document").alias("document") for c in stored.columns]
     )
-    return stores.upsert_chunks(stored, batch).select("chunk_id", "accession_number", "chunk_index", "document")
+    chunks = sinks.UpsertTable(spark, _folder(spark), ["chunk_id"])
+    chunks.upsert(stored, order=["document"])
+    chunks.upsert(batch, order=["document"])
+    return chunks.read().select("chunk_id", "accession_number", "chunk_index", "document")
 
 
 @query
 def chunk_replace(spark, d):
     stored, labelled = _rechunked(spark, d)
     batch = stored.join(labelled, "accession_number", "left_semi").filter(F.col("chunk_index") < 2)
-    return stores.upsert_chunks(stored, batch, replace_filing=True).select(
-        "chunk_id", "accession_number", "chunk_index"
-    )
+    chunks = sinks.UpsertTable(spark, _folder(spark), ["chunk_id"])
+    chunks.upsert(stored, order=["document"])
+    chunks.upsert(batch, order=["document"], replace="accession_number")
+    return chunks.read().select("chunk_id", "accession_number", "chunk_index")
 
 
 def source_store(spark, d):

@@ -1,4 +1,4 @@
-"""Writers: series, panel, vector CSV, and keyed upserts on plain Parquet."""
+"""Writers: series, panel, vector CSV, and keyed upserts on plain Parquet with a commit log."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as vx
 from ..operators import stores
+from .tables import path_exists
 
 
 def write_series(monthly: DataFrame, path: str) -> None:
@@ -29,83 +30,129 @@ def write_vectors_csv(df: DataFrame, path: str, vec: str = "embedding") -> None:
     )
 
 
-class UpsertTable:
-    """A Parquet table with one row per key, cut into slots by a hash of ``slot_by``.
+class CommitLog:
+    """The runs that readers may see: one row per run and table, written in one file after all data of the run.
 
-    An upsert reads and rewrites only the slots its batch falls into. The batch and then the
-    merged slots are written aside, and the merge replaces the old slots by a dynamic
-    partition overwrite: no path is read and overwritten in one job. A broken last step is mended by
-    repeating the upsert, which gives the same rows.
+    Tables of one store share a log, so a run that writes several of them becomes visible in all at once, and
+    one that breaks off in none. Data of broken runs stay aside, unseen.
     """
 
-    def __init__(
-        self, spark: SparkSession, path: str, keys: list[str], slot_by: list[str] | None = None, slots: int = 64
-    ):
-        self.spark, self.path, self.keys = spark, path, keys
-        self.slot_by, self.slots = slot_by or keys, slots
+    SCHEMA = "run string, seq bigint, name string, base boolean"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def holds(self, run: str, name: str) -> bool:
+        return not self.read().filter((F.col("run") == run) & (F.col("name") == name)).isEmpty()
+
+    def commit(self, run: str, names: list[str], base: bool = False) -> None:
+        """Makes a run visible. ``base`` says that earlier runs of its tables are no longer read."""
+        last = self.read().agg(F.max("seq")).first()[0] or 0
+        rows = [(run, last + 1, name, base) for name in names]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+class UpsertTable:
+    """A Parquet table with one visible row per key, to which batches are only added.
+
+    A batch is a folder of its own (``run=...``) that no later batch touches. Readers see the runs of the
+    log, and of rows with one key the one of the newest run. Which rows are out of date is found over keys
+    and run numbers alone; the rows themselves are then filtered by it. ``compact`` writes the visible rows
+    as one run, from which reading starts. Each table has one writer at a time.
+    """
 
-    def _exists(self) -> bool:
-        """Whether any slot was written; an empty first batch leaves a folder without one."""
-        slots = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/_slot=*")
-        found = slots.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(slots)
-        return found is not None and len(found) > 0
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], log: CommitLog | None = None):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+        self.name = self.path.rsplit("/", 1)[-1]
+        self.log = log or CommitLog(spark, f"{self.path}/_log")
+
+    def _visible(self) -> DataFrame:
+        """(run, seq) of the runs that are read, each once."""
+        own = self.log.read().filter(F.col("name") == self.name)
+        base = own.agg(F.max(F.when(F.col("base"), F.col("seq")))).first()[0] or 0
+        return own.filter(F.col("seq") >= base).groupBy("run").agg(F.min("seq").alias("_seq"))
+
+    def _runs(self, folder: str, visible: DataFrame) -> DataFrame | None:
+        """Rows of the visible runs below ``folder``, with the schema of the newest."""
+        newest = visible.orderBy(F.desc("_seq")).first()
+        if newest is None or not path_exists(self.spark, f"{folder}/run={newest['run']}"):
+            return None
+        schema = self.spark.read.parquet(f"{folder}/run={newest['run']}").schema.add("run", "string")
+        return self.spark.read.schema(schema).parquet(folder).join(visible, "run").drop("run")
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path).drop("_slot") if self._exists() else None
-
-    def _slotted(self, df: DataFrame) -> DataFrame:
-        slot = F.pmod(F.xxhash64(*self.slot_by), F.lit(self.slots)).cast("int")
-        return df.withColumn("_slot", slot)
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        # Hash-clustered by slot and key: a slot spreads over many tasks, none holds it whole.
-        spread = df.repartition(*[F.col(c) for c in ["_slot", *self.keys]])
-        (
-            spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_slot").parquet(path)
-        )
-
-    def upsert(
-        self,
-        batch: DataFrame,
-        order: list[str] | None = None,
-        replace_filing: bool = False,
-    ) -> None:
-        """Batch rows win over stored ones. ``replace_filing`` drops old chunks of its filings first."""
-        last = [F.col(c) for c in (order or [c for c in batch.columns if c not in self.keys])]
-        fresh = self._slotted(stores.keep_last(batch, self.keys, last))
-        if not self._exists():
-            self._write(fresh, self.path)
-            return
-        # The batch may be costly (parsed, encoded): it is computed once, into a table of its own.
-        staged_batch, staged_merge = (f"{self.path.rstrip('/')}__{uuid.uuid4().hex}" for _ in range(2))
-        self._write(fresh, staged_batch)
-        new = self.spark.read.schema(fresh.schema).parquet(staged_batch)
-        # At most ``slots`` numbers come back; they prune the partitions of the stored table.
-        touched = [r["_slot"] for r in new.select("_slot").distinct().collect()]
-        if touched:
-            stored = self.spark.read.parquet(self.path).filter(F.col("_slot").isin(touched))
-            if replace_filing:
-                filings = new.select("accession_number").distinct()
-                stored = stored.join(filings, "accession_number", "left_anti")
-            kept = stored.join(new.select("_slot", *self.keys), ["_slot", *self.keys], "left_anti")
-            self._write(kept.unionByName(new, allowMissingColumns=True), staged_merge)
-            self._write(self.spark.read.parquet(staged_merge), self.path)
-        for path in (staged_batch, staged_merge):
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        visible = self._visible()
+        rows = self._runs(self.path, visible)
+        if rows is None:
+            return None
+        last = rows.groupBy(*self.keys).agg(F.max("_seq").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        stale = last.select(*[F.col(c).alias(f"_k_{c}") for c in self.keys], "_last")
+        older = F.col("_seq") < F.col("_last")
+        for c in self.keys:
+            older = older & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        kept = rows.join(stale, older, "left_anti")
+        folder = f"{self.path}/_replaced"
+        if path_exists(self.spark, folder):
+            # what a later run replaced: values of one column, whose older rows are gone
+            gone = self.spark.read.schema("_column string, _value string, run string").parquet(folder).join(visible, "run")
+            for r in gone.select("_column").distinct().collect():  # names of columns
+                own = gone.filter(F.col("_column") == r["_column"]).groupBy("_value").agg(F.max("_seq").alias("_gone"))
+                dead = (F.col(r["_column"]).cast("string") == F.col("_value")) & (F.col("_seq") < F.col("_gone"))
+                kept = kept.join(own, dead, "left_anti")
+        return kept.drop("_seq")
+
+    def append(self, batch: DataFrame, run: str, order: list[str] | None = None, replace: str | None = None) -> None:
+        """Writes a batch that is seen once ``run`` is committed; a broken write of the run is overwritten.
+
+        ``order`` says which row of a key is the last; without it no key may repeat. ``replace`` names a column
+        (a filing, say) all of whose older rows go where the batch has its value.
+        """
+        target = f"{self.path}/run={run}"
+        fresh = stores.keep_last(batch, self.keys, [F.col(c) for c in order]) if order else batch
+        fresh.write.mode("overwrite").parquet(target)
+        written = self.spark.read.schema(fresh.schema).parquet(target)
+        if not order and not written.groupBy(*self.keys).count().filter("count > 1").isEmpty():
+            raise ValueError(f"a key of {self.name} repeats in the batch; order says which row is the last")
+        if replace:
+            values = written.select(F.lit(replace).alias("_column"), F.col(replace).cast("string").alias("_value")).distinct()
+            values.write.mode("overwrite").parquet(f"{self.path}/_replaced/run={run}")
+
+    def upsert(self, batch: DataFrame, order: list[str] | None = None, replace: str | None = None, run: str | None = None) -> None:
+        """Batch rows win over stored ones. A run that was committed before changes nothing."""
+        run = run or uuid.uuid4().hex
+        if not self.log.holds(run, self.name):
+            self.append(batch, run, order, replace)
+            self.log.commit(run, [self.name])
+
+    def compact(self) -> None:
+        """Writes the visible rows as one run; older runs are no longer read."""
+        rows = self.read()
+        if rows is not None:
+            run = f"base-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/run={run}")
+            self.log.commit(run, [self.name], base=True)
+
+
+def store_log(spark: SparkSession, path: str) -> CommitLog:
+    """The log that the tables beside ``path`` share."""
+    return CommitLog(spark, f"{path.rstrip('/').rsplit('/', 1)[0]}/_log")
 
 
 def sentiment_table(spark: SparkSession, path: str) -> UpsertTable:
-    """Scores by filing and section, in the slot of their filing."""
-    return UpsertTable(spark, path, ["accession_number", "section"], slot_by=["accession_number"])
+    """Scores by filing and section."""
+    return UpsertTable(spark, path, ["accession_number", "section"], store_log(spark, path))
 
 
 def section_table(spark: SparkSession, path: str) -> UpsertTable:
     """Sections of all filings that were ever ingested, by filing and name."""
-    return UpsertTable(spark, path, ["accession_number", "section"], slot_by=["accession_number"])
+    return UpsertTable(spark, path, ["accession_number", "section"], store_log(spark, path))
 
 
 def chunk_table(spark: SparkSession, path: str) -> UpsertTable:
-    """Chunks sit in the slot of their filing, so replacing a filing touches one slot."""
-    return UpsertTable(spark, path, ["chunk_id"], slot_by=["accession_number"])
+    """Chunks by their id."""
+    return UpsertTable(spark, path, ["chunk_id"], store_log(spark, path))

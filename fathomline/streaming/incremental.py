@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,15 @@ def landed_filings(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
 
 
 def upsert_stream(rows: DataFrame, table: sinks.UpsertTable, checkpoint: str, **options) -> StreamingQuery:
-    """Every micro-batch goes through the keyed upsert, so a replayed batch changes nothing."""
+    """Every micro-batch is a run of its own, named by stream and number, so a replayed batch changes nothing.
 
-    def write(batch: DataFrame, _: int) -> None:
-        table.upsert(batch, **options)
+    Of rows of a batch that share a key the one with the greatest content stays, whatever their order.
+    """
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+    order = [c for c in rows.columns if c not in table.keys]
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, order=order, run=f"stream-{stream}-{number}", **options)
 
     return (
         rows.writeStream.foreachBatch(write)

@@ -34,19 +34,54 @@ def test_fewer_chunks_on_a_second_ingest(spark):
     assert stores.upsert_chunks(old, batch, replace_filing=True).count() == 4
 
 
-def test_upsert_table_rewrites_touched_slots_only(spark, tmp_path):
-    t = sinks.UpsertTable(spark, str(tmp_path / "t"), ["chunk_id"], ["accession_number"], slots=16)
+def test_upsert_without_order_refuses_repeated_keys(spark, tmp_path):
+    twice = chunks(spark, [("a", "f", "1"), ("a", "f", "2")])
+    with pytest.raises(Exception, match="a key repeats"):
+        stores.upsert(chunks(spark, []), twice, ["chunk_id"]).collect()
+    t = sinks.UpsertTable(spark, str(tmp_path / "t"), ["chunk_id"])
+    with pytest.raises(ValueError, match="a key of t repeats"):
+        t.upsert(twice)
     assert t.read() is None
-    t.upsert(chunks(spark, [(f"{f}{i}", f, "old") for f in "fgh" for i in range(4)]))
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
-    t.upsert(chunks(spark, [("f0", "f", "new"), ("f0", "f", "newer"), ("f9", "f", "new")]), order=["document"])
+    t.upsert(twice, order=["document"])
+    assert read(t.read()) == {"a": "2"}
+
+
+def test_upsert_table_adds_files_only(spark, tmp_path):
+    t = sinks.UpsertTable(spark, str(tmp_path / "t"), ["chunk_id"])
+    assert t.read() is None
+    t.upsert(chunks(spark, [(f"{f}{i}", f, "old") for f in "fgh" for i in range(4)] + [(None, "f", "old")]))
+    before = {p: (p.stat().st_mtime_ns, p.read_bytes()) for p in (tmp_path / "t").rglob("*.parquet")}
+    t.upsert(chunks(spark, [("f0", "f", "new"), ("f0", "f", "newer"), ("f9", "f", "new"), (None, "f", "new")]), order=["document"], run="second")
     got = read(t.read())
-    assert len(got) == 13 and got["f0"] == "newer" and got["g0"] == "old"
-    kept = [p for p, m in before.items() if p.exists() and p.stat().st_mtime_ns == m]
-    assert kept and len(kept) < len(before)
-    t.upsert(chunks(spark, [("f0", "f", "last")]), replace_filing=True)
-    assert sorted(k for k in read(t.read()) if k.startswith("f")) == ["f0"]
+    assert len(got) == 14 and got["f0"] == "newer" and got["g0"] == "old" and got[None] == "new"
+    t.upsert(chunks(spark, [("f0", "f", "replayed")]), run="second")  # a run counts once
+    assert read(t.read()) == got
+    t.upsert(chunks(spark, [("f0", "f", "last")]), replace="accession_number")
+    assert sorted(k for k in read(t.read()) if k and k.startswith("f")) == ["f0"] and read(t.read())["g1"] == "old"
+    assert all((p.stat().st_mtime_ns, p.read_bytes()) == was for p, was in before.items())
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    whole = read(t.read())
+    t.compact()
+    assert read(t.read()) == whole and t._visible().count() == 1
+    t.upsert(chunks(spark, [("g0", "g", "after")]))
+    assert read(t.read()) == whole | {"g0": "after"}
+
+
+def test_uncommitted_runs_are_not_seen(spark, tmp_path):
+    t = sinks.UpsertTable(spark, str(tmp_path / "t"), ["chunk_id"])
+    t.upsert(chunks(spark, [("a", "f", "seen")]))
+    t.append(chunks(spark, [("a", "f", "unseen"), ("b", "f", "unseen")]), "open", replace="accession_number")
+    assert read(t.read()) == {"a": "seen"}
+    t.log.commit("open", ["t"])
+    assert read(t.read()) == {"a": "unseen", "b": "unseen"}
+
+
+def test_out_of_date_rows_are_found_by_key_alone(spark, tmp_path):
+    t = sinks.UpsertTable(spark, str(tmp_path / "t"), ["chunk_id"])
+    t.upsert(chunks(spark, [("a", "f", "x")]))
+    t.upsert(chunks(spark, [("a", "f", "y")]))
+    plan = t.read()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "document" not in "".join(line for line in plan.split("\n") if "Aggregate" in line)
 
 
 def test_summary_and_reader(spark):
@@ -165,6 +200,23 @@ def test_ingest_job(spark, landed, tmp_path):
     assert {r["accession_number"] for r in sections.collect()} == {"0000000320-20-000000", "0000000077-20-000001"}
 
 
+def test_ingest_is_repeated_after_a_fault(spark, landed, tmp_path, monkeypatch):
+    html = spark.createDataFrame([("0000000320-20-000000", HTML)], "accession_number string, html string")
+    store = str(tmp_path / "store")
+    score = ingest.sent.score_sections
+    monkeypatch.setattr(ingest.sent, "score_sections", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):  # between chunks and scores
+        run_ingest(spark, landed, tmp_path, html, "aaa")
+    assert ingest.stored_chunks(spark, store) is ingest.stored_sections(spark, store) is ingest.stored_sentiment(spark, store) is None
+    monkeypatch.setattr(ingest.sent, "score_sections", score)
+    result = run_ingest(spark, landed, tmp_path, html, "aaa")
+    keys = lambda df: sorted(tuple(r) for r in df.select("accession_number", "section").distinct().collect())
+    stored = [f(spark, store) for f in (ingest.stored_chunks, ingest.stored_sections, ingest.stored_sentiment)]
+    assert keys(stored[0]) == keys(stored[1]) == keys(stored[2]) != []
+    assert result.totals == {"filings": 3, "sections": stored[1].count(), "chunks": stored[0].count()}
+    assert result.counts.agg(F.sum("n_sections"), F.sum("n_chunks")).first()[:] == (result.totals["sections"], result.totals["chunks"])
+
+
 def test_ingest_of_many_then_more(spark, tmp_path):
     def landing(first, last):
         (tmp_path / f"subs{first}").mkdir()
