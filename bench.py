@@ -14,7 +14,7 @@ HEADLINE = [
     "asof_sentiment_macro", "asof_same_day_ties", "corr_table",
     "page_stats", "text_profile", "sentences", "fixed_chunks", "overlap_chunks", "chunk_records",
     "html_text", "sections", "sections_cascade", "link_ranking", "filing_index",
-    "embed_texts", "vector_cosine_topk", "vector_lsh_topk", "passage_topk", "context_budget", "prompt_table",
+    "embed_texts", "vector_cosine_topk", "vector_index_topk", "vector_index_recall", "passage_topk", "context_budget", "prompt_table",
     "lexicon_sentiment", "rule_sentiment", "sentiment_upsert", "chunk_upsert", "filing_summary",
     "tfidf", "lda_topics",
 ]

@@ -48,7 +48,7 @@ def join_phrases(text: Column, lexicon: dict[str, float]) -> tuple[Column, dict[
     return out, words
 
 
-def _compound(total: Column) -> Column:
+def compound(total: Column) -> Column:
     raw = total / F.sqrt(total * total + fv.COMPOUND_ALPHA)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
 
@@ -72,10 +72,11 @@ def score_parts(valences: Column, emphasis: Column, digits: tuple[int, int]) ->
         neg = acc["neg"] + F.when(acc["neg"] > acc["pos"], emphasis).otherwise(0.0)
         mass = pos + neg + acc["neu"]
         return F.struct(
-            F.round(F.try_divide(pos, mass), part).alias("pos"),
-            F.round(F.try_divide(acc["neu"], mass), part).alias("neu"),
-            F.round(F.try_divide(neg, mass), part).alias("neg"),
-            F.round(_compound(strong), whole).alias("compound"),
+            # a text without any token is neutral
+            F.round(F.coalesce(F.try_divide(pos, mass), F.lit(0.0)), part).alias("pos"),
+            F.round(F.coalesce(F.try_divide(acc["neu"], mass), F.lit(1.0)), part).alias("neu"),
+            F.round(F.coalesce(F.try_divide(neg, mass), F.lit(0.0)), part).alias("neg"),
+            F.round(compound(strong), whole).alias("compound"),
         )
 
     return F.aggregate(valences, zero, add, finish).cast(SCORE)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def hashed_embedding(
@@ -43,18 +45,21 @@ def model_embedding(
     batch_size: int = 64,
     out: str = "embedding",
 ) -> DataFrame:
-    """Vectors of any model. ``make_encoder`` runs once per task and returns texts -> vectors."""
+    """Vectors of any model. ``make_encoder`` runs once per task and returns texts -> vectors (rows of one length)."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    at, arrow = df.columns.index(text), to_arrow_schema(schema)
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for part in parts:
-            for i in range(0, len(part), batch_size):
-                piece = part.iloc[i : i + batch_size].copy()
-                piece[out] = [[float(x) for x in v] for v in encoder(piece[text].tolist())]
-                yield piece
+        for batch in batches:
+            for i in range(0, batch.num_rows, batch_size):
+                piece = batch.slice(i, batch_size)
+                vectors = np.asarray(encoder(piece.column(at).to_pylist()), dtype=np.float32)
+                ends = np.arange(0, vectors.size + 1, vectors.shape[1], dtype=np.int32)
+                column = pa.ListArray.from_arrays(ends, vectors.ravel()).cast(arrow.field(out).type)
+                yield pa.RecordBatch.from_arrays([*piece.columns, column], schema=arrow)
 
-    return df.mapInPandas(encode, schema)
+    return df.mapInArrow(encode, schema)
 
 
 def random_vectors(spark, n: int, dim: int = 768, seed: int = 42, partitions: int | None = None) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import cut_lineage
 
 PROBABILITIES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -14,97 +18,78 @@ def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     return (
         df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
+        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        # Always true; it keeps the count in every reader of this table, so that they
-        # share one shuffle instead of each building a pruned copy.
-        .filter(F.col("n") > 0)
     )
 
 
-def exact_quantiles(values: DataFrame, buckets: int = 64) -> DataFrame:
-    """Exact linear-interpolated quartiles per column, with no column sorted in one task.
+def exact_ranks(values: DataFrame, wanted: dict[str, list[int]], ranges: int = 1024) -> dict[tuple[str, int], float]:
+    """The values at ranks (from 0) of each column, from counts alone.
 
-    A mergeable sketch cuts the distinct values of a column into ``buckets`` ranges. Counts
-    per range tell which ranges hold the wanted ranks; only those are ordered, each range
-    by itself. The cuts may be approximate, the ranks are not.
+    Each pass is one job for all columns: it counts the values inside the ranges that still hold a wanted rank,
+    cut into ``ranges`` parts, and goes on in the part that has it. Nothing is ordered, and no task holds
+    more than counts; at most ``ranges`` rows per rank come back.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = values.groupBy("column_name").agg(
-        F.percentile_approx("value", cuts, 10_000).alias("cuts")
-    )
-    # One row per profiled column on the broadcast side.
-    placed = values.join(F.broadcast(bounds), "column_name").select(
-        "column_name",
-        "value",
-        "n",
-        F.aggregate("cuts", F.lit(0), lambda s, c: s + (c < F.col("value")).cast("int")).alias("bucket"),
-    )
-    sizes = placed.groupBy("column_name", "bucket").agg(F.sum("n").alias("size"))
-    # At most ``buckets`` rows per column.
-    w = Window.partitionBy("column_name").orderBy("bucket")
-    total = F.sum("size").over(Window.partitionBy("column_name"))
-    before = sizes.select(
-        "column_name", "bucket", "size",
-        (F.sum("size").over(w) - F.col("size")).alias("before"), total.alias("total"),
-    )
-    wanted = before.select(
-        "column_name", "bucket", "before", "size",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("total") - 1)).alias("at"))
-                    for name, p in PROBABILITIES.items()
-                ]
-            )
-        ).alias("q"),
-    ).select("column_name", "bucket", "before", "size", "q.name", "q.at")
-    # Ranks floor(at) and ceil(at), counted from 0, may lie in neighbouring ranges.
-    hit = wanted.filter(
-        (F.ceil("at") >= F.col("before")) & (F.floor("at") < F.col("before") + F.col("size"))
-    )
-    running = Window.partitionBy("column_name", "bucket", "name").orderBy("value")
-    ranked = placed.join(F.broadcast(hit), ["column_name", "bucket"]).withColumn(
-        "upto", F.col("before") + F.sum("n").over(running)
-    )
-
-    def value_at(rank: Column) -> Column:
-        inside = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
-        return F.max(F.when(inside, F.col("value")))
-
-    low, high = F.floor("at"), F.ceil("at")
-    picked = ranked.groupBy("column_name", "name", "at").agg(
-        value_at(low).alias("lo"), value_at(high).alias("hi")
-    )
-    at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
-    return picked.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("name") == n, at)).alias(n) for n in PROBABILITIES]
-    )
+    spark = values.sparkSession
+    extent = {r["column_name"]: (r["low"], r["high"]) for r in values.groupBy("column_name").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    state = {(c, k): (*extent[c], 0) for c, ranks in wanted.items() for k in ranks}
+    while open_ := [(c, k, low, high) for (c, k), (low, high, _) in state.items() if low < high]:
+        asked = spark.createDataFrame(open_, "column_name string, rank long, low double, high double")
+        width = (F.col("high") - F.col("low")) / ranges
+        # a range too narrow, or too wide, to be cut evenly: its least value against the rest
+        even = (width > 0) & (width < float("inf"))
+        part = F.when(even, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(ranges - 1))).otherwise((F.col("value") > F.col("low")).cast("long"))
+        inside = values.join(F.broadcast(asked), "column_name").filter("value between low and high")  # a row per open rank
+        counts = inside.groupBy("column_name", "rank", part.alias("part")).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        found = set()
+        for r in sorted(counts.collect(), key=lambda r: (r["column_name"], r["rank"], r["part"])):
+            key = r["column_name"], r["rank"]
+            if key in found:
+                continue
+            low, high, below = state[key]
+            if r["rank"] < below + r["n"]:
+                state[key] = (r["low"], r["high"], below)
+                found.add(key)
+            else:
+                state[key] = (low, high, below + r["n"])
+    return {key: low for key, (low, _, _) in state.items()}
+
+
+def exact_quantiles(values: DataFrame, sizes: dict[str, int]) -> dict[str, dict[str, float]]:
+    """Exact linear-interpolated quartiles per column; ``sizes`` is the number of values of each."""
+    at = {c: {name: p * (n - 1) for name, p in PROBABILITIES.items()} for c, n in sizes.items()}
+    found = exact_ranks(values, {c: sorted({int(f(x)) for x in own.values() for f in (math.floor, math.ceil)}) for c, own in at.items()})
+    out = {}
+    for c, own in at.items():
+        ends = {name: (found[c, math.floor(x)], found[c, math.ceil(x)]) for name, x in own.items()}
+        out[c] = {name: low + (high - low) * (own[name] - math.floor(own[name])) if low != high else low for name, (low, high) in ends.items()}
+    return out
 
 
 def describe(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column, one row per column."""
-    values = column_values(df, columns)
+    """count, mean, std, min, quartiles and max of each column, one row per column; a NaN is no value.
+
+    The table is read once, into counts per value; all figures come from these.
+    """
+    values = cut_lineage(column_values(df, columns))
     n, v = F.col("n"), F.col("value")
-    mean = F.sum(v * n) / F.sum(n)
+    # One row per profiled column comes back.
     basics = values.groupBy("column_name").agg(
-        F.sum("n").alias("n_values"), mean.alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
+        F.sum("n").alias("n_values"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+    ).collect()
+    means = df.sparkSession.createDataFrame([(r["column_name"], r["mean"]) for r in basics], "column_name string, mean double")
     # Second pass over the counts, around the mean, so that large values do not cancel.
-    spread = (
-        values.join(F.broadcast(basics.select("column_name", "mean", "n_values")), "column_name")
-        .groupBy("column_name")
-        .agg(
-            F.sqrt(F.try_divide(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))), F.max("n_values") - 1)).alias("std")
-        )
-    )
-    joined = basics.join(spread, "column_name").join(exact_quantiles(values), "column_name")
-    return joined.select(
-        "column_name",
-        F.col("n_values"),
-        *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")],
-    )
+    squares = values.join(F.broadcast(means), "column_name").groupBy("column_name").agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("s")).collect()
+    around = {r["column_name"]: r["s"] for r in squares}
+    quartiles = exact_quantiles(values, {r["column_name"]: r["n_values"] for r in basics})
+    rows = [
+        (r["column_name"], r["n_values"], r["mean"], math.sqrt(around[c] / (r["n_values"] - 1)) if r["n_values"] > 1 else None, r["min"], *(quartiles[c][q] for q in PROBABILITIES), r["max"])
+        for r in basics for c in [r["column_name"]]
+    ]
+    names = ("mean", "std", "min", *PROBABILITIES, "max")
+    table = df.sparkSession.createDataFrame(rows, f"column_name string, n_values long, {', '.join(f'{c} double' for c in names)}")
+    return table.select("column_name", "n_values", *[F.round(c, digits).alias(c) for c in names])
 
 
 def sample_rows(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
@@ -113,5 +98,16 @@ def sample_rows(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(order, key).limit(k)
 
 
+def sample_fractions(df: DataFrame, by: str, fractions: dict[str, float], key: str, seed: int = 42) -> DataFrame:
+    """The share ``fractions[value]`` of the rows of each value of ``by``; values that are not named have none.
+
+    A row is in the sample if a hash of its key is below its share, so the sample needs no shuffle, is the same
+    whatever the partitioning, and a larger share holds the smaller one's rows.
+    """
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    bounds = F.coalesce(*[F.when(F.col(by) == value, F.lit(round(share * 2**32))) for value, share in fractions.items()], F.lit(0))
+    return df.filter(place < bounds)
+
+
 def head(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(key).limit(n)

@@ -2,6 +2,7 @@
 
 Exact search keeps, in each task, the best k candidates per question while it streams over
 the candidate vectors, so only k rows per question and task are shuffled, never the pairs.
+Approximate search does the same over the cells of an index that lie next to a question.
 """
 
 from __future__ import annotations
@@ -14,21 +15,17 @@ from heapq import nsmallest
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixed_values as fv
 from ..functions import text as tx, vectors as vx
-from ..functions.binding import let
+from ..session import cut_lineage
 
-# A block of question vectors that travels to every task stays under this size.
+# Question vectors that travel to every task, or that one group holds, stay under this size.
 BLOCK_BYTES = 32 << 20
 # A ranked result is broadcast up to this many rows; it has k rows per question.
 BROADCAST_ROWS = 1_000_000
-# Bytes of question rows (one per hash table, each with its vector) that may be broadcast.
-BROADCAST_BYTES = 64 << 20
 
 
 def metadata_filter(
@@ -64,57 +61,133 @@ def date_filter(
     return rows.filter(keep)
 
 
-def _kernel(ids_q, matrix, k, cosine, digits, tests, schema):
-    """Task-side search: running best k per question over the batches of a partition.
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+class _Best:
+    """The best ``k`` candidates of each question of a block, while candidates go by.
 
     ``tests`` holds one list per filter column, with a predicate (or None) per question.
     """
 
+    def __init__(self, ids: list, matrix: np.ndarray, k: int, cosine: bool, digits: int, tests: list):
+        self.ids, self.k, self.cosine, self.digits, self.tests = ids, k, cosine, digits, tests
+        self.matrix = _unit(matrix) if cosine else matrix
+        self.best: list[list[tuple]] = [[] for _ in ids]
+
+    def add(self, ids: pa.Array, vectors: pa.ListArray, columns: list[pa.Array]) -> None:
+        dim, k, best = self.matrix.shape[1], self.k, self.best
+        # Vectors of another length, or none, cannot be scored. This is checked here and
+        # not as a filter: pushed below the encoder, a filter would encode twice.
+        usable = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
+        ids, vectors = ids.filter(usable).to_pylist(), vectors.filter(usable)
+        if not ids:
+            return
+        vecs = _matrix(vectors, dim)
+        vecs = _unit(vecs) if self.cosine else vecs
+        coded = []
+        for column in columns:
+            enc = pc.fill_null(column.filter(usable), "").dictionary_encode()
+            coded.append((enc.dictionary.to_pylist(), enc.indices.to_numpy(zero_copy_only=False)))
+        for lo in range(0, len(self.ids), 256):
+            scores = np.round(vecs @ self.matrix[lo : lo + 256].T, self.digits)
+            for j in range(scores.shape[1]):
+                q, s = lo + j, scores[:, j]
+                ok = np.ones(len(ids), dtype=bool)
+                for per_question, (names, codes) in zip(self.tests, coded):
+                    test = per_question[q]
+                    if test is not None:
+                        ok &= np.array([test(n) for n in names], dtype=bool)[codes]
+                if len(best[q]) == k:
+                    ok &= s >= -best[q][-1][0]
+                idx = np.flatnonzero(ok)
+                if len(idx) > k:
+                    # Everything level with the k-th score stays, so ties fall by id.
+                    idx = idx[s[idx] >= np.partition(s[idx], -k)[-k]]
+                if len(idx):
+                    best[q] = nsmallest(k, best[q] + [(-s[i], ids[i]) for i in idx])
+
+    def batch(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        rows = [(self.ids[q], i, -neg) for q, found in enumerate(self.best) for neg, i in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(col, type=f.type) for col, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _tests(asked: dict[str, list], filters: list[str], dates: list[str]) -> list[list]:
+    """Predicates of each question: one list per filter column, and one for the dates."""
+    tests = [[_one_of(v) for v in asked[q]] for q in filters]
+    if dates:
+        tests.append([_between(s, e) for s, e in zip(*(asked[c] for c in dates))])
+    return tests
+
+
+def _streamed(make: Callable[[], _Best], schema: pa.Schema):
+    """Task-side search of one block of questions over the batches of a partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = matrix.shape[1]
-        best: list[list[tuple]] = [[] for _ in ids_q]
+        best = make()
         for batch in batches:
-            # Vectors of another length, or none, cannot be scored. This is checked here and
-            # not as a filter: pushed below the encoder, a filter would encode twice.
-            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False))
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_pylist()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vecs = flat.astype(np.float64).reshape(len(ids), dim)
-            if cosine:
-                norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
-                vecs = np.divide(vecs, norm, out=np.zeros_like(vecs), where=norm > 0)
-            columns = []
-            for f in range(len(tests)):
-                enc = pc.fill_null(batch.column(2 + f), "").dictionary_encode()
-                columns.append((enc.dictionary.to_pylist(), enc.indices.to_numpy(zero_copy_only=False)))
-            for lo in range(0, len(ids_q), 256):
-                scores = np.round(vecs @ matrix[lo : lo + 256].T, digits)
-                for j in range(scores.shape[1]):
-                    q, s = lo + j, scores[:, j]
-                    ok = np.ones(len(ids), dtype=bool)
-                    for per_question, (names, codes) in zip(tests, columns):
-                        test = per_question[q]
-                        if test is not None:
-                            ok &= np.array([test(n) for n in names], dtype=bool)[codes]
-                    if len(best[q]) == k:
-                        ok &= s >= -best[q][-1][0]
-                    idx = np.flatnonzero(ok)
-                    if len(idx) > k:
-                        # Everything level with the k-th score stays, so ties fall by id.
-                        idx = idx[s[idx] >= np.partition(s[idx], -k)[-k]]
-                    if len(idx):
-                        best[q] = nsmallest(k, best[q] + [(-s[i], ids[i]) for i in idx])
-        rows = [(ids_q[q], i, -neg) for q, found in enumerate(best) for neg, i in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(col, type=f.type) for col, f in zip(zip(*rows), schema)], schema=schema
-            )
+            best.add(batch.column(0), batch.column(1), batch.columns[2:])
+        yield from best.batch(schema)
 
     return run
 
 
+def _grouped_topk(asked: DataFrame, scan: DataFrame, out_type: T.StructType, dim: int, k: int, cosine: bool, digits: int, filters: list[str], dates: list[str]) -> DataFrame:
+    """The best ``k`` of each question within each group: (query, candidate, score).
+
+    Both sides hold their group in ``_g``. The questions of a group come before its candidates, so a task holds
+    one group's questions and streams its candidates.
+    """
+    qid, cid = out_type.names[0], out_type.names[1]
+    restricted = [c for c in scan.columns if c not in ("_g", cid, "_v")]
+    left = asked.select("_g", F.lit(0).alias("_kind"), F.col(qid).alias("_qid"), "_q", *[F.col(c).alias(f"_asked_{c}") for c in (*filters, *dates)])
+    right = scan.select("_g", F.lit(1).alias("_kind"), F.col(cid).alias("_cid"), "_v", *restricted)
+    rows = left.unionByName(right, allowMissingColumns=True).repartition("_g").sortWithinPartitions("_g", "_kind")
+    schema = to_arrow_schema(out_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, best = None, [], None
+        for batch in batches:
+            key = batch.column("_g").to_numpy(zero_copy_only=False)
+            kind = batch.column("_kind").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for at, end in zip([0, *edges], [*edges, len(key)]):
+                if at == end:
+                    continue
+                part = batch.slice(at, end - at)
+                if key[at] != group:
+                    if best is not None:
+                        yield from best.batch(schema)
+                    group, held, best = key[at], [], None
+                if kind[at] == 0:
+                    held.append(part)
+                elif held:
+                    if best is None:
+                        table = pa.Table.from_batches(held)
+                        own = {c: table.column(f"_asked_{c}").to_pylist() for c in (*filters, *dates)}
+                        matrix = np.concatenate([_matrix(p.column("_q"), dim) for p in held])
+                        best = _Best(table.column("_qid").to_pylist(), matrix, k, cosine, digits, _tests(own, filters, dates))
+                        held = [None]
+                    best.add(part.column("_cid"), part.column("_v"), [part.column(c) for c in restricted])
+        if best is not None:
+            yield from best.batch(schema)
+
+    return rows.mapInArrow(run, out_type)
+
+
+def _ranked(found: DataFrame, query_id: str, cand_id: str, k: int) -> DataFrame:
+    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(cand_id))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def _one_of(values) -> Callable[[str], bool] | None:
     return set(values).__contains__ if values is not None and len(values) else None
 
@@ -164,8 +237,9 @@ def exact_topk(
     ``filters`` pairs an array column of the questions with a candidate column it restricts;
     an empty or null array does not restrict. ``dates`` names the questions' inclusive start
     and end columns and the candidates' date. Scores count to ``digits`` places, ties go to
-    the smaller id. Questions travel to the tasks in blocks of bounded size; more questions
-    mean more blocks, each one pass over the candidates.
+    the smaller id. Questions are computed once. Up to ``BLOCK_BYTES`` of them travel to every
+    task; more are dealt out to groups of at most that size, each of which meets every
+    candidate. In both cases candidates are read, and encoded, once.
     """
     filters = filters or []
     out_type = T.StructType(
@@ -175,48 +249,48 @@ def exact_topk(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    lengths = queries.select(F.size(query_vec).alias("d")).filter("d > 0").agg(F.min("d").alias("least"), F.max("d").alias("dim")).first()
-    if lengths["least"] != lengths["dim"]:
-        raise ValueError(f"question vectors have different lengths, from {lengths['least']} to {lengths['dim']}")
-    dim = lengths["dim"]
+    asked = [q for q, _ in filters] + (list(dates[:2]) if dates else [])
+    usable = cut_lineage(queries.filter(F.size(query_vec) > 0).select(query_id, F.col(query_vec).cast("array<double>").alias("_q"), *asked))
+    facts = usable.agg(F.min(F.size("_q")).alias("least"), F.max(F.size("_q")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    dim = facts["dim"]
+    if facts["least"] != dim:
+        raise ValueError(f"question vectors have different lengths, from {facts['least']} to {dim}")
     if dim is None:
         empty = candidates.sparkSession.createDataFrame([], out_type)
         return empty.withColumn("rank", F.lit(None).cast("int"))
-    arrow = to_arrow_schema(out_type)
     restricted = [c for _, c in filters] + ([dates[2]] if dates else [])
-    asked = [q for q, _ in filters] + (list(dates[:2]) if dates else [])
-    usable = queries.filter(F.size(query_vec) == dim).select(
-        query_id, F.col(query_vec).cast("array<double>").alias("_q"), *asked
+    named, days = [q for q, _ in filters], list(dates[:2]) if dates else []
+    blocks = -(-facts["n"] * dim * 8 // BLOCK_BYTES)
+    pdf = usable.toPandas() if blocks <= 1 else None
+    scan = candidates
+    for condition in _pushed(pdf, filters, dates) if pdf is not None else []:
+        scan = scan.filter(condition)
+    scan = scan.select(
+        cand_id,
+        F.col(cand_vec).cast("array<float>").alias("_v"),
+        *[F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(restricted)],
     )
-    n_blocks = max(1, -(-usable.count() * dim * 8 // BLOCK_BYTES))
-    parts = []
-    for b in range(n_blocks):
-        block = usable
-        if n_blocks > 1:
-            block = usable.filter(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b)
-        pdf = block.toPandas()
-        if pdf.empty:
-            continue
-        matrix = np.array(pdf["_q"].tolist(), dtype=np.float64)
-        if cosine:
-            norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-            matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        tests = [[_one_of(v) for v in pdf[q]] for q, _ in filters]
-        if dates:
-            tests.append([_between(s, e) for s, e in zip(pdf[dates[0]], pdf[dates[1]])])
-        scan = candidates
-        for condition in _pushed(pdf, filters, dates):
-            scan = scan.filter(condition)
-        scan = scan.select(
-            cand_id,
-            F.col(cand_vec).cast("array<float>").alias("_v"),
-            *[F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(restricted)],
-        )
-        run = _kernel(pdf[query_id].tolist(), matrix, k, cosine, digits, tests, arrow)
-        parts.append(scan.mapInArrow(run, out_type))
-    found = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(cand_id))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if pdf is not None:
+        ids, matrix = pdf[query_id].tolist(), np.array(pdf["_q"].tolist(), dtype=np.float64)
+        own = {c: pdf[c].tolist() for c in asked}
+        make = lambda: _Best(ids, matrix, k, cosine, digits, _tests(own, named, days))
+        found = scan.mapInArrow(_streamed(make, to_arrow_schema(out_type)), out_type)
+    else:
+        # groups of questions times groups of candidates; a candidate is in one of the latter
+        groups = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = F.pmod(F.xxhash64(cand_id), F.lit(groups)) * blocks
+        scan = scan.select("*", dealt.alias("_c")).select(*scan.columns, F.explode(F.sequence(F.col("_c"), F.col("_c") + blocks - 1)).alias("_g"))
+        block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+        every = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g * blocks + block)
+        found = _grouped_topk(usable.withColumn("_g", F.explode(every)), scan, out_type, dim, k, cosine, digits, named, days)
+    return _ranked(found, query_id, cand_id, k)
+
+
+def rejected_vectors(vectors: DataFrame, dim: int, id: str = "chunk_id", vec: str = "embedding") -> DataFrame:
+    """(id, reason): vectors that a search over ``dim`` components leaves out."""
+    size = F.size(vec)
+    reason = F.when(F.col(vec).isNull(), "no vector").when(size != dim, F.concat(F.lit("length "), size.cast("string")))
+    return vectors.select(id, reason.alias("reason")).filter("reason is not null")
 
 
 def attach(ranked: DataFrame, candidates: DataFrame, cand_id: str, max_rows: int) -> DataFrame:
@@ -270,80 +344,136 @@ def nearest(
     )
 
 
-# Projections that must agree for two vectors to share a bucket of a hash table.
-PROJECTIONS_PER_TABLE = 4
+# ---- cells -------------------------------------------------------------------------------
 
+# Candidates of a cell that one task walks; a cell with more is split.
+CELL_ROWS = 1 << 16
+MAX_CELLS = 4096
 
-def fit_lsh(
-    vectors: DataFrame,
-    vec: str = "embedding",
-    bucket_length: float | None = None,
-    tables: int = 8,
-    seed: int = 42,
-) -> BucketedRandomProjectionLSHModel:
-    """Random projections of unit vectors; fitting only needs the dimension.
-
-    Projections of unit vectors spread by about one over the root of the dimension, and
-    buckets are twice that wide if ``bucket_length`` does not say otherwise.
-    """
-    if bucket_length is None:
-        bucket_length = 2.0 / math.sqrt(vectors.select(F.size(vec).alias("d")).first()["d"])
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_lsh_in", outputCol="_lsh_out", bucketLength=bucket_length,
-        numHashTables=tables * PROJECTIONS_PER_TABLE, seed=seed,
-    )
-    return lsh.fit(vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("_lsh_in")))
 
+def fit_cells(vectors: DataFrame, vec: str = "embedding", cells: int | None = None, sample_rows: int = 20_000, rounds: int = 15, seed: int = 42) -> np.ndarray:
+    """Unit centroids of spherical k-means over at most ``sample_rows`` vectors, chosen by their hash.
 
-def with_buckets(df: DataFrame, model: BucketedRandomProjectionLSHModel, vec: str = "embedding") -> DataFrame:
-    """Adds ``buckets``, one number per hash table; store it with the vectors to index them."""
-    hashed = model.transform(
-        df.withColumn("_lsh_in", array_to_vector(F.col(vec).cast("array<double>")))
-    )
-    m, tables = PROJECTIONS_PER_TABLE, model.getNumHashTables() // PROJECTIONS_PER_TABLE
-    keys = let(
-        F.transform("_lsh_out", lambda h: vector_to_array(h)[0].cast("int")),
-        lambda numbers: F.transform(
-            F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.xxhash64(F.slice(numbers, i * m + 1, m))
-        ),
-    )
-    return hashed.withColumn("buckets", keys).drop("_lsh_in", "_lsh_out")
-
+    Only the places of the cells depend on the sample: the index holds every vector. The root of the
+    number of vectors, but at most ``MAX_CELLS``, is the default number of cells.
+    """
+    usable = vectors.filter(F.size(vec) > 0).select(F.col(vec).cast("array<double>").alias("v"))
+    if cells is None:
+        cells = min(MAX_CELLS, max(1, round(usable.count() ** 0.5)))
+    rows = [r["v"] for r in usable.orderBy(F.xxhash64("v"), "v").limit(sample_rows).collect()]
+    if not rows:
+        return np.zeros((0, 0))
+    points = _unit(np.array([r for r in rows if len(r) == len(rows[0])], dtype=np.float64))
+    rng = np.random.default_rng(seed)
+    centroids = points[rng.choice(len(points), min(cells, len(points)), replace=False)]
+    for _ in range(rounds):
+        own = (points @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, points)
+        centroids = np.where(np.bincount(own, minlength=len(centroids))[:, None] > 0, _unit(sums), centroids)
+    return centroids
+
+
+def with_cells(vectors: DataFrame, centroids: np.ndarray, vec: str = "embedding", probes: int | None = None) -> DataFrame:
+    """Adds ``cell``, that of the nearest centroid (-1 without a usable vector), or ``cells``, the nearest ``probes``."""
+    kind = T.IntegerType() if probes is None else T.ArrayType(T.IntegerType())
+    name = "cell" if probes is None else "cells"
+    schema = T.StructType([*vectors.schema.fields, T.StructField(name, kind)])
+    at = vectors.columns.index(vec)
+    arrow = to_arrow_schema(schema)
 
-def lsh_topk(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            ok = pc.fill_null(pc.equal(pc.list_value_length(column), centroids.shape[1]), False)
+            usable = ok.to_numpy(zero_copy_only=False)
+            near = _unit(_matrix(column.filter(ok), centroids.shape[1])) @ centroids.T if usable.any() else None
+            if probes is None:
+                own = np.full(len(usable), -1, np.int32)
+                if near is not None:
+                    own[usable] = near.argmax(axis=1)
+                cells = pa.array(own)
+            else:
+                lists = [[] for _ in usable]
+                if near is not None:
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    for row, found in zip(np.flatnonzero(usable), order.tolist()):
+                        lists[row] = found
+                cells = pa.array(lists, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], schema=arrow)
+
+    return vectors.mapInArrow(run, schema)
+
+
+def write_cells(indexed: DataFrame, path: str, id: str = "chunk_id") -> DataFrame:
+    """Writes an index, one folder per cell; a cell of many rows is written by several tasks. Returns it as read."""
+    sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)).alias("_parts"))  # one row per cell
+    dealt = indexed.join(F.broadcast(sizes), "cell").repartition("cell", F.pmod(F.xxhash64(id), F.col("_parts")))
+    dealt.drop("_parts").write.partitionBy("cell").parquet(path)
+    return indexed.sparkSession.read.schema(indexed.schema).parquet(path)
+
+
+def cells_topk(
     queries: DataFrame,
-    candidates: DataFrame,
-    model: BucketedRandomProjectionLSHModel,
+    indexed: DataFrame,
+    centroids: np.ndarray,
     k: int = 6,
+    probes: int = 8,
     query_id: str = "query_id",
     cand_id: str = "chunk_id",
     vec: str = "embedding",
     digits: int = 9,
 ) -> DataFrame:
-    """Approximate top k by cosine: only candidates that share a bucket with the question are scored.
+    """Approximate top ``k`` by cosine: the candidates in the ``probes`` cells nearest to a question, scored exactly.
 
-    The questions are the small side and are broadcast while their measured bytes allow it, so the
-    candidates stay where they are and a crowded bucket is not gathered anywhere. A pair
-    that meets in several tables is kept in the first of them, without a distinct.
+    Only probed cells are read. A cell of many candidates is split, and the questions of a cell are dealt out to
+    groups of at most ``BLOCK_BYTES``. All cells probed give the exact result.
     """
-    q = with_buckets(queries, model, vec).select(
-        query_id, F.col(vec).alias("_q"), F.col("buckets").alias("_qb"), F.posexplode(F.slice("buckets", 1, F.size("buckets"))).alias("_t", "_b")
-    )
-    q_bytes = q.agg(F.sum(F.size("_q") * 8 + F.size("_qb") * 8 + 64)).first()[0] or 0
-    c = (candidates if "buckets" in candidates.columns else with_buckets(candidates, model, vec)).select(
-        cand_id, F.col(vec).alias("_c"), F.col("buckets").alias("_cb"), F.posexplode(F.slice("buckets", 1, F.size("buckets"))).alias("_t", "_b")
-    )
-    side = F.broadcast(q) if q_bytes <= BROADCAST_BYTES else q
-    first_table = F.array_position(
-        F.zip_with("_qb", "_cb", lambda a, b: a == b), F.lit(True)
-    ) == F.col("_t") + 1
-    scored = (
-        c.join(side, ["_t", "_b"])
-        .filter(first_table)
-        .select(query_id, cand_id, F.round(F.coalesce(vx.cosine(F.col("_q"), F.col("_c")), F.lit(0.0)), digits).alias("score"))
-    )
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(cand_id))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out_type = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(cand_id, indexed.schema[cand_id].dataType), T.StructField("score", T.DoubleType())])
+    dim = centroids.shape[1]
+    near = with_cells(queries.filter(F.size(vec) == dim).select(query_id, F.col(vec).cast("array<double>").alias(vec)), centroids, vec, probes)
+    asked = cut_lineage(near.select(query_id, F.col(vec).alias("_q"), F.explode("cells").alias("cell")))
+    probed = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per cell
+    if not probed:
+        return candidates_none(indexed, out_type)
+    blocks = -(-max(r["n"] for r in probed) * dim * 8 // BLOCK_BYTES)
+    read = indexed.filter(F.col("cell").isin([r["cell"] for r in probed]))
+    parts = F.broadcast(read.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)).alias("_parts")))  # one row per cell
+    group = lambda part, block: (F.col("cell").cast("long") * (1 << 24) + part) * blocks + block
+    own = read.join(parts, "cell").select(cand_id, F.col(vec).cast("array<float>").alias("_v"), group(F.pmod(F.xxhash64(cand_id), F.col("_parts")), F.lit(0)).alias("_c"))
+    scan = own.select(cand_id, "_v", F.explode(F.sequence(F.col("_c"), F.col("_c") + blocks - 1)).alias("_g"))
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    every = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda part: group(part, block))
+    dealt = asked.join(parts, "cell").withColumn("_g", F.explode(every))
+    return _ranked(_grouped_topk(dealt, scan, out_type, dim, k, True, digits, [], []), query_id, cand_id, k)
+
+
+def tuned_probes(
+    vectors: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int = 6, target: float = 0.95, questions: int = 256,
+    cand_id: str = "chunk_id", vec: str = "embedding",
+) -> int:
+    """The fewest probes with which ``target`` of the exact neighbours of sample vectors lie in probed cells.
+
+    At most ``questions`` vectors, chosen by the hash of their id, ask for their ``k`` nearest others. How many cells that
+    takes is a property of the vectors: few where they form clusters, most of them where they have no structure.
+    """
+    asked = vectors.filter(F.size(vec) == centroids.shape[1]).orderBy(F.xxhash64(cand_id), cand_id).limit(questions).select(F.col(cand_id).alias("_asked"), vec)
+    order = {r["_asked"]: {c: i for i, c in enumerate(r["cells"])} for r in with_cells(asked, centroids, vec, len(centroids)).select("_asked", "cells").collect()}
+    exact = exact_topk(asked, vectors, k + 1, query_id="_asked", query_vec=vec, cand_id=cand_id, cand_vec=vec).filter(F.col("_asked") != F.col(cand_id))
+    met = indexed.select(cand_id, "cell").join(exact.select("_asked", cand_id), cand_id).collect()  # k rows per question
+    ranks = sorted(order[r["_asked"]].get(r["cell"], len(centroids)) for r in met)
+    return min(len(centroids), ranks[math.ceil(target * len(ranks)) - 1] + 1) if ranks else len(centroids)
+
+
+def candidates_none(indexed: DataFrame, out_type: T.StructType) -> DataFrame:
+    return indexed.sparkSession.createDataFrame([], out_type).withColumn("rank", F.lit(None).cast("int"))
+
+
+def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", cand_id: str = "chunk_id") -> DataFrame:
+    """(wanted, met, recall): the share of the pairs of an exact search that another one found."""
+    pairs = exact.select(query_id, cand_id).join(found.select(query_id, cand_id, F.lit(1).alias("_hit")), [query_id, cand_id], "left")
+    wanted, met = F.count(F.lit(1)), F.count("_hit")
+    return pairs.agg(wanted.alias("wanted"), met.alias("met"), F.try_divide(met, wanted).alias("recall"))
 
 
 def within_budget(

@@ -13,16 +13,45 @@ from .correlation import correlation_table
 from .documents import default_metadata
 
 
-def merged_lexicon(base: DataFrame, extra: dict[str, float] = fv.FINANCE_LEXICON) -> dict[str, float]:
-    """A (term, valence) table with domain terms laid over it.
+def merged_lexicon(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """(term, valence) with the terms of ``extra`` laid over those of ``base``; of a term's repeats the greatest counts."""
+    both = base.select("term", F.col("valence").alias("b"), F.lit(None).cast("double").alias("e")).unionByName(
+        extra.select("term", F.lit(None).cast("double").alias("b"), F.col("valence").alias("e"))
+    )
+    return both.groupBy("term").agg(F.coalesce(F.max("e"), F.max("b")).alias("valence"))
 
-    The lexicon is a parameter of the scoring expression, so it comes to the driver; a
-    table that is no word list is refused rather than collected.
+
+def lexicon_rows(spark: SparkSession, terms: dict[str, float] = fv.FINANCE_LEXICON) -> DataFrame:
+    return spark.createDataFrame(list(terms.items()), "term string, valence double")
+
+
+def score_by_table(df: DataFrame, key: str, lexicon: DataFrame, text: str = "text", digits: tuple[int, int] = (6, 6)) -> DataFrame:
+    """(key, pos, neu, neg, compound) of each text by a (term, valence) table of any size.
+
+    Tokens meet the lexicon in a join that drops all others, by broadcast where Spark finds the table small enough;
+    occurrences are counted per key and term before they are summed. ``key`` is unique. Terms are single
+    lower-case tokens, each of which counts as in the row-local scoring without rules.
     """
-    n = base.count()
-    if n > 200_000:
-        raise ValueError(f"{n} rows are no word list")
-    return sn.override({r["term"]: r["valence"] for r in base.select("term", "valence").collect()}, extra)
+    words = sn.tokens(F.col(text))
+    hits = (
+        df.select(key, F.explode(words).alias("_w")).select(key, F.lower("_w").alias("term"))
+        .join(lexicon.filter("valence <> 0"), "term")
+        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.max("valence").alias("v"))
+    )
+    n, v = F.col("n"), F.col("v")
+    side = lambda test, value: F.coalesce(F.sum(F.when(test, n * value)), F.lit(0.0))
+    sums = hits.groupBy(key).agg(
+        F.sum(n * v).alias("_total"), side(v > 0, v + 1).alias("_pos"), side(v < 0, 1 - v).alias("_neg"), F.sum("n").alias("_hits")
+    )
+    found = df.select(key, F.coalesce(F.size(words), F.lit(0)).alias("_all")).join(sums, key, "left")
+    value = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    neutral = F.greatest(F.col("_all"), F.lit(0)) - F.coalesce("_hits", F.lit(0))
+    mass = value("_pos") + value("_neg") + neutral
+    part = lambda x, none: F.round(F.coalesce(F.try_divide(x.cast("double"), mass), F.lit(none)), digits[0])
+    return found.select(
+        key, part(value("_pos"), 0.0).alias("pos"), part(neutral, 1.0).alias("neu"), part(value("_neg"), 0.0).alias("neg"),
+        F.round(sn.compound(value("_total")), digits[1]).alias("compound"),
+    )
 
 
 def score_texts(

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixed_values as fv
 from ..functions.binding import let
@@ -50,28 +50,38 @@ def vocabulary(
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.9,
-) -> DataFrame:
-    """(term, df, total): the most frequent terms that occur in enough but not too many documents.
+) -> tuple[list[str], np.ndarray]:
+    """The most frequent terms that occur in enough but not too many documents, and their smooth idf.
 
-    Only totals per term are shuffled, combined in each task first. A document gives every
-    occurrence of a term once for ``total`` and every distinct term once for ``df``.
+    One pass over the texts gives the number of documents too, as the count of a term that is null. Only
+    totals per term are shuffled, combined in each task first. At most ``max_features`` rows come back.
     """
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    mark = lambda term, doc: F.struct(term.cast("string").alias("term"), F.lit(doc).alias("doc"))
     marks = let(
-        terms(F.col(text), stop_words),
+        terms(F.coalesce(F.col(text), F.lit("")), stop_words),
         lambda ts: F.concat(
-            F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"))),
-            F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"))),
+            F.array(mark(F.lit(None), 1)), F.transform(ts, lambda t: mark(t, 0)), F.transform(F.array_distinct(ts), lambda t: mark(t, 1))
         ),
     )
-    return (
-        docs.select(F.inline(marks))
-        .groupBy("term")
-        .agg(F.sum("doc").alias("df"), F.sum(1 - F.col("doc")).alias("total"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-    )
+    totals = docs.select(F.inline(marks)).groupBy("term").agg(F.sum("doc").alias("df"), F.sum(1 - F.col("doc")).alias("total"))
+    counts = cut_lineage(totals.filter((F.col("df") >= min_df) | F.col("term").isNull()))
+    whole = counts.filter("term is null").first()
+    n_docs = whole["df"] if whole else 0
+    rows = counts.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("total"), "term").limit(max_features).collect()
+    return [r["term"] for r in rows], np.array([math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows])
+
+
+def _weigher(vocab: list[str], idf: np.ndarray):
+    """Function of a document's terms: (numbers of its vocabulary terms, counts, tf-idf weights of unit length)."""
+    number = {t: i for i, t in enumerate(vocab)}
+
+    def weigh(own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [number[t] for t in own if t in number]
+        codes, tf = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+        w = tf * idf[codes]
+        return codes, tf, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    return weigh
 
 
 def tfidf_table(
@@ -85,74 +95,136 @@ def tfidf_table(
 ) -> DataFrame:
     """(doc, term, tf, weight): smooth idf, unit length per document.
 
-    Weight is tf * (ln((1 + n) / (1 + df)) + 1) over the document's norm. The vocabulary is
-    at most ``max_features`` rows and is broadcast, so only its terms are counted per
-    document and shuffled.
+    Weight is tf * (ln((1 + n) / (1 + df)) + 1) over the document's norm. Terms are counted, weighed
+    and normed within the row, so after the vocabulary (at most ``max_features`` terms) nothing is shuffled.
     """
     stops = english_stop_words() if stop_words is None else stop_words
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(docs, text, stops, max_features, min_df, max_df).select(
-        "term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
-    )
-    raw = (
-        docs.select(F.col(doc_id), F.explode(terms(F.col(text), stops)).alias("term"))
-        .join(F.broadcast(vocab), "term")
-        .groupBy(doc_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
-        .withColumn("w", F.col("tf") * F.col("idf"))
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
-    return raw.select(doc_id, "term", "tf", (F.col("w") / norm).alias("weight"))
+    vocab, idf = vocabulary(docs, text, stops, max_features, min_df, max_df)
+    weigh = _weigher(vocab, idf)
+    key = docs.schema[doc_id]
+    schema = T.StructType([key, T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches):
+        words = pa.array(vocab, pa.string())
+        for batch in batches:
+            found = [weigh(own or ()) for own in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(codes) for codes, _, _ in found])
+            codes, tf, w = (np.concatenate([f[i] for f in found]) if found else np.array([]) for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), words.take(pa.array(codes.astype(np.int64))), pa.array(tf.astype(np.int64)), pa.array(w.astype(np.float64))],
+                names=[doc_id, "term", "tf", "weight"],
+            )
+
+    return docs.select(doc_id, terms(F.col(text), stops).alias("_terms")).mapInArrow(run, schema)
+
+
+# ---- topics ------------------------------------------------------------------------------
+
+# Terms of documents that are mixed at a time, which bounds the memory of the inner loop.
+CHUNK_TERMS = 1 << 17
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of the log of the gamma function, for positive numbers."""
+    low = np.zeros_like(x)
+    for _ in range(8):  # far enough out for the series
+        low -= 1 / x
+        x = x + 1
+    y = 1 / (x * x)
+    return low + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+
+
+def expected(shares: np.ndarray) -> np.ndarray:
+    """exp of the expected log of each part of Dirichlet distributions, one per row."""
+    return np.exp(_digamma(shares) - _digamma(shares.sum(axis=1, keepdims=True)))
+
+
+def mixes(starts: np.ndarray, terms_: np.ndarray, weights: np.ndarray, topics: np.ndarray, alpha: float, rounds: int, tolerance: float) -> np.ndarray:
+    """Topic shares (unnormed) of documents given as runs of terms; ``topics`` has a row per term.
+
+    All documents are mixed together; those whose shares moved by less than ``tolerance`` on average leave.
+    """
+    shares = np.ones((len(starts) - 1, topics.shape[1]))
+    sizes = np.diff(starts)
+    shares[sizes == 0] = alpha
+    open_ = np.flatnonzero(sizes)
+    at = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in open_]) if len(open_) else np.array([], int)
+    for _ in range(rounds):
+        if not len(open_):
+            break
+        own = sizes[open_]
+        doc, first = np.repeat(np.arange(len(open_)), own), np.concatenate([[0], np.cumsum(own)[:-1]])
+        mix, term = expected(shares[open_]), topics[terms_[at]]
+        ratio = weights[at] / ((mix[doc] * term).sum(axis=1) + 1e-100)
+        new = alpha + mix * np.add.reduceat(ratio[:, None] * term, first)
+        moved = np.abs(new - shares[open_]).mean(axis=1) >= tolerance
+        shares[open_] = new
+        at, open_ = at[moved[doc]], open_[moved]
+    return shares
+
+
+def _chunks(starts: np.ndarray):
+    """Ranges of documents with about ``CHUNK_TERMS`` terms each."""
+    first = 0
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK_TERMS, side="right")) - 1)
+        yield first, last
+        first = last
 
 
 @dataclass
 class TopicModel:
-    """A fitted topic model: the feature pipeline, the LDA and the vocabulary."""
+    """A fitted topic model: the vocabulary with its idf, and a weight per topic and term."""
 
-    features: PipelineModel
-    lda: LDAModel
     vocabulary: list[str]
+    idf: np.ndarray
+    components: np.ndarray
     stop_words: list[str]
     text: str
+    rounds: int
+    tolerance: float
     log_perplexity: float | None = None
 
     @property
     def n_topics(self) -> int:
-        return self.lda.getK()
+        return len(self.components)
 
-    def _prepared(self, docs: DataFrame) -> DataFrame:
-        return docs.withColumn("_terms", terms(F.col(self.text), self.stop_words))
+    def topics(self, n_words: int = 10, n_topics: int | None = None) -> list[tuple[int, list[str], list[float]]]:
+        """(topic, words, weights), the heaviest words of each topic first; equal weights in vocabulary order."""
+        out = []
+        for k, row in enumerate(self.components[:n_topics]):
+            top = np.argsort(-row, kind="stable")[:n_words]
+            out.append((k, [self.vocabulary[i] for i in top], [float(row[i] / row.sum()) for i in top]))
+        return out
 
-    def topics(self, n_words: int = 10, n_topics: int | None = None) -> DataFrame:
-        """(topic, words, weights), the heaviest words of each topic first."""
-        vocab = F.lit(self.vocabulary)
-        top = self.lda.describeTopics(n_words).select(
-            "topic",
-            F.transform("termIndices", lambda i: F.get(vocab, i)).alias("words"),
-            F.col("termWeights").alias("weights"),
-        )
-        return top if n_topics is None else top.filter(F.col("topic") < n_topics)
+    def topic_table(self, spark: SparkSession, n_words: int = 10, n_topics: int | None = None) -> DataFrame:
+        return spark.createDataFrame(self.topics(n_words, n_topics), "topic int, words array<string>, weights array<double>")
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """Adds ``topic_0`` .. ``topic_{k-1}``, the topic mix of each document."""
-        mixed = self.lda.transform(self.features.transform(self._prepared(docs)))
-        mixed = mixed.withColumn("_mix", vector_to_array("topicDistribution"))
-        shares = [F.col("_mix")[i].alias(f"topic_{i}") for i in range(self.n_topics)]
-        return mixed.select(*docs.columns, *shares)
+        weigh, topics, alpha, rounds, tolerance = _weigher(self.vocabulary, self.idf), expected(self.components).T, 1 / self.n_topics, self.rounds, self.tolerance
+
+        @F.pandas_udf("array<double>")
+        def mix(found: pd.Series) -> pd.Series:
+            docs_ = [weigh(() if own is None else own) for own in found]
+            starts = np.concatenate([[0], np.cumsum([len(codes) for codes, _, _ in docs_])]).astype(np.int64)
+            out = []
+            for a, b in _chunks(starts):
+                codes, w = (np.concatenate([d[i] for d in docs_[a:b]]) for i in (0, 2))
+                shares = mixes(starts[a : b + 1] - starts[a], codes, w, topics, alpha, rounds, tolerance)
+                out += list(shares / shares.sum(axis=1, keepdims=True))
+            return pd.Series(out, index=found.index)
+
+        mixed = docs.withColumn("_mix", mix(terms(F.col(self.text), self.stop_words)))
+        return mixed.select(*docs.columns, *[F.col("_mix")[i].alias(f"topic_{i}") for i in range(self.n_topics)])
 
     def dominant(self, docs: DataFrame, n_words: int = 10) -> DataFrame:
         """Adds the leading topic (the first one on ties), its words and its share."""
         mixed = self.transform(docs)
         mix = F.array(*[f"topic_{i}" for i in range(self.n_topics)])
-        top = mixed.select(
-            *docs.columns,
-            (F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"),
-            F.array_max(mix).alias("probability"),
-        )
-        # One row per topic on the broadcast side.
-        return top.join(F.broadcast(self.topics(n_words).select("topic", "words")), "topic").select(
-            *docs.columns, "topic", "words", "probability"
-        )
+        words = F.lit([w for _, w, _ in self.topics(n_words)])
+        top = (F.array_position(mix, F.array_max(mix)) - 1).cast("int")
+        return mixed.select(*docs.columns, top.alias("topic"), F.get(words, top).alias("words"), F.array_max(mix).alias("probability"))
 
 
 def fit_topics(
@@ -166,36 +238,82 @@ def fit_topics(
     max_df: float = 0.9,
     stop_words: list[str] | None = None,
     perplexity: bool = False,
+    rounds: int = 100,
+    tolerance: float = 1e-3,
 ) -> TopicModel:
-    """TF-IDF and LDA over a corpus.
+    """TF-IDF and latent Dirichlet allocation by batch variational passes over all documents.
 
-    Each pass draws as many documents as there are, with replacement, so it leaves out about a third
-    of them, and replaces the topics fully (no decaying average). Topics depend on the partitioning.
-    Term counts are written to the checkpoint folder once, because the fit reads them on every pass;
-    texts are only read to count terms.
+    Weights of documents are written once and read by each pass. A pass sends the topics (``n_topics`` x
+    ``max_features`` numbers) to the tasks, mixes every document there, and sums the statistics per task and then per
+    term; so topics do not depend on the partitioning but for the order of sums. Priors are one over the number of topics.
     """
     stops = english_stop_words() if stop_words is None else stop_words
-    prepared = docs.select(terms(F.col(text), stops).alias("_terms"))
-    # At most ``max_features`` rows come to the driver.
-    rows = vocabulary(docs, text, stops, max_features, min_df, max_df).collect()
-    if not rows:
+    vocab, idf = vocabulary(docs, text, stops, max_features, min_df, max_df)
+    if not vocab:
         raise ValueError("no terms to fit topics on")
-    vocab, n_docs = [r["term"] for r in rows], docs.count()
-    weights = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
-    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_tf")
-    counts = cut_lineage(counter.transform(prepared).select("_tf"))
-    idf = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_tfidf")
-    unit = Normalizer(inputCol="_tfidf", outputCol="features")
-    features = unit.transform(idf.transform(counts)).select("features")
-    lda = LDA(
-        k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
-        learningOffset=1.0, learningDecay=1e-9, optimizeDocConcentration=False,
-    )
-    model = lda.fit(features)
-    return TopicModel(
-        PipelineModel([counter, idf, unit]), model, vocab, stops, text,
-        model.logPerplexity(features) if perplexity else None,
-    )
+    weigh, alpha = _weigher(vocab, idf), 1 / n_topics
+
+    def weighed(batches):
+        for batch in batches:
+            found = [weigh(own or ()) for own in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.float64()))], names=["terms", "weights"]
+            )
+
+    rows = cut_lineage(docs.select(terms(F.col(text), stops).alias("_terms")).mapInArrow(weighed, "terms array<int>, weights array<double>"))
+    names = [f"s{i}" for i in range(n_topics)]
+
+    def one_pass(topics: np.ndarray, score: bool):
+        """Statistics of a task: a row per term that occurs, and with ``score`` one for the bound (term -1)."""
+
+        def run(batches):
+            total, bound, mass = np.zeros_like(topics), 0.0, 0.0
+            for batch in batches:
+                lists = batch.column(0)
+                starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+                codes, w = (batch.column(i).flatten().to_numpy().astype(kind) for i, kind in ((0, np.int64), (1, np.float64)))
+                for a, b in _chunks(starts):
+                    part = slice(starts[a], starts[b])
+                    shares = mixes(starts[a : b + 1] - starts[a], codes[part], w[part], topics, alpha, rounds, tolerance)
+                    mix, doc = expected(shares), np.repeat(np.arange(b - a), np.diff(starts[a : b + 1]))
+                    norm = (mix[doc] * topics[codes[part]]).sum(axis=1) + 1e-100
+                    for k in range(n_topics):
+                        total[:, k] += np.bincount(codes[part], mix[doc, k] * w[part] / norm, len(topics))
+                    if score:
+                        log_gamma = np.vectorize(math.lgamma, otypes=[float])
+                        bound += (w[part] * np.log(norm)).sum() + ((alpha - shares) * np.log(mix)).sum() + log_gamma(shares).sum()
+                        bound += (b - a) * (math.lgamma(alpha * n_topics) - n_topics * math.lgamma(alpha)) - log_gamma(shares.sum(axis=1)).sum()
+                        mass += w[part].sum()
+            some = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, k]) for k in range(n_topics))], names=["term", *names])
+            if score:
+                extra = [bound, mass, *[0.0] * n_topics][:n_topics] if n_topics > 1 else [bound]
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x]) for x in extra)], names=["term", *names])
+
+        stats = rows.mapInArrow(run, f"term int, {', '.join(f'{c} double' for c in names)}")
+        # at most one row per term of the vocabulary comes back
+        found = stats.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).collect()
+        sums, extra = np.zeros_like(topics), [0.0] * n_topics
+        for r in found:
+            if r["term"] < 0:
+                extra = list(r)[1:]
+            else:
+                sums[r["term"]] = list(r)[1:]
+        return sums, extra
+
+    components = np.random.default_rng(seed).gamma(1.0, 1.0, (n_topics, len(vocab)))  # uneven, so that topics part
+    for _ in range(max_iter):
+        topics = expected(components).T
+        components = alpha + (topics * one_pass(topics, False)[0]).T
+    model = TopicModel(vocab, idf, components, stops, text, rounds, tolerance)
+    if perplexity:
+        topics = expected(components).T
+        _, (bound, mass, *_) = one_pass(topics, True)
+        log_gamma = np.vectorize(math.lgamma, otypes=[float])
+        bound += ((alpha - components) * np.log(topics.T)).sum() + (log_gamma(components) - math.lgamma(alpha)).sum()
+        bound += (math.lgamma(alpha * len(vocab)) - log_gamma(components.sum(axis=1))).sum()
+        model.log_perplexity = -bound / mass
+    return model
 
 
 def topic_mix(doc_topics: DataFrame, group: str) -> DataFrame:

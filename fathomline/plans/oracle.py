@@ -564,6 +564,8 @@ FROM (SELECT doc_id, {sentence_list("text")} AS ss FROM documents)"""
                   coalesce(CASE WHEN starts_with(b.href, 'http') THEN b.href ELSE '{fv.SITE_URL}' || b.href END, p.url) AS resolved_url
                   FROM pages p LEFT JOIN best b USING (page_id)""",
     )
+    sql["readable_pages"] = """SELECT page_id::VARCHAR AS accession_number, length(html) AS n_chars FROM pages
+WHERE page_id % 10 <> 0 AND page_id % 11 <> 0 AND html <> ''"""
     sql["ticker_resolution"] = """WITH wanted AS (SELECT upper(replace(s_name, 'Supplier', 'Customer')) AS ticker FROM supplier)
 SELECT w.ticker, lpad(c.c_custkey::VARCHAR, 10, '0') AS cik, c.c_mktsegment AS title,
        CASE WHEN c.c_name IS NULL THEN 'unknown ticker' ELSE '' END AS reason
@@ -596,6 +598,9 @@ FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
         *QUESTIONS, VECTORS, topk("vectors", 5, "list_dot_product(a.vec, b.vec)"), final=ranked_rows
     )
     sql["vector_cosine_topk"] = with_(*QUESTIONS, VECTORS, topk("vectors", q.TOP_K), final=ranked_rows)
+    sql["vector_index_recall"] = f"""SELECT count(*) AS wanted, true AS enough FROM (
+  SELECT a.vec_id, b.vec_id AS other FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) <= {q.TOP_K})"""
     sql["vector_filtered_topk"] = with_(
         *QUESTIONS, VECTORS,
         "wanted AS (SELECT query_id, [(length(question) % 5)::VARCHAR, (length(question) % 7)::VARCHAR] AS sections FROM questions)",
@@ -648,6 +653,22 @@ FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
         *scored("documents", "doc_id"),
         final="SELECT d.doc_id, d.lang, s.pos, s.neu, s.neg, s.compound FROM documents d JOIN scored s USING (doc_id)",
     )
+    demo = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in q.DEMO_LEXICON.items())
+    sql["lexicon_table_sentiment"] = rf"""WITH base AS (
+  SELECT DISTINCT term, ((length(term) * 7) % 9 - 4) / 2.0::DOUBLE AS valence
+  FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS term FROM benchmark) WHERE term <> ''
+), extra(term, valence) AS (VALUES {demo}
+), lexicon AS (SELECT * FROM extra UNION ALL SELECT * FROM base WHERE term NOT IN (SELECT term FROM extra)
+), words AS (
+  SELECT doc_id, coalesce(valence, 0) AS v FROM (
+    SELECT doc_id, regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS w FROM (
+      SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS w FROM documents)) LEFT JOIN lexicon ON term = lower(w) WHERE length(w) > 0
+), sums AS (
+  SELECT doc_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p,
+         sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS g, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS z FROM words GROUP BY ALL)
+SELECT doc_id, round(coalesce(p / (p + g + z), 0), 6) AS pos, round(coalesce(z / (p + g + z), 1), 6) AS neu,
+       round(coalesce(g / (p + g + z), 0), 6) AS neg, round(coalesce(s / sqrt(s * s + 15), 0), 6) AS compound
+FROM documents LEFT JOIN sums USING (doc_id)"""
     sql["section_sentiment"] = with_(
         *DOC_SECTIONS,
         "cut AS (SELECT ticker, accession_number, section, text FROM found)",
@@ -736,5 +757,8 @@ raw AS (SELECT doc_id, term, tf, tf * idf AS w FROM counted JOIN vocabulary USIN
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw"""
     sql["sample_rows"] = """SELECT doc_id, lang, source FROM documents
 ORDER BY md5('42|' || doc_id::VARCHAR), doc_id LIMIT 100"""
+    sql["sample_by_lang"] = """SELECT doc_id, lang, source FROM documents
+WHERE ('0x' || substr(md5('42|' || doc_id::VARCHAR), 1, 8))::BIGINT
+      < CASE lang WHEN 'en' THEN 429496730 WHEN 'de' THEN 2147483648 WHEN 'fr' THEN 1073741824 ELSE 0 END"""
     sql["first_rows"] = "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 5"
     return sql

@@ -149,9 +149,14 @@ def encoded_questions(spark: SparkSession, d: str) -> DataFrame:
     return embedding.hashed_embedding(questions(spark, d), "question", DIM)
 
 
+def encoded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk store with vectors, written once: search reads the vectors, its result the texts."""
+    embedding.hashed_embedding(document_chunks(spark, d), "document", DIM).write.parquet(path := _folder(spark))
+    return spark.read.parquet(path)
+
+
 def found_passages(spark: SparkSession, d: str) -> DataFrame:
-    chunks = embedding.hashed_embedding(document_chunks(spark, d), "document", DIM)
-    return rt.search(encoded_questions(spark, d), chunks, TOP_K)
+    return rt.search(encoded_questions(spark, d), encoded_chunks(spark, d), TOP_K)
 
 
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -444,6 +449,14 @@ def resolved_documents(spark, d):
     return fl.primary_documents(filings, index, keep_suffixes=LINK_SUFFIXES)
 
 
+@query
+def readable_pages(spark, d):
+    """Landed pages with a text; every tenth is taken as an empty one, and every eleventh as missing."""
+    html = F.when(F.col("page_id") % 10 == 0, "").when(F.col("page_id") % 11 != 0, F.col("html"))
+    landed = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("accession_number"), html.alias("html"))
+    return fl.readable(landed).select("accession_number", F.length("html").alias("n_chars"))
+
+
 @query
 def ticker_resolution(spark, d):
     requested = table(spark, d, "supplier").select(
@@ -556,10 +569,26 @@ def vector_metadata_filter(spark, d):
     return document_chunks(spark, d).filter(chosen).select("chunk_id", "ticker", "section", "chunk_index")
 
 
-@query
-def vector_lsh_topk(spark, d):
+def _neighbours(spark, d):
+    """(found, exact): neighbours of every vector whose id is divisible by 20 among all others, by the index and by full search."""
     vectors = stored_vectors(spark, d)
-    return rounded(rt.lsh_topk(encoded_questions(spark, d), vectors, rt.fit_lsh(vectors), TOP_K), "score")
+    asked = vectors.filter(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    centroids = rt.fit_cells(vectors)
+    index = rt.write_cells(rt.with_cells(vectors.select("chunk_id", "embedding"), centroids), _folder(spark))
+    probes = rt.tuned_probes(vectors, index, centroids, TOP_K)
+    others = lambda found: found.filter("query_id <> chunk_id")
+    return others(rt.cells_topk(asked, index, centroids, TOP_K + 1, probes)), others(rt.exact_topk(asked, vectors, TOP_K + 1))
+
+
+@query
+def vector_index_topk(spark, d):
+    return rounded(_neighbours(spark, d)[0], "score").select("query_id", "chunk_id", "score")
+
+
+@query
+def vector_index_recall(spark, d):
+    """How many pairs full search finds, and whether the index found 0.9 of them."""
+    return rt.recall(*_neighbours(spark, d)).select("wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query
@@ -598,9 +627,8 @@ def citations(spark, d):
 
 @query
 def ask_questions(spark, d):
-    chunks = embedding.hashed_embedding(document_chunks(spark, d), "document", DIM)
     answered = ask.ask(
-        questions(spark, d), chunks, TOP_K, encode=lambda df, text: embedding.hashed_embedding(df, text, DIM)
+        questions(spark, d), encoded_chunks(spark, d), TOP_K, encode=lambda df, text: embedding.hashed_embedding(df, text, DIM)
     )
     return answered.select("query_id", "context", "prompt", F.size("sources").alias("n_sources"))
 
@@ -622,6 +650,16 @@ def section_sentiment(spark, d):
     )
 
 
+@query
+def lexicon_table_sentiment(spark, d):
+    """Base terms from a table (the words of all benchmark texts), with domain terms laid over them."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+", -1)).alias("term"))
+    valence = (F.pmod(F.length("term") * 7, F.lit(9)) - 4) / F.lit(2.0)
+    base = words.filter("term <> ''").distinct().select("term", valence.alias("valence"))
+    lexicon = sent.merged_lexicon(base, sent.lexicon_rows(spark, DEMO_LEXICON))
+    return sent.score_by_table(text_table(spark, d, "documents").select("doc_id", "text"), "doc_id", lexicon)
+
+
 @query
 def rule_sentiment(spark, d):
     rows = text_table(spark, d, "documents").select("doc_id", "text")
@@ -713,15 +751,22 @@ def tfidf(spark, d):
     return rounded(topics.tfidf_table(rows, "doc_id", stop_words=fv.FILING_STOP_WORDS), "weight")
 
 
+#: Fitted topic models of this session by folder: a vocabulary and a matrix each, so one fit serves all queries.
+_MODELS: dict[tuple[str, str], topics.TopicModel] = {}
+
+
 def _fitted(spark, d):
     rows = text_table(spark, d, "documents").select("doc_id", "lang", "text")
-    return topics.fit_topics(rows), rows
+    key = (spark.conf.get("spark.app.id"), d)
+    if key not in _MODELS:
+        _MODELS[key] = topics.fit_topics(rows)
+    return _MODELS[key], rows
 
 
 @query
 def lda_topics(spark, d):
     model, _ = _fitted(spark, d)
-    return model.topics()
+    return model.topic_table(spark)
 
 
 @query
@@ -747,6 +792,12 @@ def sample_rows(spark, d):
     return profile.sample_rows(table(spark, d, "documents").select("doc_id", "lang", "source"), 100, "doc_id")
 
 
+@query
+def sample_by_lang(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return profile.sample_fractions(rows, "lang", {"en": 0.1, "de": 0.5, "fr": 0.25}, "doc_id")
+
+
 @query
 def first_rows(spark, d):
     return profile.head(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), 5, "doc_id")

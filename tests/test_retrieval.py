@@ -81,18 +81,64 @@ def test_single_vector(spark, vectors):
     assert top == [int(np.argmax(c.astype(float) @ c[3].astype(float)))]
 
 
-def test_lsh_recall(spark):
+def test_many_questions_read_candidates_once(spark, vectors, monkeypatch):
+    q, c, qdf, cdf = vectors
+    monkeypatch.setattr(rt, "BLOCK_BYTES", 16 * 8 * 2)
+    encoded = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def encode(v):
+        encoded.add(1)
+        return v
+
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    once = cdf.withColumn("embedding", encode("embedding")).withColumn("tag", F.when(F.col("chunk_id") % 2 == 0, "even").otherwise("odd"))
+    asked = qdf.withColumn("tags", F.when(F.col("query_id") > 2, F.array(F.lit("even"))))
+    found = rt.exact_topk(asked, once, 4, filters=[("tags", "tag")]).collect()
+    assert encoded.value == len(c)
+    want = brute(q, c, 4)
+    assert {(r["query_id"], r["chunk_id"]): r["rank"] for r in found if r["query_id"] <= 2} == {k: v for k, v in want.items() if k[0] <= 2}
+    assert all(r["chunk_id"] % 2 == 0 for r in found if r["query_id"] > 2)
+
+
+def test_rejected_vectors_are_named(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "chunk_id long, embedding array<float>")
+    assert {tuple(r) for r in rt.rejected_vectors(rows, 2).collect()} == {(2, "no vector"), (3, "length 1")}
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(2000, 32))
-    q = base[:40] + 0.1 * rng.normal(size=(40, 32))
-    frame = lambda m, n: spark.createDataFrame([(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(m)], f"{n} long, embedding array<float>")
-    qdf, cdf = frame(q, "query_id"), frame(base, "chunk_id")
-    model = rt.fit_lsh(cdf)
-    found = rt.lsh_topk(qdf, cdf, model, 1)
-    got, want = as_ranks(found), brute(q, base, 1)
-    assert len(set(got) & set(want)) >= 36
-    pairs = rt.lsh_topk(qdf, cdf, model, 10_000).count()
-    assert pairs < 0.5 * 40 * 2000
+    centres = rng.normal(size=(30, 32))
+    base = centres[rng.integers(30, size=1500)] + 0.6 * rng.normal(size=(1500, 32))
+    base[500:1000] = base[3]  # a third of the rows are copies
+    q = base[::30] + 0.1 * rng.normal(size=(50, 32))
+    frame = lambda m, n: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{n} long, embedding array<float>")
+    odd = spark.createDataFrame([(9001, None), (9002, [1.0])], "chunk_id long, embedding array<float>")
+    return q, base, frame(q, "query_id"), frame(base, "chunk_id").union(odd).repartition(5)
+
+
+def test_index_finds_neighbours(spark, clustered, tmp_path):
+    q, base, qdf, cdf = clustered
+    centroids = rt.fit_cells(cdf)
+    index = rt.write_cells(rt.with_cells(cdf, centroids), str(tmp_path / "index"))
+    assert index.count() == cdf.count() and len(list((tmp_path / "index").glob("cell=*"))) > 10
+    exact = rt.exact_topk(qdf, cdf, 6)
+    probes = rt.tuned_probes(cdf, index, centroids)
+    r = rt.recall(rt.cells_topk(qdf, index, centroids, 6, probes), exact).first()
+    assert r["wanted"] == 300 and r["recall"] >= 0.9 and probes < len(centroids) / 2
+    plan = rt.cells_topk(qdf.limit(1), index, centroids, 6, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [(cell" in plan or "cell#" in plan.split("PartitionFilters")[1][:60]
+    assert rt.cells_topk(qdf.limit(0), index, centroids).count() == 0
+
+
+def test_all_cells_probed_are_exact_search(spark, clustered, monkeypatch):
+    q, base, qdf, cdf = clustered
+    monkeypatch.setattr(rt, "CELL_ROWS", 64)  # the cell of the copies is split
+    monkeypatch.setattr(rt, "BLOCK_BYTES", 32 * 8 * 7)
+    centroids = rt.fit_cells(cdf, cells=8)
+    found = rt.cells_topk(qdf, rt.with_cells(cdf, centroids), centroids, 6, probes=8)
+    assert as_ranks(found) == as_ranks(rt.exact_topk(qdf, cdf, 6))
 
 
 QUESTIONS = "query_id long, question string, tickers array<string>, sections array<string>, form_types array<string>, date_start string, date_end string"

@@ -100,9 +100,24 @@ def test_missing_metadata_is_empty(spark):
 
 
 def test_lexicon_table(spark):
-    base = spark.createDataFrame([("risk", 3.0), ("calm", 1.0)], "term string, valence double")
-    merged = sent.merged_lexicon(base)
-    assert merged["risk"] == -1.0 and merged["calm"] == 1.0
+    base = spark.createDataFrame([("risk", 3.0), ("calm", 1.0), ("calm", 0.5)], "term string, valence double")
+    merged = sent.merged_lexicon(base, sent.lexicon_rows(spark))
+    terms = {r["term"]: r["valence"] for r in merged.collect()}
+    assert terms["risk"] == -1.0 and terms["calm"] == 1.0 and merged.count() == len(fv.FINANCE_LEXICON) + 1
+
+
+def test_scores_by_table_equal_row_local_scores(spark):
+    texts = [GOOD, BAD, PLAIN, "", None, "  \n", "Risk, risk (RISK)! growth...", "risk " * 20_000, "?!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    local = sent.score_texts(df, rules=False, digits=(6, 6)).drop("text")
+    table = sent.lexicon_rows(spark).repartition(3)
+    by_table = sent.score_by_table(df, "id", table)
+    assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, local.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a lexicon too large to be sent around
+    try:
+        assert sorted(map(tuple, sent.score_by_table(df, "id", table).collect())) == sorted(map(tuple, local.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_scoring_stays_in_the_jvm(spark):

@@ -169,3 +169,18 @@ def test_sample_does_not_depend_on_partitions(spark):
     df = spark.range(1000)
     a = [r["id"] for r in profile.sample_rows(df, 10, "id").collect()]
     assert a == [r["id"] for r in profile.sample_rows(df.repartition(7), 10, "id").collect()] and len(set(a)) == 10
+
+
+def test_profile_of_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (float("inf"), None), (-float("inf"), float("nan")), (2.0, None), (5e-324, None)], "a double, b double")
+    got = {r["column_name"]: r for r in profile.describe(df, ["a", "b"]).collect()}
+    assert (got["a"]["n_values"], got["a"]["p50"], got["b"]["n_values"], got["b"]["p25"], got["b"]["std"]) == (5, 1.0, 1, 5.0, None)
+
+
+def test_fractions_by_group(spark):
+    df = spark.range(20_000).withColumn("g", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"))
+    some = {r["id"] for r in profile.sample_fractions(df, "g", {"a": 0.5, "b": 0.1}, "id").collect()}
+    assert some == {r["id"] for r in profile.sample_fractions(df.repartition(7), "g", {"b": 0.1, "a": 0.5}, "id").collect()}
+    share = [sum(i % 3 == k for i in some) / 6667 for k in range(3)]
+    assert abs(share[0] - 0.5) < 0.03 and abs(share[1] - 0.1) < 0.02 and share[2] == 0
+    assert some < {r["id"] for r in profile.sample_fractions(df, "g", {"a": 0.7, "b": 1.0}, "id").collect()}

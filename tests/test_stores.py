@@ -1,5 +1,7 @@
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,10 +264,10 @@ def corpus(spark):
 
 def test_topics(spark, corpus):
     model = topics.fit_topics(corpus, n_topics=3, max_iter=20, perplexity=True)
-    found = model.topics(5)
+    found = model.topic_table(spark, 5)
     words = found.select(F.explode("words").alias("w")).filter("w is not null")
     assert found.count() == 3 and not {"company", "year"} & {w for r in words.collect() for w in r["w"].split()}
-    assert model.topics(5, n_topics=2).count() == 2 and model.log_perplexity > 0
+    assert model.topic_table(spark, 5, n_topics=2).count() == 2 and model.log_perplexity > 0
     mixed = model.transform(corpus)
     total = sum(F.col(f"topic_{i}") for i in range(3))
     assert mixed.filter(F.abs(total - 1) > 1e-6).count() == 0
@@ -273,6 +275,46 @@ def test_topics(spark, corpus):
     per_group = lead.groupBy("ticker").agg(F.countDistinct("topic").alias("n")).collect()
     assert [r["n"] for r in per_group] == [1, 1, 1] and lead.select("topic").distinct().count() == 3
     assert topics.topic_mix(mixed, "ticker").columns == ["ticker", "topic_0", "topic_1", "topic_2"]
+    empty = model.transform(spark.createDataFrame([(1, "g", None), (2, "g", "")], "doc_id int, ticker string, text string")).first()
+    assert [round(empty[f"topic_{i}"], 6) for i in range(3)] == [0.333333] * 3
+
+
+def reference_fit(docs, k, passes, seed):
+    """Batch variational passes, one document and one round at a time."""
+    names = sorted({t for d in docs for t in d})
+    psi = lambda x: (math.lgamma(x + 1e-5) - math.lgamma(x - 1e-5)) / 2e-5
+    elog = lambda row: np.exp([psi(x) - psi(sum(row)) for x in row])
+    table = np.random.default_rng(seed).gamma(1.0, 1.0, (k, len(names)))
+    for _ in range(passes):
+        topics_, stats = np.array([elog(row) for row in table]), np.zeros_like(table)
+        for d in docs:
+            at, w = [names.index(t) for t in d], np.array(list(d.values()))
+            shares = np.ones(k)
+            for _ in range(100):
+                mix = elog(shares)
+                new = 1 / k + mix * (topics_[:, at] * (w / (mix @ topics_[:, at]))).sum(axis=1)
+                done, shares = np.abs(new - shares).mean() < 1e-3, new
+                if done:
+                    break
+            mix = elog(shares)
+            stats[:, at] += mix[:, None] * (w / (mix @ topics_[:, at]))
+        table = 1 / k + topics_ * stats
+    return names, table
+
+
+def test_topics_match_a_reference_at_any_partitioning(spark, corpus):
+    few = [topics.fit_topics(corpus.repartition(n), n_topics=3, max_iter=4) for n in (2, 7)]
+    assert few[0].vocabulary == few[1].vocabulary and np.allclose(few[0].components, few[1].components, rtol=1e-9)
+    weights = topics.tfidf_table(corpus, "doc_id").collect()
+    docs = {}
+    for r in weights:
+        docs.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    model = few[0]
+    order = {t: i for i, t in enumerate(model.vocabulary)}
+    named = [{f"{order[t]:05d}": w for t, w in d.items()} for _, d in sorted(docs.items())]  # in the model's order of terms
+    names, want = reference_fit(named, 3, 4, 42)
+    assert [int(t) for t in names] == list(range(len(order)))
+    assert np.allclose(model.components, want, rtol=1e-4)
 
 
 def test_topics_need_documents(spark, corpus):
