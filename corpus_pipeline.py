@@ -10,41 +10,58 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.llm import decontamination, line_dedup, minhash_dedup, packing, quality
 from fathomline.llm.queries import tokenizer_path
-from fathomline.llm.shared import stored
+from fathomline.llm.shared import spare, stored
 from fathomline.sources.tables import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking accepts (a score of 0.7 or more)."""
+    """Documents that the quality ranking accepts (a score of 0.7 or more).
+
+    Null texts are judged as empty ones, very long ones whole, and repeated rows alike; columns of any name
+    stay. Without labels to learn from, or without documents, nothing is rejected.
+    """
     ranking = quality.train(docs, table(spark, sf_dir, "labels"))
     if ranking is None:  # nothing to learn from, so nothing to reject by
         return docs
-    return quality.scored(docs, ranking, "__score").where(F.col("__score") >= ranking.cut).drop("__score")
+    (score,) = spare(docs, "__score")
+    return quality.scored(docs, ranking, score).where(F.col(score) >= ranking.cut).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many sites share; the first document with such a line keeps it.
 
-    So a document copied over many sites stays whole once. One of which nothing is left goes.
+    So a document copied over many sites stays whole once. One of which nothing is left goes. ``n_chars``
+    follows the text. Null and empty texts stay as they are, repeated rows are treated alike, columns of any
+    name stay, and no documents give no documents.
     """
-    found = line_dedup.deduplicate(docs, keep_first=True)
-    rest = found.where((F.col("__n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    size = F.when(F.col("__n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    lines, removed = spare(docs, "__n_lines", "__n_removed")
+    found = line_dedup.deduplicate(docs, keep_first=True, counts=(lines, removed))
+    rest = found.where((F.col(removed) == 0) | (F.length(F.trim("text")) > 0))
+    size = F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return rest.withColumn("n_chars", size).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    Texts without words, null texts and rows without an id stay; of repeated rows one stays; columns of any name stay.
+    """
     return minhash_dedup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty is in a window of a benchmark item."""
+    """Documents of which less than one word in twenty is in a window of a benchmark item.
+
+    Null and empty texts stay, repeated rows stay or go together, and columns of any name stay.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
+
+    Null texts are empty, so they are one end mark; texts over a sequence are cut; repeated rows are packed each.
+    """
     return packing.pack(docs, tokenizer_path())
 
 
