@@ -32,7 +32,7 @@ MISSING = 0.15
 STRETCH = 2400
 #: Characters on both sides of a cue that lie in one piece with it: twice the longest template or more.
 REACH = 900
-CUES = ("licen", "copyright", "permission is hereby", "redistribution and use", "public domain", "creativecommons", "cc by", "cc-by", "cc0", "warrant")
+CUES = ("licen", "copyright", "permission is hereby", "redistribution and use", "public domain", "creativecommons", "cc by", "cc-by", "cc0", "warrant", "permission is granted", "redistributions in binary", "to endorse or promote")
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ TEMPLATES = (
     Template("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu", "general", "2")),
     Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
     Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
-    Template("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", ("redistribution", "source", "binary")),
+    Template("BSD-2-Clause OR BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", ("redistribution", "source", "binary")),
     Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("permission", "fee")),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
@@ -67,10 +67,36 @@ TEMPLATES = (
     Template("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons", "attribution", "4.0")),
     Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ("waived", "copyright")),
     Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
+    Template("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ("redistributions", "binary", "reproduce")),
+    Template("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("neither", "endorse", "promote")),
+    Template("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause", ("bsd", "2", "clause")),
+    Template("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause", ("bsd", "3", "clause")),
+    Template("GPL-2.0", "SPDX-License-Identifier: GPL-2.0", ("gpl", "2.0")),
+    Template("GPL-3.0", "SPDX-License-Identifier: GPL-3.0", ("gpl", "3.0")),
+    Template("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1", ("lgpl", "2.1")),
+    Template("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1.", ("gnu", "lesser", "2.1")),
+    Template("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("gnu", "lesser", "2.1")),
+    Template("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", ("gnu", "lesser", "3")),
+    Template("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu", "affero", "3")),
+    Template("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", ("permission", "alter", "restrictions")),
+    Template("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", ("boost", "1.0")),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", ("eclipse", "2.0")),
+    Template("EUPL-1.2", "Licensed under the European Union Public Licence, version 1.2.", ("european", "union", "1.2")),
+    Template("Artistic-2.0", "Licensed under the Artistic License 2.0.", ("artistic", "2.0")),
+    Template("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ("cc", "by", "nc", "sa", "4.0")),
+    Template("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("creative", "commons", "attribution", "sharealike", "4.0")),
+    Template("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("creative", "commons", "attribution", "noncommercial", "4.0")),
 )
+#: Licenses that begin with the same sentence, from the least telling to the most telling notice.
+FAMILY = ("BSD-2-Clause OR BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause")
+#: Notices of a family no further apart than this belong to one license text.
+FAMILY_GAP = 1_500
+#: Words that turn a notice into its opposite when they stand in it or shortly before it.
+NEGATIONS = frozenset(("not", "never", "cannot", "neither", "isn", "wasn", "aren", "weren", "nor"))
+_SENTENCE_END = re.compile(r"[.!?;:](?=\s)|\n\s*\n")
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 #: Words that no differing wording may hold, since they name another license.
-_NAMES = {w for t in TEMPLATES for w in t.own if len(w) <= 3 or w in ("lesser", "affero", "apache", "mozilla")} | {"noncommercial", "sharealike", "noderivatives"}
+_NAMES = {w for t in TEMPLATES for w in t.own if len(w) <= 3 or w in ("lesser", "affero", "apache", "mozilla", "lgpl", "agpl", "boost", "eclipse", "artistic")} | {"noncommercial", "sharealike", "noderivatives"}
 
 
 #: The words of a cue may be wrapped, with comment marks between them.
@@ -155,7 +181,7 @@ class Scanner:
         self.words = [words(t.text) for t in templates]
         self.reach = max([REACH, *(2 * len(t.text) for t in templates)])
         self.stretch = max(STRETCH, self.reach * 8 // 3)
-        self.answers, self.parts = Cache(self._name, 20_000), Cache(self._parts, 5_000)
+        self.parts = Cache(self._parts, 20_000)
 
     def reductions(self, block: str) -> list[float]:
         raw = " ".join(block.lower().split()).encode("utf-8", "replace")
@@ -172,12 +198,16 @@ class Scanner:
                 break
             added, lost, first, last = self.differences(own, self.words[k])
             template = self.templates[k]
-            if len(lost) <= self.missing * len(self.words[k]) and not (set(lost) & set(template.own)) and not (set(added) & _NAMES):
+            odd = (_NAMES | NEGATIONS) & set(added)
+            if len(lost) <= self.missing * len(self.words[k]) and not (set(lost) & set(template.own)) and not odd:
                 return template.name, falls[k], added, lost, first, last
         return None
 
     def _parts(self, block: str) -> list[tuple]:
-        """(name, fall, added, lost, start, end) of every notice in a piece, at the place of its own words."""
+        """(name, fall, added, lost, start, end) of every notice in a block, at the place of its own words.
+
+        A notice that is all the block has is placed as the whole block.
+        """
         out, rest = [], [(0, lowered(block))]
         while rest:
             at, low = rest.pop()
@@ -185,6 +215,8 @@ class Scanner:
             if answer:
                 spans = [m.span() for m in _WORD.finditer(low)]
                 start, end = spans[answer[4]][0], spans[answer[5] - 1][1]
+                if len(low) == len(block) and answer[4] == 0 and answer[5] == len(spans):
+                    start, end = 0, len(low)
                 out.append((*answer[:4], at + start, at + end))
                 rest += [(at, low[:start]), (at + end, low[end:])]
         return sorted(out, key=lambda x: x[4:])
@@ -207,20 +239,37 @@ class Scanner:
         # a line is answered before the paragraph around it; the narrower one stands for its license
         found: list[dict] = []
         ends: dict[str, list[tuple[int, int]]] = {}
-        for start, block, cut in sorted(candidates, key=lambda c: (c[2], len(c[1]), c[0])):
-            if cut:
-                answers = [(*a[:4], start + a[4], start + a[5]) for a in self.parts[block]]
-            else:
-                answers = [(*a[:4], start, start + len(block)) for a in (self.answers[block],) if a]
-            for name, fall, added, lost, first, last in answers:
+        for start, block, _ in sorted(candidates, key=lambda c: (c[2], len(c[1]), c[0])):
+            for name, fall, added, lost, first, last in ((*a[:4], start + a[4], start + a[5]) for a in self.parts[block]):
                 inside = ends.setdefault(name, [])
                 k = bisect_left(inside, (first, 0))
-                # pieces overlap, so a notice can be met twice
-                known = k < len(inside) and inside[k][1] <= last or cut and (k > 0 and inside[k - 1][1] > first or k < len(inside) and inside[k][0] < last)
-                if not known:
+                # a line and its paragraph, or pieces that overlap, hold the same notice
+                known = k > 0 and inside[k - 1][1] > first or k < len(inside) and inside[k][0] < last
+                if not known and not negated(text, first):
                     inside.insert(k, (first, last))
                     found.append({"license": name, "start": first, "length": last - first, "reduction": fall, "added": added, "missing": lost})
-        return len(candidates), sorted(found, key=lambda m: (m["start"], m["length"], m["license"]))
+        found.sort(key=lambda m: (m["start"], m["length"], m["license"]))
+        return len(candidates), settled(found)
+
+
+def negated(text: str, at: int) -> bool:
+    """Whether one of the four words before ``at`` in its sentence denies what follows."""
+    before = text[max(0, at - 120) : at].lower()
+    ends = list(_SENTENCE_END.finditer(before))
+    return not NEGATIONS.isdisjoint(words(before[ends[-1].end() if ends else 0 :])[-4:])
+
+
+def settled(found: list[dict]) -> list[dict]:
+    """Notices of one license text take the name of the most telling one; the opening sentence starts a new text."""
+    text: list[dict] = []
+    for match in [m for m in found if m["license"] in FAMILY]:
+        if text and (match["license"] == FAMILY[0] or match["start"] - text[-1]["start"] - text[-1]["length"] > FAMILY_GAP):
+            text = []
+        text.append(match)
+        name = max((m["license"] for m in text), key=FAMILY.index)
+        for m in text:
+            m["license"] = name
+    return found
 
 
 MATCH = "array<struct<license:string,start:int,length:int,reduction:double,added:array<string>,missing:array<string>>>"
@@ -230,8 +279,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, missing:
     """(doc_id, n_blocks, licenses, matches) of every row of ``docs`` (doc_id, text).
 
     ``n_blocks`` counts candidate blocks, ``licenses`` lists the confirmed names sorted, ``matches`` has place,
-    size reduction and differing words of each; in a line or paragraph over ``STRETCH`` characters the place is that
-    of the notice's own words. Whole texts are scanned. Null and empty texts have no block;
+    size reduction and differing words of each; the place is that of the notice's own words, or the whole block where
+    it has no others. Every notice of a block is named, whatever the block's length. A notice that its sentence denies
+    is none. The sentence that two licenses of a family share bears the name of both unless a clause nearby tells
+    them apart. Whole texts are scanned. Null and empty texts have no block;
     ties in reduction go to the earlier template; repeated rows are all returned; other columns are not read.
     """
     match = pa.struct(
