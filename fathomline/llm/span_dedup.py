@@ -17,7 +17,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import cut
 
@@ -25,15 +25,25 @@ SENTENCES = 2
 WORDS = 20
 #: An unmarked sentence of more words is cut.
 LONG_SENTENCE = 30
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-_TOKEN = re.compile(r"\S+\s*")
+_SENTENCE = re.compile(r"[^.!?\n。！？]*[.!?\n。！？]+\s*|[^.!?\n。！？]+")
+#: Scripts that do not part words by spaces (Thai, Lao, Khmer, kana, Chinese characters): each letter is a word.
+_LETTER = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_LETTER}]")
+_WORD = re.compile(f"[{_LETTER}]|[^\\s{_LETTER}]+")
+_TOKEN = re.compile(f"(?:[{_LETTER}]|[^\\s{_LETTER}]+)\\s*")
+#: The id that orders rows without one.
+_LAST = 2**63 - 1
+
+
+def words(text: str) -> list[str]:
+    return _WORD.findall(text) if _UNSPACED.search(text) else text.split()
 
 
 def sentences(text: str) -> list[str]:
     """Pieces of a text that give it back when joined; leading white space belongs to the first."""
     out: list[str] = []
     for piece in _SENTENCE.findall(text):
-        if len(piece) > 2 * LONG_SENTENCE and len(piece.split()) > LONG_SENTENCE:
+        if len(piece) > LONG_SENTENCE and len(words(piece)) > LONG_SENTENCE:
             held: list[str] = []
             lead = piece[: len(piece) - len(piece.lstrip())]
             for token in _TOKEN.findall(piece):
@@ -50,7 +60,7 @@ def sentences(text: str) -> list[str]:
 
 def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, sentences) of the shortest runs with enough words that start or end at each sentence, by place."""
-    own = [s.lower().split() for s in sentences(text)]
+    own = [words(s.lower()) for s in sentences(text)]
     at = [k for k, w in enumerate(own) if w]
     hashes = b"".join(xxhash.xxh3_64_digest(" ".join(own[k])) for k in at)
     sizes = [len(own[k]) for k in at]
@@ -89,20 +99,31 @@ def span_rows(docs: DataFrame, least_sentences: int, least_words: int) -> DataFr
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["run", "row", "doc_id", "first", "n", "again"])
 
-    source = docs.select(_row(), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(_row(), _own_id(), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(work, "run long, row long, doc_id long, first int, n int, again boolean")
 
 
-def _row():
+def _row() -> Column:
     return F.xxhash64("doc_id", "text").alias("row")
 
 
+def _own_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id")
+
+
+def _place() -> Column:
+    """One number that orders rows by id and then by a hash of the row: rows of one id are documents of their own."""
+    low = F.col("row").bitwiseAND(F.lit(_LAST))
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(str(2**63)).cast("decimal(20,0)") + low.cast("decimal(19,0)")
+
+
 def repeated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """(row, first, n, first_doc): runs that are not the first of their hash, and the document that has the first."""
     spans = cut(span_rows(docs, least_sentences, least_words))
-    whole = spans.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    shared = whole.where("first_doc < last_doc").select("run", "first_doc")
-    later = spans.where("not again").join(shared, "run").where("doc_id > first_doc").select("row", "first", "n", "first_doc")
+    placed = spans.withColumn("place", _place().cast("decimal(38,0)"))
+    whole = placed.groupBy("run").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.min("doc_id").alias("first_doc"))
+    shared = whole.where("first_place < last_place").select("run", "first_place", "first_doc")
+    later = placed.where("not again").join(shared, "run").where("place > first_place").select("row", "first", "n", "first_doc")
     return later.union(spans.where("again").select("row", "first", "n", F.col("doc_id").alias("first_doc")))
 
 
@@ -111,21 +132,27 @@ def deduplicate(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
 
     The first occurrence of a run is the one in the document with the smallest id, and there the
     earliest. ``text`` lacks the removed sentences and is otherwise unchanged; ``first_docs`` lists the
-    documents that keep them. Words are compared lower-cased, white space does not count. Rows
-    that share an id are one document here; a null id comes last. Null texts stay null, with no
-    sentences. Other columns are not read.
+    ids that keep them. Words are compared lower-cased, white space does not count; in scripts without
+    spaces each letter is a word. Each row is a document: of rows that share an id, or have none (these come
+    last), one has the first occurrence, and of equal rows one is taken to come first. Null texts stay
+    null, with no sentences. Very long texts are read whole by the task that has them. Other columns are
+    not read.
     """
-    covers = (
+    found = (
         repeated(docs, least_sentences, least_words)
         .groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     )
+    equal = docs.groupBy(_row()).agg(F.count("*").alias("copies")).where("copies > 1")
+    covers = found.join(equal, "row", "full")
 
     def work(batches):
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            for text, spans, copy in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 raw = text.as_py()
                 own = sentences(raw) if raw else []
+                if copy > 1 and raw:  # every run of a later copy is in the first one
+                    spans = [{"first": first, "n": n} for _, first, n in runs(raw, least_sentences, least_words)]
                 drop = {k for s in spans or [] for k in range(s["first"], s["first"] + s["n"])}
                 total.append(len(own)), gone.append(len(drop))
                 kept.append("".join(s for k, s in enumerate(own) if k not in drop) if drop else raw)
@@ -135,5 +162,16 @@ def deduplicate(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
             )
 
     own = docs.select(_row(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = own.join(covers, "row", "left").select("doc_id", "text", "spans", F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"))
-    return met.mapInArrow(work, "doc_id long, n_sentences long, n_removed long, first_docs array<long>, text string")
+    met = own.join(covers, "row", "left").withColumn("first_docs", F.coalesce("first_docs", F.array().cast("array<long>")))
+    single = met.where("copies is null").select("doc_id", "text", "spans", "first_docs", F.lit(1).cast("long").alias("copy"))
+    # equal rows come together before they are told apart again, so their number is no one's burden
+    one = met.where("copies is not null").groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "spans", "first_docs", "copies")))
+    again = F.array_union("first_docs", F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.array().cast("array<long>")).otherwise(F.array("doc_id")))
+    each = one.select("doc_id", "text", "spans", "first_docs", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), again.alias("again"))
+    each = each.select("doc_id", "text", "spans", F.when(F.col("copy") == 1, F.col("first_docs")).otherwise(F.array_sort("again")).alias("first_docs"), "copy")
+    rows = single.unionByName(each)
+    shown = F.filter("first_docs", lambda d: d < _LAST)
+    done = rows.select("doc_id", "text", "spans", shown.alias("first_docs"), "copy").mapInArrow(
+        work, "doc_id long, n_sentences long, n_removed long, first_docs array<long>, text string"
+    )
+    return done.withColumn("first_docs", F.when(F.col("n_removed") > 0, F.col("first_docs")).otherwise(F.array().cast("array<long>")))
