@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .shared import cut
+from .shared import cut, spare
 
 WINDOW = 13
 #: Contaminated from one word in so many.
@@ -128,7 +128,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, parts
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, parts: int = PARTS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, items, window, parts).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text")) == F.col("__hash"))
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table of items takes nothing away.
+    """
+    names = spare(docs, "__id", "__hash")
+    bad = contamination(docs, items, window, parts).where("contaminated").select("doc_id", "text_hash").distinct().toDF(*names)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col("text")) == F.col(names[1]))
     return docs.join(bad, same, "left_anti")

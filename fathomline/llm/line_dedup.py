@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut
+from ..functions.binding import let
+from .shared import cut, spare
 
 MIN_SITES = 8
 MIN_CHARS = 16
@@ -52,14 +53,19 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     return sure.union(exact)
 
 
-def deduplicate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, keep_first: bool = False,
+    counts: tuple[str, str] = ("__n_lines", "__n_removed"),
+) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, site) with lines of ``min_sites`` sites or more taken out of ``text``.
 
-    All columns stay; ``__n_lines`` and ``__n_removed`` are added. Lines end at a newline and are
+    All columns stay, whatever their names; the two ``counts`` (lines, removed lines) are added and must
+    be names that ``docs`` does not have. Lines end at a newline and are
     compared without spaces around them; lines under ``min_chars`` characters always stay. A
     null site is none. With ``keep_first`` a line stays in the document with the smallest id
     that has it, so that documents copied over many sites are not lost. Null texts stay null with
-    no lines; a text all of whose lines go becomes empty. Repeated rows are treated alike.
+    no lines; a text all of whose lines go becomes empty. Repeated rows are treated alike. The time for a
+    text grows with its length, however many of its lines go. An empty table gives an empty table.
     """
     lines = cut(spread_lines(docs, site, min_sites, min_chars))
     marks = _semi(_line_rows(docs, site, min_chars), lines)
@@ -67,14 +73,15 @@ def deduplicate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         first = cut(marks.groupBy("line").agg(F.min("doc_id").alias("first")))
         small = first.count() <= BROADCAST_LINES
         marks = marks.join(F.broadcast(first) if small else first, "line").where(F.coalesce(F.col("doc_id") > F.col("first"), F.col("first").isNotNull()))
-    gone = marks.groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc")
-    own = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    none = F.array().cast("array<int>")
-    met = own.join(gone, "__doc", "left").withColumn("__gone", F.coalesce("__gone", none))
-    all_lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains("__gone", k)), "\n")
+    doc, places = spare(docs, "__doc", "__gone")
+    gone = marks.groupBy("doc").agg(F.collect_set("pos").alias(places)).withColumnRenamed("doc", doc)
+    met = docs.withColumn(doc, F.xxhash64("doc_id", "text")).join(gone, doc, "left")
+    # places that stay, by a set difference, then the lines at them
+    kept = let(_lines(F.col("text")), lambda own: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), places), lambda k: F.get(own, k)), "\n"
+    ))
     return met.select(
-        *(F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("__n_lines"),
-        F.size("__gone").cast("long").alias("__n_removed"),
+        *(F.when(F.col(places).isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias(counts[0]),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias(counts[1]),
     )

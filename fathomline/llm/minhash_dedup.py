@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import Cache, attach, cut
+from .shared import Cache, attach, cut, spare
 
 SHINGLE = 5
 PERCENT = 80
@@ -308,17 +308,16 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coll
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest id.
 
-    All columns stay. Texts without words and rows without an id stay; of rows that repeat an id
-    and its text, one stays.
+    All columns stay, whatever their names. Texts without words and rows without an id stay; of rows that
+    repeat an id and its text, one stays. An empty table gives an empty table.
     """
     key = ["doc_id", "text_hash"]
     found = cut(groups(docs, shingle, percent))
     dropped = found.where("not kept").select(*key).distinct()
     repeated = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key)
-    names = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__hash")]
-    own = docs.select("*", *names)
-    on = lambda keys: (F.col("__id") == keys["doc_id"]) & (F.col("__hash") == keys["text_hash"])
-    gone = dropped.union(repeated)
-    single = own.join(gone, on(gone), "left_anti")
-    one_each = own.join(repeated, on(repeated), "left_semi").dropDuplicates(["__id", "__hash"])
-    return single.union(one_each).drop("__id", "__hash")
+    names = spare(docs, "__id", "__hash")
+    own = docs.withColumns(dict(zip(names, [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))])))
+    gone, once = (keys.toDF(*names) for keys in (dropped.union(repeated), repeated))
+    single = own.join(gone, names, "left_anti")
+    one_each = own.join(once, names, "left_semi").dropDuplicates(names)
+    return single.select(*docs.columns).union(one_each.select(*docs.columns))
