@@ -288,6 +288,31 @@ def test_span_dedup_removes_later_passages_only(spark):
     assert sd.deduplicate(table.limit(0)).count() == 0
 
 
+def test_spans_of_rows_without_or_with_one_id(spark):
+    rng = random.Random(16)
+    sentence = lambda: prose(rng, rng.randrange(8, 14), 5000).capitalize() + ". "
+    passage, own = "".join(sentence() for _ in range(5)), ["".join(sentence() for _ in range(4)) for _ in range(8)]
+    texts = [own[0] + passage, own[1] + passage, passage + own[2], own[3] + passage, own[4] + own[5], own[4] + own[5], own[4] + own[5]]
+    table = docs(spark, *texts, ids=[None, None, 7, 7, 9, 9, 9])
+    got = sd.deduplicate(table).collect()
+    left = sum(passage[:40] in r["text"] for r in got)
+    assert len(got) == 7 and left == 1 and next(r for r in got if passage[:40] in r["text"])["doc_id"] == 7
+    nulls = [r for r in got if r["doc_id"] is None]
+    assert all(r["n_removed"] == 5 and r["first_docs"] == [7] for r in nulls)
+    equal = sorted((r["n_removed"], r["first_docs"]) for r in got if r["doc_id"] == 9)
+    assert equal == [(0, []), (8, [9]), (8, [9])]
+    only = sd.deduplicate(docs(spark, *texts[:2], ids=[None, None])).collect()
+    assert sorted(r["n_removed"] for r in only) == [0, 5] and all(r["first_docs"] == [] for r in only)
+
+
+def test_spans_of_scripts_without_spaces(spark):
+    passage = "今天天气很好我们一起去公园散步吧。公园里有很多花和树还有小鸟在唱歌。孩子们在草地上跑来跑去非常开心。"
+    texts = ["第一篇文章的开头部分在这里写着一些话。" + passage, passage + "第二篇文章的结尾部分也写着别的一些话。", "ไม่มีอะไรซ้ำ"]
+    got = {r["doc_id"]: r for r in sd.deduplicate(docs(spark, *texts)).collect()}
+    assert got[1]["text"] == "第二篇文章的结尾部分也写着别的一些话。" and got[0]["text"] == texts[0] and got[2]["text"] == texts[2]
+    assert all("".join(sd.sentences(t)) == t for t in [*texts, passage * 9, passage.replace("。", "")])
+
+
 def test_runs_hold_several_sentences_and_enough_words():
     text = "One two three. Four five. " + " ".join(f"w{k}" for k in range(18)) + ". Last one."
     found = sd.runs(text)
@@ -501,4 +526,78 @@ def test_licenses_in_long_wrapped_paragraphs():
             assert ls.words(text[found[0]["start"] :])[: len(ls.words(notice))] == ls.words(notice)
     bsd = ls.TEMPLATES[13].text
     for text in (bsd.replace(" and use", "\n * and use"), wrapped(prose(rng, 1_000), 70) + "\n" + bsd.replace("and use", "and\n * use")):
-        assert [m["license"] for m in scanner.scan(text)[1]] == ["BSD-3-Clause"]
+        assert [m["license"] for m in scanner.scan(text)[1]] == ["BSD-2-Clause OR BSD-3-Clause"]  # the sentence that both share
+
+
+def named(scanner, text):
+    return sorted({m["license"] for m in scanner.scan(text)[1]})
+
+
+def test_every_notice_of_a_line_is_named_whatever_its_length():
+    scanner, rng = ls.Scanner(), random.Random(14)
+    notices = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    for more in (0, 100, 1_000, 2_300, 2_500, 2_800, 9_000):
+        assert named(scanner, f"{notices} {prose(rng, more // 4)}"[: len(notices) + more]) == ["Apache-2.0", "MIT"], more
+
+
+def test_licenses_with_one_opening_are_told_apart():
+    scanner = ls.Scanner()
+    opening = next(t.text for t in ls.TEMPLATES if t.name == ls.FAMILY[0])
+    second, third = (next(t.text for t in ls.TEMPLATES if t.name == n) for n in ls.FAMILY[1:])
+    source = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    for gap in ("\n", "\n\n", " "):
+        assert named(scanner, gap.join([opening, source, second])) == ["BSD-2-Clause"]
+        assert named(scanner, gap.join([opening, source, second, third])) == ["BSD-3-Clause"]
+    assert named(scanner, opening) == ["BSD-2-Clause OR BSD-3-Clause"]
+    far = "\n\n".join([opening, second, "Text. " * 400, opening, third])
+    assert [m["license"] for m in scanner.scan(far)[1]] == ["BSD-2-Clause"] * 2 + ["BSD-3-Clause"] * 2
+
+
+def test_denied_licenses_are_none():
+    scanner = ls.Scanner()
+    for text in ("This project is not released under the MIT License.", "It is never\nlicensed under the Apache License, Version 2.0.", "This isn't licensed under CC BY 4.0."):
+        assert named(scanner, text) == [], text
+    assert named(scanner, "We do not track you. Released under the MIT License.") == ["MIT"]
+
+
+def test_each_template_names_itself():
+    scanner = ls.Scanner()
+    for t in ls.TEMPLATES:
+        assert t.name in named(scanner, f"Some words before.\n{t.text}\nSome after."), t.text
+
+
+# ---- names and sizes ---------------------------------------------------------------------
+
+HELPERS = ["__id", "__hash", "__doc", "__gone", "__n_lines", "__n_removed", "__score", "text_hash", "doc", "line", "pos", "row", "digest"]
+
+
+def test_columns_with_names_of_helpers_stay(spark):
+    rng = random.Random(17)
+    common = "This line is on every site of the whole web."
+    texts = [f"{prose(rng, 40)}\n{common}\n{prose(rng, 30)}" for _ in range(20)] + [None, "", common]
+    texts += [texts[3], texts[3] + " x"]
+    table = docs(spark, *texts).withColumn("source", F.concat(F.lit("s"), "doc_id"))
+    table = table.withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in HELPERS})
+    items = spark.createDataFrame([(1, " ".join(texts[5].split()[:20]))], "item_id long, text string").withColumn("__id", F.lit(3))
+    plain = table.select("doc_id", "text", "lang", "source", "n_chars")
+    for apply in (lambda d: ld.deduplicate(d, counts=("lines_", "removed_")), mh.deduplicate, lambda d: dc.decontaminate(d, items)):
+        got, want = apply(table), apply(plain)
+        rows = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
+        assert got.columns[: len(table.columns)] == table.columns and rows(got) == rows(want)
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in got.collect() for c in HELPERS)
+
+
+def test_many_removed_lines_take_linear_time(spark):
+    import time
+
+    def seconds(lines):
+        common = [f"line number {k} of the boilerplate" for k in range(lines)]
+        table = docs(spark, *["\n".join(common) + f"\nown {k}" for k in range(8)]).withColumn("source", F.concat(F.lit("s"), "doc_id"))
+        start = time.time()
+        got = ld.deduplicate(table).collect()
+        assert all(r["__n_removed"] == lines and r["text"] == f"own {r['doc_id']}" for r in got)
+        return time.time() - start
+
+    seconds(100)
+    few, many = seconds(4_000), seconds(40_000)
+    assert many < 8 * few + 5

@@ -60,3 +60,18 @@ def test_unlabelled_corpora_are_kept(spark, monkeypatch):
     monkeypatch.setattr(ql, "train", lambda *a: None)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert corpus_pipeline.keep_quality(spark, docs, SMALL).count() == docs.count()
+
+
+def test_stages_on_odd_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (-5, "", "en", "s", 0), (-6, None, "de", None, None)], docs.schema)
+    names = ["__id", "__hash", "__doc", "__score", "__n_removed", "key", "digest", "text_hash"]
+    given = docs.union(odd).union(docs.limit(5)).withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, given, SMALL).cache()
+        assert got.columns == given.columns, name
+        assert got.where(" or ".join(f"{c} <> 'own {c}'" for c in names)).count() == 0, name
+        assert stage(spark, given.limit(0), SMALL).count() == 0, name
+    packed = corpus_pipeline.pack_sequences(spark, given, SMALL)
+    assert packed.select("doc_id").distinct().count() == given.select("doc_id").distinct().count()
+    assert corpus_pipeline.pack_sequences(spark, given.limit(0), SMALL).count() == 0
