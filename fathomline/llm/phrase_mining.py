@@ -14,10 +14,9 @@ and are merged before the roll-up.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,10 +29,8 @@ TOP = 2000
 COVERED = 50
 UNKNOWN = "und"
 
-#: A task hands on what it has counted after so many windows, or so many different words.
-FLUSH_WINDOWS, FLUSH_WORDS = 1 << 21, 1 << 20
-#: Bytes of a text that are split into words at a time.
-SLICE = 1 << 20
+#: A task hands on what it has counted after so many bytes of text; a longer text is cut at ends of pieces.
+FLUSH_BYTES = 24 << 20
 #: Rows of an Arrow batch that is handed on.
 BATCH = 1 << 16
 #: Bits that tell frequent words, whatever the size of the corpus: 8 MB.
@@ -50,53 +47,58 @@ _MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdef
 _PAD, _END, _NO_WORD = 0, 1, 0
 
 
-def _hash(word: bytes, lang: str, seed: int) -> int:
+def _hash(word: str, lang: str, seed: int) -> int:
     """A signed 64-bit hash of a word of a language."""
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode(), seed)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang, seed)) - (1 << 63)
 
 
-def _codes(text: bytes, numbers: dict[bytes, int]) -> np.ndarray:
-    """The words of a text as numbers, with ``_END`` after each piece; new words get the next number."""
-    data = text.translate(_MAP).replace(_BREAK, b" \n ")
-    out, at = [], 0
+def _parts(data: bytes):
+    """A mapped text in parts of about ``FLUSH_BYTES`` that end where pieces end."""
+    at = 0
     while at < len(data):
-        end = data.find(b" ", at + SLICE)
-        tokens = data[at : end if end >= 0 else len(data)].split(b" ")
-        out.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
-        at = end + 1 if end >= 0 else len(data)
-    codes = np.concatenate([*out, np.array([_END])])
-    return codes[codes != _PAD]
+        end = data.find(_BREAK, at + FLUSH_BYTES)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end + 1
+
+
+def _coded(parts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Words by number, and the texts as numbers with ``_END`` after each piece. Numbers 0 and 1 stand for no word."""
+    data = _BREAK.join(parts).replace(_BREAK, b" \n ") + b" \n"
+    tokens = pc.split_pattern(pa.array([data], pa.binary()).cast(pa.string()), " ").flatten().dictionary_encode()
+    words = tokens.dictionary.to_pylist()
+    number = np.arange(2, len(words) + 2)
+    for k, word in enumerate(words):
+        if word in ("", "\n"):
+            number[k] = _END if word else _PAD
+    codes = number[tokens.indices.to_numpy()]
+    return ["", "\n", *words], codes[codes != _PAD]
 
 
 def _by_language(docs: DataFrame, count, schema: str) -> DataFrame:
-    """Arrow batches that ``count(lang, numbered words, codes)`` makes of all texts of a language in one stretch of a task."""
+    """Arrow batches that ``count(lang, words, codes)`` makes of all texts of a language in one stretch of a task."""
 
     def run(batches):
-        numbers: dict[str, dict[bytes, int]] = {}
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[bytes]] = {}
         size = 0
 
         def flush():
             for lang, parts in held.items():
-                columns = count(lang, list(numbers[lang]), np.concatenate(parts))
+                columns = count(lang, *_coded(parts))
                 for k in range(0, len(columns[0][1]), BATCH):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + BATCH], kind) for kind, c in columns], names=names)
-            held.clear(), numbers.clear()
+            held.clear()
 
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for k, lang in enumerate(batch.column(0).to_pylist()):
-                own = numbers.get(lang)
-                if own is None:
-                    own = numbers[lang] = defaultdict(None, {b"": _PAD, _BREAK: _END})
-                    own.default_factory = own.__len__
-                codes = _codes(texts[k].as_py(), own)
-                held.setdefault(lang, []).append(codes)
-                size += len(codes)
-                if size >= FLUSH_WINDOWS or len(own) >= FLUSH_WORDS:
-                    yield from flush()
-                    size = 0
+                for part in _parts(texts[k].as_py().translate(_MAP)):
+                    held.setdefault(lang, []).append(part)
+                    size += len(part) + 1
+                    if size >= FLUSH_BYTES:
+                        yield from flush()
+                        size = 0
         yield from flush()
 
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -108,9 +110,10 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
     for seed in range(SEEDS):
 
         def count(lang, words, codes):
-            n = np.bincount(codes, minlength=len(words))[2:]
-            words = words[2:]
-            return [(pa.string(), [lang] * len(words)), (pa.string(), [w.decode() for w in words]), (pa.int64(), [_hash(w, lang, seed) for w in words]), (pa.int64(), n)]
+            n = np.bincount(codes, minlength=len(words))
+            some = [k for k in np.flatnonzero(n).tolist() if k > _END]
+            words = [words[k] for k in some]
+            return [(pa.string(), [lang] * len(words)), (pa.string(), words), (pa.int64(), [_hash(w, lang, seed) for w in words]), (pa.int64(), n[some])]
 
         rows = _by_language(docs, count, "lang string, word string, h long, n long")
         found = stored(rows.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")))

@@ -342,8 +342,7 @@ def test_words_of_one_hash_take_another_seed(spark, monkeypatch):
 
 def test_phrases_over_many_flushes_and_batches(spark, monkeypatch):
     rows = texts(9)
-    monkeypatch.setattr(pm, "FLUSH_WINDOWS", 50)
-    monkeypatch.setattr(pm, "SLICE", 7)
+    monkeypatch.setattr(pm, "FLUSH_BYTES", 120)
     monkeypatch.setattr(pm, "BATCH", 3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     try:
