@@ -35,15 +35,18 @@ _TOKEN = re.compile(f"(?:[{_LETTER}]|[^\\s{_LETTER}]+)\\s*")
 _LAST = 2**63 - 1
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text) if _UNSPACED.search(text) else text.split()
+def splitter(text: str):
+    """What splits the sentences of a text into words."""
+    return str.split if text.isascii() or not _UNSPACED.search(text) else _WORD.findall
 
 
 def sentences(text: str) -> list[str]:
     """Pieces of a text that give it back when joined; leading white space belongs to the first."""
     out: list[str] = []
+    split = splitter(text)
+    least = 2 * LONG_SENTENCE if split is str.split else LONG_SENTENCE
     for piece in _SENTENCE.findall(text):
-        if len(piece) > LONG_SENTENCE and len(words(piece)) > LONG_SENTENCE:
+        if len(piece) > least and len(split(piece)) > LONG_SENTENCE:
             held: list[str] = []
             lead = piece[: len(piece) - len(piece.lstrip())]
             for token in _TOKEN.findall(piece):
@@ -60,7 +63,8 @@ def sentences(text: str) -> list[str]:
 
 def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, sentences) of the shortest runs with enough words that start or end at each sentence, by place."""
-    own = [words(s.lower()) for s in sentences(text)]
+    split = splitter(text)
+    own = [split(s.lower()) for s in sentences(text)]
     at = [k for k, w in enumerate(own) if w]
     hashes = b"".join(xxhash.xxh3_64_digest(" ".join(own[k])) for k in at)
     sizes = [len(own[k]) for k in at]
@@ -120,11 +124,18 @@ def _place() -> Column:
 def repeated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """(row, first, n, first_doc): runs that are not the first of their hash, and the document that has the first."""
     spans = cut(span_rows(docs, least_sentences, least_words))
-    placed = spans.withColumn("place", _place().cast("decimal(38,0)"))
-    whole = placed.groupBy("run").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.min("doc_id").alias("first_doc"))
-    shared = whole.where("first_place < last_place").select("run", "first_place", "first_doc")
-    later = placed.where("not again").join(shared, "run").where("place > first_place").select("row", "first", "n", "first_doc")
-    return later.union(spans.where("again").select("row", "first", "n", F.col("doc_id").alias("first_doc")))
+    again = spans.where("again").select("row", "first", "n", F.col("doc_id").alias("first_doc"))
+    ids = docs.select(_own_id(), _row()).groupBy("doc_id").agg(F.min("row").alias("least"), F.max("row").alias("most"))
+    if ids.where("least < most").isEmpty():  # an id tells rows apart, so ids alone order the runs
+        whole = spans.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        shared = whole.where("first_doc < last_doc").select("run", "first_doc")
+        later = spans.where("not again").join(shared, "run").where("doc_id > first_doc")
+    else:
+        place = _place().cast("decimal(38,0)")
+        whole = spans.groupBy("run").agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"), F.min("doc_id").alias("first_doc"))
+        shared = whole.where("first_place < last_place").select("run", "first_place", "first_doc")
+        later = spans.where("not again").join(shared, "run").where(place > F.col("first_place"))
+    return later.select("row", "first", "n", "first_doc").union(again)
 
 
 def deduplicate(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
@@ -138,12 +149,13 @@ def deduplicate(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
     null, with no sentences. Very long texts are read whole by the task that has them. Other columns are
     not read.
     """
-    found = (
+    covers = (
         repeated(docs, least_sentences, least_words)
         .groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     )
-    equal = docs.groupBy(_row()).agg(F.count("*").alias("copies")).where("copies > 1")
-    covers = found.join(equal, "row", "full")
+    own = docs.select(_row(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    equal = cut(own.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1"))
+    none = F.array().cast("array<long>")
 
     def work(batches):
         for batch in batches:
@@ -161,15 +173,19 @@ def deduplicate(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
                 names=["doc_id", "n_sentences", "n_removed", "first_docs", "text"],
             )
 
-    own = docs.select(_row(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = own.join(covers, "row", "left").withColumn("first_docs", F.coalesce("first_docs", F.array().cast("array<long>")))
-    single = met.where("copies is null").select("doc_id", "text", "spans", "first_docs", F.lit(1).cast("long").alias("copy"))
-    # equal rows come together before they are told apart again, so their number is no one's burden
-    one = met.where("copies is not null").groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "spans", "first_docs", "copies")))
-    again = F.array_union("first_docs", F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.array().cast("array<long>")).otherwise(F.array("doc_id")))
-    each = one.select("doc_id", "text", "spans", "first_docs", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), again.alias("again"))
-    each = each.select("doc_id", "text", "spans", F.when(F.col("copy") == 1, F.col("first_docs")).otherwise(F.array_sort("again")).alias("first_docs"), "copy")
-    rows = single.unionByName(each)
+    def covered(rows: DataFrame) -> DataFrame:
+        return rows.join(covers, "row", "left").withColumn("first_docs", F.coalesce("first_docs", none))
+
+    once = F.lit(1).cast("long").alias("copy")
+    if equal.isEmpty():
+        rows = covered(own).select("doc_id", "text", "spans", "first_docs", once)
+    else:
+        single = covered(own.join(equal, "row", "left_anti")).select("doc_id", "text", "spans", "first_docs", once)
+        # equal rows come together before they are told apart again, so their number is no one's burden
+        one = own.join(equal, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "copies")))
+        each = covered(one).select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        again = F.array_sort(F.array_union("first_docs", F.when(F.col("doc_id").isNull(), none).otherwise(F.array("doc_id"))))
+        rows = single.unionByName(each.select("doc_id", "text", "spans", F.when(F.col("copy") == 1, F.col("first_docs")).otherwise(again).alias("first_docs"), F.col("copy").cast("long").alias("copy")))
     shown = F.filter("first_docs", lambda d: d < _LAST)
     done = rows.select("doc_id", "text", "spans", shown.alias("first_docs"), "copy").mapInArrow(
         work, "doc_id long, n_sentences long, n_removed long, first_docs array<long>, text string"
