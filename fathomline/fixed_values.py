@@ -157,6 +157,12 @@ QUESTION_STEP = 0.18
 QUESTION_CAP = 0.96
 BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
+NEVER_SO_FACTOR = 1.25
+# Phrases of that model whose valence is not that of their words.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
 NEGATIONS = [
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "dont", "hadnt",
     "hasnt", "havent", "isnt", "mightnt", "mustnt", "neither", "never", "none", "nope", "nor",

@@ -38,14 +38,26 @@ def tokens(text: Column, keep_short: bool = False) -> Column:
 
 
 def join_phrases(text: Column, lexicon: dict[str, float]) -> tuple[Column, dict[str, float]]:
-    """Write each multi-word term as one token, so that single-token lookup can see it."""
-    out, words = text, dict(lexicon)
-    for term in sorted(t for t in lexicon if " " in t):
-        glued = term.replace(" ", "_")
-        gap = re.escape(term).replace(r"\ ", r"\s+")
-        out = F.regexp_replace(out, rf"(?i)\b{gap}\b", glued)
-        words[glued] = words.pop(term)
-    return out, words
+    """Write each multi-word term as one token, so that single-token lookup can see it.
+
+    All terms are one alternation, the longest first, so the number of walks does not grow with the lexicon.
+    """
+    terms = sorted((t for t in lexicon if " " in t), key=lambda t: (-len(t), t))
+    if not terms:
+        return text, lexicon
+    any_term = "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in terms)
+    pattern = rf"(?i)\b(?:{any_term})\b"
+
+    def glued(cut: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            term = F.regexp_replace(F.get(cut["hits"], i), r"\s+", "_")
+            return F.concat(piece, F.coalesce(term, F.lit("")))
+
+        return F.array_join(F.transform(cut["pieces"], one), "")
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    out = let(F.struct(F.split(text, pattern, -1).alias("pieces"), hits.alias("hits")), glued)
+    return out, {t.replace(" ", "_"): v for t, v in lexicon.items()}
 
 
 def compound(total: Column) -> Column:
@@ -93,9 +105,15 @@ def plain_valences(words: Column, lexicon: dict[str, float]) -> Column:
     return F.transform(words, lambda w: F.coalesce(lookup(F.lower(w), lexicon), F.lit(0.0)))
 
 
-def rule_valences(words: Column, lexicon: dict[str, float]) -> Column:
-    """Valences adjusted for capitals, degree words, negation and a contrasting "but"."""
+def rule_valences(words: Column, lexicon: dict[str, float], idioms: dict[str, float] = fv.IDIOMS) -> Column:
+    """Valences adjusted for capitals, degree words and phrases, negation, idioms and a contrasting "but".
+
+    Phrases are looked up only around words that have a valence, so a text costs one lookup a word and a
+    few for each of those. As in the published model, idioms and degree phrases count from the fourth word
+    of a text on, behind a word without a valence, and a degree phrase moves either sign the same way.
+    """
     degree = {w: fv.DEGREE_STEP for w in fv.INTENSIFIERS} | {w: -fv.DEGREE_STEP for w in fv.DAMPENERS}
+    degree_phrases = {w: d for w, d in degree.items() if " " in w}
     roles = {
         w: {"v": lexicon.get(w), "deg": degree.get(w, 0.0), "neg": w in fv.NEGATIONS}
         for w in {*lexicon, *degree, *fv.NEGATIONS}
@@ -110,16 +128,42 @@ def rule_valences(words: Column, lexicon: dict[str, float]) -> Column:
                 F.coalesce(role["deg"], F.lit(0.0)).alias("deg"),
                 (F.coalesce(role["neg"], F.lit(False)) | F.endswith(F.lower(w), F.lit("n't"))).alias("neg"),
                 ((F.upper(w) == w) & (F.lower(w) != w)).alias("cap"),
-                (F.lower(w) == "but").alias("but"),
+                F.lower(w).alias("w"),
             ),
         )
 
     def adjusted(facts: Column, mixed: Column, but: Column) -> Column:
         def one(f: Column, i: Column) -> Column:
-            loud = F.when(mixed & f["cap"], F.signum(f["v"]) * fv.CAPS_STEP).otherwise(0.0)
+            def near(by: int) -> Column:
+                return F.get(facts, i + by)
+
+            def is_one(by: int, *options: str) -> Column:
+                return F.coalesce(near(by)["w"].isin(*options), F.lit(False))
+
+            def phrase(first: int, last: int) -> Column:
+                """Words at these distances, or null where the text has not all of them."""
+                return F.concat_ws(" ", *[near(k)["w"] for k in range(first, last + 1)])
+
+            no = F.lit(False)
+            stressed = is_one(-1, "so", "this"), is_one(-2, "so", "this")
+            doubt = is_one(-1, "doubt"), is_one(-2, "doubt")
+            # "never so" stresses, "without doubt" leaves as it is
+            lifted = [no, is_one(-2, "never") & stressed[0], is_one(-3, "never") & (stressed[0] | stressed[1])]
+            calm = [no, is_one(-2, "without") & doubt[0], is_one(-3, "without") & (doubt[0] | doubt[1])]
+            behind = [(-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)]
+            idiom = F.coalesce(
+                *[F.when(near(b).isNotNull(), lookup(phrase(a, b), idioms)) for a, b in [(0, 2), (0, 1)]],
+                *[lookup(phrase(a, b), idioms) for a, b in behind],
+            )
+            extra = sum(F.coalesce(lookup(phrase(a, b), degree_phrases), F.lit(0.0)) for a, b in [(-3, -1), (-3, -2), (-2, -1)])
             before = F.array(
                 *[
-                    F.struct(F.when(i >= back, F.get(facts, i - back)).alias("f"), F.lit(damp).alias("damp"))
+                    F.struct(
+                        near(-back).alias("f"), F.lit(damp).alias("damp"),
+                        lifted[back - 1].alias("lifted"), calm[back - 1].alias("calm"),
+                        (idiom if back == 3 else F.lit(None).cast("double")).alias("idiom"),
+                        (extra if back == 3 else F.lit(0.0)).alias("extra"),
+                    )
                     for back, damp in enumerate(fv.DISTANCE_DAMPING, start=1)
                 ]
             )
@@ -128,22 +172,32 @@ def rule_valences(words: Column, lexicon: dict[str, float]) -> Column:
                 p = prev["f"]
                 caps = F.when(mixed & p["cap"] & (p["deg"] != 0), fv.CAPS_STEP).otherwise(0.0)
                 moved = v + (p["deg"] + caps) * F.signum(v) * prev["damp"]
+                turned = moved * (
+                    F.when(prev["lifted"], fv.NEVER_SO_FACTOR).when(prev["calm"] | ~p["neg"], 1.0).otherwise(fv.NEGATION_FACTOR)
+                )
                 # A word with a valence of its own neither strengthens nor negates.
-                return F.when(p.isNull() | p["v"].isNotNull(), v).when(
-                    p["neg"], moved * fv.NEGATION_FACTOR
-                ).otherwise(moved)
-
+                return F.when(p.isNull() | p["v"].isNotNull(), v).otherwise(
+                    F.coalesce(prev["idiom"], turned) + prev["extra"]
+                )
+
+            # "no" negates what follows, and is no word of its own before a word with a valence
+            after_no = is_one(-1, "no") | is_one(-2, "no") | (is_one(-3, "no") & is_one(-1, "or", "nor"))
+            plain = F.when((f["w"] == "no") & near(1)["v"].isNotNull(), 0.0).otherwise(f["v"])
+            start = F.when(after_no, f["v"] * fv.NEGATION_FACTOR).otherwise(plain)
+            loud = F.when(mixed & f["cap"], F.when(start > 0, fv.CAPS_STEP).otherwise(-fv.CAPS_STEP)).otherwise(0.0)
+            least = is_one(-1, "least") & near(-1)["v"].isNull() & ~is_one(-2, "at", "very")
             side = F.when(but == 0, 1.0).when(i + 1 < but, fv.BUT_BEFORE).when(
                 i + 1 > but, fv.BUT_AFTER
             ).otherwise(1.0)
-            own = F.aggregate(before, f["v"] + loud, step)
-            return F.when(f["v"].isNull() | (f["deg"] != 0), F.lit(0.0)).otherwise(own * side)
+            own = F.aggregate(before, start + loud, step) * F.when(least, fv.NEGATION_FACTOR).otherwise(1.0)
+            silent = f["v"].isNull() | (f["deg"] != 0) | ((f["w"] == "kind") & is_one(1, "of"))
+            return F.when(silent, F.lit(0.0)).otherwise(own * side)
 
         return F.transform(facts, one)
 
     def ruled(facts: Column) -> Column:
         mixed = F.exists(facts, lambda f: f["cap"]) & F.exists(facts, lambda f: ~f["cap"])
-        but = F.array_position(F.transform(facts, lambda f: f["but"]), F.lit(True)).cast("int")
+        but = F.array_position(F.transform(facts, lambda f: f["w"]), F.lit("but")).cast("int")
         return let(
             F.struct(mixed.alias("mixed"), but.alias("but")),
             lambda t: adjusted(facts, t["mixed"], t["but"]),

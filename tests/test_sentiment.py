@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import one
 from pyspark.sql import functions as F
@@ -72,6 +74,82 @@ def test_rules(spark):
     assert c("not so very robust") < 0 and c("not a b c robust") > 0
 
 
+def by_hand(words, lexicon):
+    """The rule layer word by word, in plain Python."""
+    degree = {w: fv.DEGREE_STEP for w in fv.INTENSIFIERS} | {w: -fv.DEGREE_STEP for w in fv.DAMPENERS}
+    low = [w.lower() for w in words]
+    loud = [w.isupper() for w in words]
+    mixed = 0 < sum(loud) < len(words)
+    out = []
+    for i, w in enumerate(low):
+        if w not in lexicon or w in degree or low[i : i + 2] == ["kind", "of"]:
+            out.append(0.0)
+            continue
+        back = lambda k: low[i - k] if i >= k else None
+        v = 0.0 if w == "no" and i + 1 < len(low) and low[i + 1] in lexicon else lexicon[w]
+        if "no" in (back(1), back(2)) or back(3) == "no" and back(1) in ("or", "nor"):
+            v = lexicon[w] * fv.NEGATION_FACTOR
+        if mixed and loud[i]:
+            v += fv.CAPS_STEP if v > 0 else -fv.CAPS_STEP
+        for k in (1, 2, 3):
+            p = back(k)
+            if p is None or p in lexicon:
+                continue
+            between = [back(j) for j in range(1, k)]
+            d = degree.get(p, 0.0) + (fv.CAPS_STEP if mixed and loud[i - k] and p in degree else 0.0)
+            v += d * ((v > 0) - (v < 0)) * fv.DISTANCE_DAMPING[k - 1]
+            if p == "never" and {"so", "this"} & set(between):
+                v *= fv.NEVER_SO_FACTOR
+            elif p == "without" and "doubt" in between:
+                pass
+            elif p in fv.NEGATIONS or p.endswith("n't"):
+                v *= fv.NEGATION_FACTOR
+            if k == 3:
+                gram = lambda a, b: " ".join(low[i + a : i + b + 1]) if i + b < len(low) else None
+                for a, b in ((0, 2), (0, 1), (-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)):
+                    if gram(a, b) in fv.IDIOMS:
+                        v = fv.IDIOMS[gram(a, b)]
+                        break
+                v += sum(degree.get(gram(a, b), 0.0) for a, b in ((-3, -1), (-3, -2), (-2, -1)))
+        if back(1) == "least" and "least" not in lexicon and back(2) not in ("at", "very"):
+            v *= fv.NEGATION_FACTOR
+        if "but" in low and i != low.index("but"):
+            v *= fv.BUT_BEFORE if i < low.index("but") else fv.BUT_AFTER
+        out.append(v)
+    return out
+
+
+def test_rules_equal_a_walk_by_hand(spark):
+    lexicon = {"robust": 1.8, "fraud": -3.5, "kind": 2.4, "no": -1.2, "ass": -2.5, "heart": 1.1, "stop": -1.2}
+    pool = (
+        "robust fraud kind of sort just enough never so this without doubt least at very no or nor but not isn't bad ass "
+        "broken heart kiss death bus stop slightly the town sales ROBUST VERY Fraud"
+    ).split()
+    rng = random.Random(5)
+    texts = [[rng.choice(pool) for _ in range(rng.randint(1, 14))] for _ in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, words array<string>")
+    got = {r["k"]: r["v"] for r in df.select("k", sn.rule_valences(F.col("words"), lexicon).alias("v")).collect()}
+    for k, words in enumerate(texts):
+        assert got[k] == pytest.approx(by_hand(words, lexicon)), words
+
+
+def test_phrases_of_the_rules(spark):
+    c = lambda t: score(spark, t)["compound"]
+    assert c("the sales were kind of robust") < c("the sales were then so-called robust")
+    assert c("sales were just enough robust") < c("sales were just about robust")
+    assert c("they are never so robust") > 0 > c("they are never that robust")
+    assert c("the least robust") < 0 < c("at least robust")
+
+
+def test_many_terms_are_glued_in_one_walk(spark):
+    lexicon = {"going concern": -3.5, "going concern basis": -1.0, "material weakness": -3.0, "concern": -0.5}
+    got = one(spark, "A Going\n concern, going concern  basis; material weakness. concerned material", sn.join_phrases(X, lexicon)[0])
+    assert got == "A Going_concern, going_concern_basis; material_weakness. concerned material"
+    assert one(spark, "", sn.join_phrases(X, lexicon)[0]) == "" and one(spark, None, sn.join_phrases(X, lexicon)[0]) is None
+    many = {f"term{k} word{k}": 1.0 for k in range(300)}
+    assert score(spark, "Term7 word7 and term299  WORD299", lexicon=many, rules=False, phrases=True, digits=(6, 6))["pos"] == round(4 / 5, 6)
+
+
 def rows(spark):
     data = [("BBB", "2021-05-01", "mda", GOOD), ("AAA", "2022-01-01", "mda", BAD), ("AAA", "2020-01-01", "risk", PLAIN), ("AAA", "bad", "mda", PLAIN)]
     return spark.createDataFrame(
