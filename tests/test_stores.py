@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import filings as fl, stores, topics
+from fathomline.operators import filings as fl, series, stores, topics
 from fathomline.plans import ingest, macro
 from fathomline.sources import sinks, tables
 from fathomline.streaming import incremental
@@ -255,6 +255,28 @@ def test_streams(spark, tmp_path):
     assert {r["section"]: r["compound"] > 0 for r in ingest.stored_sentiment(spark, str(tmp_path / "s")).collect()}["mda"]
 
 
+def test_month_stream_equals_the_batch(spark, tmp_path):
+    schema = "series_id string, obs_date date, value double"
+    batches = [
+        [("A", "2020-01-10", 1.0), ("A", "2020-03-05", 3.0), ("B", "2020-02-29", None), ("B", "2020-02-01", float("nan"))],
+        [("A", "2020-01-31", 2.0), ("A", "2020-03-01", 9.0), ("B", "2020-04-02", 4.0), (None, "2020-04-02", 7.0)],  # late and early
+        [("A", "2020-01-10", 1.0), ("A", "2020-01-31", 2.0), ("B", "2020-02-11", 5.0), ("B", None, 6.0)],  # repeated and late
+    ]
+    path, store = str(tmp_path / "in"), str(tmp_path / "s")
+    assert incremental.stored_months(spark, store) is None
+    for batch in batches:
+        rows = spark.createDataFrame(batch, "series_id string, obs_date string, value double")
+        rows.withColumn("obs_date", F.col("obs_date").cast("date")).coalesce(1).write.mode("append").parquet(path)
+        landed = spark.readStream.schema(schema).parquet(path)
+        incremental.month_stream(landed, store, str(tmp_path / "c")).awaitTermination(180)
+        so_far = spark.read.schema(schema).parquet(path).where("obs_date is not null")
+        wanted = series.monthly_last(so_far)
+        got = incremental.stored_months(spark, store)
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    filled = series.fill_months(got.where("series_id = 'A'"), 3)
+    assert [r["value"] for r in filled.orderBy("month").collect()] == [2.0, 2.0, 3.0]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     themes = ["bank loan credit rate deposit", "drug trial patient therapy dose", "oil drill well barrel gas"]
