@@ -96,9 +96,9 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             values = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["good", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64())), batch.column(2)], names=["good", "x", "id"])
 
-    return rows.mapInArrow(run, "good boolean, x array<double>")
+    return rows.mapInArrow(run, "good boolean, x array<double>, id string")
 
 
 def exact_quantile(rows: DataFrame, name: str, q: float) -> float | None:
@@ -132,13 +132,15 @@ def exact_quantile(rows: DataFrame, name: str, q: float) -> float | None:
 def train(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample_rows: int = SAMPLE_ROWS, quantile: float | None = None) -> Ranking | None:
     """Learns from labels (doc_id, quality 0/1) of documents that are not held out.
 
-    Weights are fitted on at most ``sample_rows`` of them; the share of bad labels is that of all of them, and
-    its quantile is taken over all rows of ``docs``.
+    Weights are fitted on at most ``sample_rows`` rows, also where an id has very many: equal rows of an id
+    count once, and the first by a hash are taken. The share of bad labels is that of all labels, and its
+    quantile is taken over all rows of ``docs``.
     """
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     sample = usable.orderBy(F.xxhash64("doc_id", "quality"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select((F.col("quality") == 1).alias("good"), "text")
-    found = _feature_rows(rows).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select((F.col("quality") == 1).alias("good"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("string").alias("id"))
+    chosen = _feature_rows(rows).distinct().orderBy(F.xxhash64("id", "good", "x"), "id").limit(sample_rows)
+    found = chosen.select("good", "x").toArrow().to_pandas()
     if not len(found):
         return None
     found = found.assign(key=found["x"].map(lambda v: tuple(v))).sort_values(["key", "good"])  # the same whatever order rows come in
