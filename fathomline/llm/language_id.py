@@ -149,7 +149,11 @@ def fit(samples: list[tuple[str, list[str]]]) -> Chain | None:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Chain | None:
-    """Learns from text and lang of documents that are not held out: a bounded sample of them."""
+    """Learns from text and lang of documents that are not held out: at most ``sample_docs`` rows.
+
+    Ids are chosen first, by a hash. Where they have more rows than that, rows of an id with equal words and
+    language count once and the first by a hash are taken, so no id can fill the driver.
+    """
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
@@ -160,10 +164,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
                 own = words(text.as_py())
                 at = zlib.crc32(str(len(own)).encode()) % max(1, len(own) - sample_words + 1)
                 language.append(x), kept.append(own[at : at + sample_words])
-            yield pa.RecordBatch.from_arrays([pa.array(language, pa.string()), pa.array(kept, pa.list_(pa.string()))], names=["lang", "words"])
+            columns = [pa.array(language, pa.string()), pa.array(kept, pa.list_(pa.string())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "id"])
 
-    found = usable.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(run, "lang string, words array<string>").collect()
-    return fit([(r["lang"], list(r["words"])) for r in found])
+    rows = usable.join(F.broadcast(chosen), "doc_id").select("lang", "text", F.col("doc_id").cast("string").alias("id"))
+    found = rows.mapInArrow(run, "lang string, words array<string>, id string").distinct().orderBy(F.xxhash64("id", "lang", "words"), "id").limit(sample_docs)
+    return fit([(r["lang"], r["words"]) for r in found.select("lang", "words").toArrow().to_pylist()])
 
 
 class Labeller:
@@ -209,6 +215,49 @@ class Labeller:
             out[k] = (self.chain.languages[b], min(1.0, float(s[b])))
 
 
+    def spans(self, text: str | None) -> list[dict]:
+        """Runs of words that are likeliest in one language: place and length in characters, language, mean chance."""
+        hits = [m for m in _WORD.finditer(text or "") if any(map(str.isalpha, m.group()))]
+        if not hits:
+            return []
+        own = [m.group().lower() for m in hits]
+        types = {w: k for k, w in enumerate(dict.fromkeys(own))}
+        ids = np.array([types[w] for w in own])
+        chance, _ = forward_backward(self.chain.emissions(list(types)), ids, np.array([len(own)]), self.chain.moves)
+        best = chance.argmax(axis=1)
+        edges = [0, *(np.flatnonzero(np.diff(best)) + 1), len(best)]
+        return [
+            {
+                "start": hits[a].start(), "length": hits[b - 1].end() - hits[a].start(),
+                "lang": self.chain.languages[best[a]], "chance": min(1.0, float(chance[a:b, best[a]].mean())),
+            }
+            for a, b in zip(edges, edges[1:])
+        ]
+
+
+SPANS = "array<struct<start:long,length:long,lang:string,chance:double>>"
+
+
+def label_spans(docs: DataFrame, chain: Chain | None) -> DataFrame:
+    """(doc_id, spans) of every row of ``docs``: where a whole text is in which language.
+
+    Each word has the language that forward-backward finds likeliest, the first by name in a tie; neighbours
+    with one language are one span, counted in characters from 0. Null texts, texts without letters and all
+    texts where nothing could be learned have no spans. Repeated rows are all returned, and columns other than
+    doc_id and text are not read.
+    """
+
+    def run(batches):
+        label = Labeller(chain).spans if chain else lambda text: []
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("lang", pa.string()), ("chance", pa.float64())]))
+        for batch in batches:
+            found = pa.array([label(text.as_py()) for text in batch.column(1)], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "spans"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
 def predict(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text)."""
 
