@@ -89,17 +89,18 @@ def split_sections(
     min_part_chars: int = 300,
     min_chars: int = 200,
     max_chars: int | None = None,
+    keep_tail: bool = True,
 ) -> Column:
     """Numbered parts between rule tags, or between dash lines where there are under two rules.
 
-    What follows the last rule is not part of any section, and numbers keep their gaps.
+    What follows the last rule is a part too, or is left out without ``keep_tail``. Numbers keep their gaps.
     """
     rule = rf"(?i)<{boundary_tag}\b[^>]*>"
 
     def ruled(pieces: Column) -> Column:
-        before = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        chosen = pieces if keep_tail else F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
         return F.filter(
-            F.transform(before, lambda p: tx.strip(tx.node_text(p))),
+            F.transform(chosen, lambda p: tx.strip(tx.node_text(p))),
             lambda p: F.length(p) > min_part_chars,
         )
 

@@ -21,9 +21,12 @@ def parse_sections(
     quarterly: list | None = None,
     uppercase: list | None = None,
     boundary_tag: str = "hr",
+    keep_tail: bool = True,
 ) -> DataFrame:
     """One row per section: every column of ``raw`` but the HTML, plus ``section`` and ``text``.
 
+    Without ``keep_tail`` what follows the last rule tag is left out where a document is cut at rules.
+
     Each tier runs only on documents where the one before found under two sections, and
     then replaces it. The tiers are separate projections so that none is computed twice.
     """
@@ -38,7 +41,7 @@ def parse_sections(
     if sx.has_repeated_keys(upper):
         fallback = sx.keep_last_per_key(fallback)
     tier2 = tier1.withColumn("_b", F.when(F.size("_a") >= 2, F.col("_a")).otherwise(fallback))
-    split = sx.split_sections(F.col(html), F.col("_clean"), boundary_tag)
+    split = sx.split_sections(F.col(html), F.col("_clean"), boundary_tag, keep_tail=keep_tail)
     tier3 = tier2.withColumn("_c", F.when(F.size("_b") >= 2, F.col("_b")).otherwise(split))
     final = F.when(F.size("_c") > 0, F.col("_c")).otherwise(sx.full_text(F.col("_clean")))
     return tier3.select(*[c for c in raw.columns if c != html], F.inline(final))

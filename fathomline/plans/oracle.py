@@ -291,7 +291,7 @@ def _cascade() -> str:
     parts = node_text("part", False)
     tier3 = rf"""parts AS (
   SELECT d.accession_number, d.form_type, i, string_split_regex(d.html, '(?i)<p\b[^>]*>') AS ps
-  FROM docs d, range(100000) t(i) WHERE i + 1 < len(string_split_regex(d.html, '(?i)<p\b[^>]*>'))),
+  FROM docs d, range(100000) t(i) WHERE i < len(string_split_regex(d.html, '(?i)<p\b[^>]*>'))),
 ruled AS (
   SELECT accession_number, row_number() OVER (PARTITION BY accession_number ORDER BY i) AS k, t AS text
   FROM (SELECT accession_number, i, {strip(node_text("ps[i + 1]", False))} AS t FROM parts) WHERE length(t) > 300),

@@ -130,7 +130,9 @@ def test_short_text_is_full_text(spark):
 
 def test_rule_split(spark):
     long = "z" * 400
-    assert list(parse(spark, f"{long}<hr>{long}<hr/>{long}")) == ["section_1", "section_2"]
+    found = parse(spark, f"{long}<hr>{long}<hr/>{long}after")
+    assert list(found) == ["section_1", "section_2", "section_3"] and found["section_3"] == long + "after"
+    assert list(parse(spark, f"{long}<hr>{long}<hr/>{long}", keep_tail=False)) == ["section_1", "section_2"]
     assert list(parse(spark, "short<hr>short<hr>" + "y" * 150)) == ["full_text"]
 
 
