@@ -17,28 +17,31 @@ def pad_cik(cik: Column) -> Column:
     return F.lpad(cik.cast("string"), 10, "0")
 
 
-def resolve_tickers(
-    requested: DataFrame, ticker_map: DataFrame, pos: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(found, rejected): tickers with their padded CIK, and those the map does not have.
+def ticker_matches(requested: DataFrame, ticker_map: DataFrame, pos: str | None = None) -> DataFrame:
+    """Every requested ticker with its padded CIK and title, and a reason where the map does not have it.
 
-    Of several entries with one ticker the first by ``pos`` wins: the column of that name
-    in the map, or the CIK where there is none.
+    One join does both: ``reason`` is null for tickers that were found. Of several entries with one ticker
+    the first by ``pos`` wins: the column of that name in the map, or the CIK where there is none.
     """
     pos = pos or ("pos" if "pos" in ticker_map.columns else "cik_str")
     first = ticker_map.groupBy(F.upper("ticker").alias("ticker")).agg(
         F.min_by(F.struct("cik_str", "title"), pos).alias("e")
     )
-    wanted = requested.withColumn("ticker", F.upper("ticker"))
-    joined = wanted.join(first, "ticker", "left")
-    found = joined.filter(F.col("e").isNotNull()).select(
+    return requested.withColumn("ticker", F.upper("ticker")).join(first, "ticker", "left").select(
         *requested.columns,
         pad_cik(F.col("e.cik_str")).alias("cik"),
         F.col("e.title").alias("title"),
+        F.when(F.col("e").isNull(), "unknown ticker").alias("reason"),
     )
-    rejected = wanted.join(first, "ticker", "left_anti").select(
-        *requested.columns, F.lit("unknown ticker").alias("reason")
-    )
+
+
+def resolve_tickers(
+    requested: DataFrame, ticker_map: DataFrame, pos: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(found, rejected): the two sides of ``ticker_matches``."""
+    matches = ticker_matches(requested, ticker_map, pos)
+    found = matches.filter(F.col("reason").isNull()).drop("reason")
+    rejected = matches.filter(F.col("reason").isNotNull()).select(*requested.columns, "reason")
     return found, rejected
 
 

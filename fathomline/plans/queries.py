@@ -465,8 +465,7 @@ def ticker_resolution(spark, d):
     known = table(spark, d, "customer").select(
         F.col("c_name").alias("ticker"), F.col("c_custkey").alias("cik_str"), F.col("c_mktsegment").alias("title")
     )
-    found, rejected = fl.resolve_tickers(requested, known)
-    return found.withColumn("reason", F.lit("")).unionByName(rejected, allowMissingColumns=True)
+    return fl.ticker_matches(requested, known).withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
 @query

@@ -149,6 +149,9 @@ def test_filing_tables(spark, landed):
     found, rejected = fl.resolve_tickers(requested(spark, "aaa", "BBB", "zzz"), tick, "pos")
     assert {r["ticker"]: r["cik"] for r in found.collect()} == {"AAA": "0000000320", "BBB": "0000000077"}
     assert [r["ticker"] for r in rejected.collect()] == ["ZZZ"]
+    matches = fl.ticker_matches(requested(spark, "aaa", "BBB", "zzz"), tick, "pos")
+    assert {r["ticker"]: r["reason"] for r in matches.collect()} == {"AAA": None, "BBB": None, "ZZZ": "unknown ticker"}
+    assert matches._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     rows = fl.filing_index(subs, "10-K", 2).orderBy("cik", "accession_number").collect()
     assert [r["accession_number"][-6:] for r in rows] == ["000001", "000000", "000002"]
     assert rows[1]["document_url"] == "https://www.sec.gov/Archives/edgar/data/320/000000032020000000/d0.htm"
