@@ -151,10 +151,14 @@ WITH u AS (
 ), best AS (
   SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
   FROM p JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY page_id
+), own AS (
+  SELECT page_id, '.' || rtrim(regexp_replace(regexp_replace(translate(url_decode(host), '{UPPER}', '{LOWER}'), '^.*@', ''), ':[0-9]*$', ''), '.') || '/' AS site FROM p
 )
 SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.verdict, CASE WHEN contains(host, 'adult') OR contains(host, 'casino') OR contains(host, 'porn') THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN best b USING (page_id)
+       coalesce(b.verdict, CASE WHEN regexp_matches(site, '[.]({"|".join(url_filter.TRUSTED)})/$') THEN 'allow'
+         WHEN regexp_matches(site, '({"|".join(url_filter.BLOCKED_ANYWHERE)})|({"|".join(url_filter.BLOCKED_ENDINGS)})[-./]|[-.]({"|".join(url_filter.BLOCKED_WORDS)})[-./]')
+         THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN own USING (page_id) LEFT JOIN best b USING (page_id)
 """
 
 _VECTORS = f"""

@@ -380,6 +380,44 @@ def test_url_rules(spark):
     assert uf.judge(table.limit(0), []).count() == 0
 
 
+def test_url_canonical_form():
+    cases = {
+        (b"x.org", b""): (b"x.org", b"/"), (b"x.org", b"/a/../b/./c"): (b"x.org", b"/b/c"), (b"x.org", b"/../../a//b/"): (b"x.org", b"/a/b/"),
+        (b"u:p@x.org:8080", b"/"): (b"x.org", b"/"), (b"x.org.:443", b"/%61%2Fb"): (b"x.org", b"/a%2fb"), (b"x%2Eorg", b"/%2e%2e/a"): (b"x.org", b"/a"),
+        (b"c%41sino.com", b"/%zz"): (b"casino.com", b"/%zz"), (b"", b""): (b"", b"/"), (b"x.org", b"/a/.."): (b"x.org", b"/"), (b"x.org", b"/a/b/.."): (b"x.org", b"/a/"),
+    }
+    for site, plain in cases.items():
+        assert uf.canonical(*site) == plain and uf.canonical(*plain) == plain, site
+
+
+def test_url_defaults_by_word(spark):
+    cases = {
+        "https://casinos-history.edu/a": "allow", "https://history.example.net/adult/poker": "allow", "https://best-casino.com": "block", "http://bestcasino.com:80/x": "block",
+        "https://www.poker.example.net/": "block", "https://pokery.net/": "allow", "https://m.freeporn.tv": "block", "https://c%61sino.com/": "block", "https://x.porn": "block",
+        "https://adult@x.net/": "allow", "https://essex.ac.uk/": "allow", "https://casino.state.gov./": "allow", "none": "allow",
+    }
+    table = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in uf.judge(table, []).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_url_rule_tables(spark):
+    sites = [(("block", "allow")[k % 2], f"h{k}.net", f"/p{k}/") for k in range(400)] + [("allow", "h7.net", None), (None, "h8.net", "/"), ("block", None, None)]
+    rules = spark.createDataFrame(sites * 2, "verdict string, host string, path string").withColumn("name", F.lit(1))
+    urls = [f"http://a.h{k}.net/p{k}/x" for k in range(400)] + [f"http://h{k}.net/p/" for k in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in uf.judge(pages, rules, defaults=(), otherwise="none").collect()}
+    assert [got[k] for k in range(400)] == [(f"h{k}.net/p{k}/", ("block", "allow")[k % 2]) for k in range(400)]
+    assert [got[400 + k] for k in range(10)] == [("h7.net", "allow") if k == 7 else (None, "none") for k in range(10)]
+    wild = spark.createDataFrame([("block", "*/[0-]?.html", "digits"), ("block", "", "empty"), ("allow", "*.h1.net/**", None)], "verdict string, pattern string, name string")
+    pages = spark.createDataFrame([(0, "http://a.b/-x.html"), (1, "http://a.b/1x.html"), (2, "http://a.b/0/.html"), (3, "http://h1.net/a*b")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in uf.judge(pages, wild, otherwise="none").collect()}
+    assert got == {0: ("digits", "block"), 1: (None, "none"), 2: (None, "none"), 3: (None, "allow")}
+    starred = uf.judge(pages, [uf.site_rule("block", "h1.net", "/a*b"), uf.site_rule("block", "net", "/a?b")]).where("rule is not null").collect()
+    assert [(r["page_id"], r["rule"]) for r in starred] == [(3, "h1.net/a*b")]
+    assert uf.rule_table(rules.limit(0)) == []
+
+
 # ---- quality, language, licenses ---------------------------------------------------------
 
 
