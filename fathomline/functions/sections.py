@@ -12,6 +12,7 @@ SECTION_ARRAY = "array<struct<section:string,text:string>>"
 # Unicode-aware classes and case folding, and a dot that stops at \n only, as Python has them.
 _IGNORE_CASE = "(?iuUd)"
 _EXACT_CASE = "(?Ud)"
+_MARK, _NO_MARK = "\x01", "\x02"
 
 
 def no_sections() -> Column:
@@ -19,16 +20,22 @@ def no_sections() -> Column:
 
 
 def last_match_start(text: Column, pattern: str) -> Column:
-    """0-based start of the last non-overlapping match, or null if there is none."""
-    tail = F.element_at(F.split(text, pattern, -1), -1)
-    last = F.element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), -1)
-    return F.when(
-        F.rlike(text, F.lit(pattern)), F.length(text) - F.length(tail) - F.length(last)
-    )
+    """0-based start of the last non-overlapping match, or null if there is none.
+
+    Text without a match is walked once. Else a second walk sets a mark before each match, and the length of
+    what stands behind the last mark gives the place. Marks of the text itself are replaced first.
+    """
+    plain = F.when(F.instr(text, _MARK) > 0, F.translate(text, _MARK, _NO_MARK)).otherwise(text)
+    marked = F.regexp_replace(plain, F.lit(pattern), F.lit(_MARK + "$0"))
+    behind = F.length(F.substring_index(marked, _MARK, -1))
+    return F.when(F.rlike(text, F.lit(pattern)), F.length(text) - behind)
 
 
 def header_positions(text: Column, catalog: list, case_sensitive: bool = False) -> Column:
-    """Sorted array of (pos, ord, section): the last hit of the first alternative that hits at all."""
+    """Sorted array of (pos, ord, section): the last hit of the first alternative that hits at all.
+
+    An alternative is looked for only where those before it do not hit.
+    """
     flags = _EXACT_CASE if case_sensitive else _IGNORE_CASE
     hits = [
         F.struct(

@@ -95,6 +95,24 @@ def test_last_match_does_not_overlap(spark):
     text = "x quantitative a quantitative b market risk"
     assert one(spark, text, sx.last_match_start(X, "(?iuUd)quantitative.*market risk")) == 2
     assert one(spark, "none", sx.last_match_start(X, "zzz")) is None
+    assert one(spark, "zzz at the start", sx.last_match_start(X, "zzz")) == 0
+    assert one(spark, "", sx.last_match_start(X, "zzz")) is None
+
+
+def test_header_scan_matches_plain_python(spark):
+    rng = random.Random(5)
+    parts = ["item 1", "Item 1a", "ITEM 7A", "item\u00a07", "risk factors", "Quantitative", "market risk", "management's discussion", "\n", " ", "\x01", "\x02", "é", "😀", "financial statements", "md&a", "$1", "item 8"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    found = df.select("k", sx.header_positions(X, fv.ANNUAL_SECTIONS).alias("p"))
+    for k, hits in found.collect():
+        want = []
+        for i, (key, patterns) in enumerate(fv.ANNUAL_SECTIONS):
+            starts = next((s for p in patterns if (s := [m.start() for m in re.finditer(p, texts[k], re.I)])), None)
+            want += [(starts[-1], i, key)] if starts else []
+        assert [tuple(h) for h in hits] == sorted(want), texts[k]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split(" not in plan
 
 
 PARAGRAPH = "The firm sells goods in many places and its revenue went up. " * 5
