@@ -6,6 +6,10 @@ leading ones. The sorted sequence is cut into blocks; two blocks meet only if th
 and their boxes lie within epsilon. A pair of blocks is joined by halving both sequences, leaving
 out halves whose boxes are too far apart, down to leaves that are compared in double precision.
 
+A block meets itself where it was written; only pairs of different blocks are shuffled. What that
+costs is pairs of near blocks times the bytes of a block: where vectors have no clusters, all blocks
+are near each other and both the pairs and the comparisons grow with the square of the vectors.
+
 Equal vectors form one class before the join, and a pair of blocks gives counts and a spanning
 forest instead of pairs: what is written grows with the vectors, however dense the links are.
 """
@@ -23,14 +27,24 @@ from .shared import attach, cut
 
 COSINE = 0.95
 LEADING = 8
-BLOCK = 2048
+#: Vectors and bytes that a block holds at most; a task holds two blocks as doubles.
+BLOCK = 8192
+BLOCK_BYTES = 4 << 20
 LEAF = 256
+#: Columns of the random sketch that the principal dimensions are read from, beyond those that are kept.
+OVERSAMPLE = 16
 #: Distances are rounded; a block is only skipped when it is farther away than epsilon and this.
 SLACK = 1e-6
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, digest, vector) of every row; digest and vector are null where the row links with nothing."""
+def _vectors(rows: DataFrame) -> tuple[DataFrame, np.dtype]:
+    """(vec_id, digest, vector) of every row, and the type of a vector's numbers: floats stay floats, others are doubles.
+
+    Digest and vector are null where the row links with nothing.
+    """
+    own_type = dict(rows.dtypes)["embedding"]
+    kind = "float" if own_type == "array<float>" else "double"
+    dtype = np.dtype(np.float32 if kind == "float" else np.float64)
 
     def run(batches):
         for batch in batches:
@@ -39,46 +53,64 @@ def _vectors(rows: DataFrame) -> DataFrame:
                 values = item.values if item.is_valid else None
                 own = None
                 if values is not None and len(values) and not values.null_count:
-                    x = values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    x = values.to_numpy(zero_copy_only=False).astype(dtype)
                     if np.isfinite(x).all() and x.any():
-                        own = (x + 0.0).tobytes()
+                        own = (x + dtype.type(0)).tobytes()
                 digest.append(own and xxhash.xxh3_128_digest(own))
                 packed.append(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "digest", "vector"]
             )
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
-        run, "vec_id long, digest binary, vector binary"
-    )
+    plain = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    return plain.mapInArrow(run, "vec_id long, digest binary, vector binary"), dtype
 
 
-def _unit(packed: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
+def _unit(packed: bytes, n: int, dtype: np.dtype) -> np.ndarray:
+    """``n`` vectors as rows of length one, in double precision."""
+    x = np.frombuffer(packed, dtype).reshape(n, -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # large components do not overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _rotation(classes: DataFrame, dims: int, leading: int) -> np.ndarray:
-    """dims x leading matrix of the principal dimensions; from sums over all vectors, dims^2 numbers."""
+def _units(column: pa.Array, dtype: np.dtype) -> np.ndarray:
+    return _unit(b"".join(column.to_pylist()), len(column), dtype)
+
+
+def _principal(sketch: np.ndarray, probe: np.ndarray, leading: int) -> np.ndarray:
+    """Leading eigenvectors of a moment matrix M from ``sketch`` = M ``probe``; always an orthonormal basis."""
+    basis, upper = np.linalg.qr(sketch)
+    inner = upper @ np.linalg.pinv(probe.T @ sketch) @ upper.T
+    turned = np.linalg.eigh((inner + inner.T) / 2)[1]
+    return (basis @ turned)[:, ::-1][:, :leading].copy()
+
+
+def _rotation(classes: DataFrame, dims: int, leading: int, dtype: np.dtype) -> np.ndarray:
+    """dims x leading matrix of the principal dimensions, from sums over all vectors.
+
+    The sums are the moments times a few random columns: what tasks and driver hold grows with dims, not dims^2.
+    """
+    probe = np.random.default_rng(0).normal(size=(dims, min(dims, leading + OVERSAMPLE)))
 
     def run(batches):
-        total = np.zeros((dims, dims))
+        total = np.zeros(probe.shape)
         for batch in batches:
             if batch.num_rows:
-                x = _unit(batch.column(0).to_pylist())
-                total += x.T @ x
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "v"])
+                x = _units(batch.column(0), dtype)
+                total += x.T @ (x @ probe)
+        if total.any():
+            i, j = np.indices(total.shape)
+            columns = [pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "v"])
 
     found = classes.select("vector").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    moments = np.zeros((dims, dims))
+    sketch = np.zeros(probe.shape)
     for r in found:
-        moments[r["i"], r["j"]] = r["v"]
-    return np.linalg.eigh(moments)[1][:, ::-1][:, :leading].copy()
+        sketch[r["i"], r["j"]] = r["v"]
+    return _principal(sketch, probe, leading)
 
 
-def _blocks(classes: DataFrame, rotation: np.ndarray, epsilon: float, size: int, n: int) -> DataFrame:
+def _blocks(classes: DataFrame, rotation: np.ndarray, epsilon: float, size: int, n: int, dtype: np.dtype) -> DataFrame:
     """Contiguous intervals of the grid order: (block, low, high, nodes, copies, vectors)."""
     lead = rotation.shape[1]
 
@@ -86,7 +118,7 @@ def _blocks(classes: DataFrame, rotation: np.ndarray, epsilon: float, size: int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.floor((_unit(batch.column(2).to_pylist()) @ rotation) / epsilon).astype(np.int64)
+            at = np.floor((_units(batch.column(2), dtype) @ rotation) / epsilon).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(at[:, k]) for k in range(lead))], names=["node", "copies", "vector", *(f"c{k}" for k in range(lead))]
             )
@@ -97,15 +129,15 @@ def _blocks(classes: DataFrame, rotation: np.ndarray, epsilon: float, size: int,
 
     def one(part: int, k: int, held: list) -> pa.RecordBatch:
         nodes, copies, vectors = (sum((list(b.column(c)) for b in held), []) for c in range(3))
-        packed = [v.as_py() for v in vectors]
-        at = _unit(packed) @ rotation
+        packed = b"".join(v.as_py() for v in vectors)
+        at = _unit(packed, len(vectors), dtype) @ rotation
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([(part << 24) + k], pa.int64()),
                 pa.array([at.min(axis=0)], pa.list_(pa.float64())), pa.array([at.max(axis=0)], pa.list_(pa.float64())),
                 pa.array([np.array([v.as_py() for v in nodes], np.int64).tobytes()], pa.binary()),
                 pa.array([np.array([v.as_py() for v in copies], np.int64).tobytes()], pa.binary()),
-                pa.array([b"".join(packed)], pa.binary()),
+                pa.array([packed], pa.binary()),
             ],
             names=["block", "low", "high", "nodes", "copies", "vectors"],
         )
@@ -129,7 +161,7 @@ def _blocks(classes: DataFrame, rotation: np.ndarray, epsilon: float, size: int,
 
 
 def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """(i, j), i <= j: blocks whose boxes lie within epsilon, found by an equi-join on the leading cells."""
+    """(i, j), i < j: blocks whose boxes lie within epsilon, found by an equi-join on the leading cells."""
     boxes = blocks.select("block", "low", "high")
     cell = lambda name, k, by: (F.floor(F.element_at(name, k) / epsilon) + by).cast("int")
     reach = lambda k, by: F.explode(F.sequence(cell("low", k, -by), cell("high", k, by))).alias(f"g{k}")
@@ -146,7 +178,7 @@ def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     far = F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g)
     # either block may be the one at home, so order each pair before copies go
     close = met.where(far <= (epsilon + SLACK) ** 2)
-    return close.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    return close.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
 class _Forest:
@@ -201,35 +233,38 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndar
     return count_x, count_y, forest.root
 
 
-def _joined(pairs: DataFrame, blocks: DataFrame, rotation: np.ndarray, cosine: float, epsilon: float) -> DataFrame:
-    """(node, links, root): linked vectors of each class within one pair of blocks, and its root there."""
+def _joined(pairs: DataFrame, blocks: DataFrame, rotation: np.ndarray, cosine: float, epsilon: float, dtype: np.dtype) -> DataFrame:
+    """(node, links, root): linked vectors of each class within a block or a pair of them, and its root there."""
+    schema = "node long, links long, root long"
 
-    def run(batches):
+    def sides(batch):
+        for row in range(batch.num_rows):
+            raw = [batch.column(c)[row].as_py() for c in range(batch.num_columns)]
+            for k in range(0, len(raw), 3):
+                raw[k : k + 2] = (np.frombuffer(r, np.int64) for r in raw[k : k + 2])
+                raw[k + 2] = _unit(raw[k + 2], len(raw[k]), dtype)
+            yield raw
+
+    def linked(node, count, root):
+        hit = count > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[root][hit])], names=["node", "links", "root"])
+
+    def within(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                i, j, *raw = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
-                nodes = [np.frombuffer(raw[k], np.int64) for k in (0, 3)]
-                copies = [np.frombuffer(raw[k], np.int64) for k in (1, 4)]
-                x, y = (_unit(_split(raw[k], len(n))) for k, n in ((2, nodes[0]), (5, nodes[1])))
-                if i == j:
-                    count_x, count_y, root = join_blocks(x, None, x @ rotation, None, copies[0], None, cosine, epsilon)
-                    node, count = nodes[0], count_x + count_y
-                else:
-                    count_x, count_y, root = join_blocks(x, y, x @ rotation, y @ rotation, *copies, cosine, epsilon)
-                    node, count = np.concatenate(nodes), np.concatenate([count_x, count_y])
-                hit = count > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[hit]), pa.array(count[hit]), pa.array(node[root][hit])], names=["node", "links", "root"]
-                )
+            for node, copies, x in sides(batch):
+                count_x, count_y, root = join_blocks(x, None, x @ rotation, None, copies, None, cosine, epsilon)
+                yield linked(node, count_x + count_y, root)
+
+    def across(batches):
+        for batch in batches:
+            for node_x, copies_x, x, node_y, copies_y, y in sides(batch):
+                *counts, root = join_blocks(x, y, x @ rotation, y @ rotation, copies_x, copies_y, cosine, epsilon)
+                yield linked(np.concatenate([node_x, node_y]), np.concatenate(counts), root)
 
     side = lambda k: blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("nodes", "copies", "vectors")))
     met = pairs.join(side("i"), "i").join(side("j"), "j")
-    return met.select("i", "j", "nodes_i", "copies_i", "vectors_i", "nodes_j", "copies_j", "vectors_j").mapInArrow(run, "node long, links long, root long")
-
-
-def _split(raw: bytes, n: int) -> list[bytes]:
-    width = len(raw) // n
-    return [raw[k * width : (k + 1) * width] for k in range(n)]
+    apart = met.select("nodes_i", "copies_i", "vectors_i", "nodes_j", "copies_j", "vectors_j").mapInArrow(across, schema)
+    return blocks.select("nodes", "copies", "vectors").mapInArrow(within, schema).union(apart)
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, leading: int = LEADING, block: int = BLOCK) -> DataFrame:
@@ -241,7 +276,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, leading: int = LEAD
     as other vectors each. Other columns are not read; an empty table gives an empty table.
     """
     epsilon = float(np.sqrt(2 - 2 * cosine))
-    own = cut(_vectors(rows))
+    packed, dtype = _vectors(rows)
+    own = cut(packed)
     usable = own.where("digest is not null and vec_id is not null")
     classes = usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     vectors = (
@@ -251,10 +287,11 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, leading: int = LEAD
     known = cut(classes.join(vectors, "digest").withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.length("vector")))
     found = None
     for width, n in known.groupBy("width").count().orderBy("width").collect():  # one row per vector length
-        alike = known.where(F.col("width") == width)
-        rotation = _rotation(alike, width // 8, min(leading, width // 8))
-        blocks = cut(_blocks(alike, rotation, epsilon, block, n))
-        part = _joined(cut(_block_pairs(blocks, epsilon)), blocks, rotation, cosine, epsilon)
+        alike, dims = known.where(F.col("width") == width), width // dtype.itemsize
+        rotation = _rotation(alike, dims, min(leading, dims), dtype)
+        size = max(1, min(block, BLOCK_BYTES // width))
+        blocks = cut(_blocks(alike, rotation, epsilon, size, n, dtype))
+        part = _joined(cut(_block_pairs(blocks, epsilon)), blocks, rotation, cosine, epsilon, dtype)
         found = part if found is None else found.union(part)
     if found is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

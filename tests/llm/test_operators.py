@@ -135,6 +135,21 @@ def test_embeddings_match_brute_force(spark):
         assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k and got[k]["kept"] for k, *_ in odd if k is not None)
         assert got[None]["component_id"] is None and got[None]["kept"]
     assert ed.near_duplicates(table.limit(0)).count() == 0
+    wide = table.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted(map(tuple, ed.near_duplicates(wide, block=64).where("vec_id is not null").collect())) == sorted(tuple(r) for k, r in got.items() if k is not None)
+
+
+def test_principal_dimensions_from_a_sketch():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 40)) * np.array([20, 12, 7] + [0.3] * 37)
+    turn = np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    moments = (x @ turn).T @ (x @ turn)
+    probe = rng.normal(size=(40, 3 + ed.OVERSAMPLE))
+    found = ed._principal(moments @ probe, probe, 3)
+    assert np.allclose(found.T @ found, np.eye(3)) and np.allclose(np.abs(np.sum(found * np.linalg.eigh(moments)[1][:, ::-1][:, :3], axis=0)), 1, atol=1e-3)
+    flat = np.outer(np.ones(40), np.ones(40))  # one direction only: the rest of the basis is any orthonormal one
+    found = ed._principal(flat @ probe, probe, 3)
+    assert np.allclose(found.T @ found, np.eye(3)) and np.allclose(np.abs(found[:, 0]), 40**-0.5)
 
 
 # ---- packing -----------------------------------------------------------------------------
