@@ -201,8 +201,7 @@ def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _pairs_across(mixed: DataFrame, classes: DataFrame, collection: int) -> DataFrame:
     """(a, b): all pairs of a bucket that lie in different components, each from the first table they share."""
-    small = classes.select("node", F.transform("small", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
-    rows = mixed.join(small, "node")
+    rows = mixed.join(classes.select("node", "small"), "node")
     left = rows.where("minor").select("table", "key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("small").alias("sa"))
     right = rows.select("table", "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("small").alias("sb"), "minor")
     first = lambda name, at, n: F.slice(name, at, n)
