@@ -16,13 +16,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .shared import cut, spare
+from .shared import attach, cut, spare
 
 WINDOW = 13
 #: Contaminated from one word in so many.
 PARTS = 20
 #: Bytes of prefixes (or of item words) that one broadcast may hold.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of word counts up to which they are broadcast to the item words; beyond, only the hottest words are.
+COUNT_BYTES = 32 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Characters that lower() would change besides A-Z.
 OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
@@ -55,10 +57,16 @@ def word_counts(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFr
 
 def prefixes(docs: DataFrame, items: DataFrame, window: int, text: str = "text") -> DataFrame:
     """Each item's windows under their rarest words: (word, item_id, words, at, length, starts)."""
+    places = items.select("item_id", "words", F.posexplode("words").alias("at", "word"))
+    counts = cut(word_counts(docs, items, text))
+    size = counts.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    if size <= COUNT_BYTES:
+        known = places.join(F.broadcast(counts), "word", "left")
+    else:
+        held = places.groupBy("word").agg(F.count("*").alias("places"))
+        known = attach(places, held.join(counts, "word", "left"), "word", "places")
     counted = (
-        items.select("item_id", "words", F.posexplode("words").alias("at", "word"))
-        .join(F.broadcast(cut(word_counts(docs, items, text))) if items.count() < 1_000_000 else word_counts(docs, items, text), "word", "left")
-        .groupBy("item_id", "words")
+        known.groupBy("item_id", "words")
         .agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("ranked"))
     )
     length = F.least(F.lit(window), F.size("words"))
@@ -113,7 +121,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, parts
     Repeated rows are all returned. Empty tables give no occurrence or no rows; other columns are not read.
     """
     key = ["doc_id", "text_hash"]
-    found = occurrences(docs, items, window, text).repartition(*key)
+    found = occurrences(docs, items, window, text)
+    # counted in the tasks first, so a row that repeats very often comes to its group once a task
     once = found.groupBy(*key, "start", "length", "item_id").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"))
     end = F.col("start") + F.col("length")
     before = F.max(end).over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))

@@ -139,6 +139,20 @@ def test_embeddings_match_brute_force(spark):
     assert sorted(map(tuple, ed.near_duplicates(wide, block=64).where("vec_id is not null").collect())) == sorted(tuple(r) for k, r in got.items() if k is not None)
 
 
+def test_decontamination_counts_in_tasks_and_joins_any_size_of_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    bench = [prose(rng, rng.randrange(1, 30)) for _ in range(12)]
+    texts = [prose(rng, 40) + " " + rng.choice(bench) + " " + prose(rng, 5) for _ in range(60)] + [bench[3]] * 400 + ["", None]
+    table, items = docs(spark, *texts, ids=[*range(60), *[60] * 400, 61, 62]), spark.createDataFrame([(str(k), b) for k, b in enumerate(bench)], "item_id string, text string")
+    found = dc.contamination(table, items)
+    assert "REPARTITION_BY" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["item_ids"])), r["contaminated"]) for r in df.collect())
+    want = rows(found)
+    assert len(want) == len(texts) and [r for r in want if r[0] == 60] == [want[60]] * 400 and want[60][4]
+    monkeypatch.setattr(dc, "COUNT_BYTES", 0)
+    assert rows(dc.contamination(table, items)) == want
+
+
 def test_principal_dimensions_from_a_sketch():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 40)) * np.array([20, 12, 7] + [0.3] * 37)
