@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -351,3 +352,71 @@ def test_terms_skip_stop_words_before_pairing(spark):
     df = spark.createDataFrame([("Net of the company income a x",)], "text string")
     got = df.select(topics.terms(F.col("text"), ["of", "the", "company"]).alias("t")).first()["t"]
     assert got == ["net", "income", "net income"]
+
+
+def plain_vocabulary(texts, stops, most, min_df=2, max_df=0.9):
+    """The leading terms, counted in plain Python."""
+    df, total = {}, {}
+    for text in texts:
+        ws = [w for w in (text or "").lower().split() if len(w) > 1 and w not in stops]
+        found = [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))]
+        for t in found:
+            total[t] = total.get(t, 0) + 1
+        for t in set(found):
+            df[t] = df.get(t, 0) + 1
+    fit = [t for t in df if min_df <= df[t] <= max_df * len(texts)]
+    return sorted(fit, key=lambda t: (-total[t], t))[:most]
+
+
+@pytest.mark.parametrize("most", [1, 7, 20, 60, 5000])
+def test_vocabulary_keeps_pairs_of_rare_and_of_too_frequent_words(spark, most, monkeypatch):
+    rng = random.Random(most)
+    pool = [f"w{i}" for i in range(30)] + ["the"] * 3
+    texts = ["everywhere always " * 3 + " ".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) + " rare pair" * (i % 3) for i in range(60)]
+    texts += ["", None, "everywhere", "twin twin twin"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(topics, "CHUNK_WORDS", 100)
+    got = topics.vocabulary(docs, "text", ["the"], max_features=most)[0]
+    assert got == plain_vocabulary(texts, {"the"}, most)
+    assert most < 5000 or "rare pair" in got and any(t.startswith("always w") for t in got)
+
+
+def test_pairs_no_leading_term_can_hold_are_not_counted(spark):
+    """The count of pairs grew with all pairs of the corpus; it now has those of leading words only."""
+    rows = [("lead word " * 5 + " ".join(f"x{i % 50} y{j % 50}" for j in range(i, i + 20)),) for i in range(200)]
+    listed = spark.createDataFrame(rows, "text string").select(topics.words(F.col("text"), []).alias("w"))
+    found = {r["term"]: (r["df"], r["total"]) for r in topics._totals(listed, ["lead", "word"], ["lead", "word"]).collect()}
+    assert found == {None: (200, 0), "lead word": (200, 1000), "word lead": (200, 800)}
+    assert topics._totals(listed, ["word"]).filter("term like 'word %'").count() > 10  # any second word
+
+
+def test_documents_mixed_in_batches_are_mixed_as_alone(spark):
+    rng = np.random.default_rng(3)
+    table = rng.gamma(1.0, 1.0, (40, 4))
+    sizes = [0, 1, 5, 5, 6, 30, 2, 0, 17, 40, 9]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    codes, w = np.concatenate([np.sort(rng.choice(40, n, replace=False)) for n in sizes]), rng.random(sum(sizes))
+    whole = topics.mixes(starts, codes, w, table, 0.25, 50, 1e-3)
+    places = [c.size for _, c, _ in topics._batches(starts, codes, w)]
+    assert max(places) <= topics.BATCH_TERMS and sum(places) <= sum(sizes) * 1.25
+    for d, n in enumerate(sizes):
+        shares, at = np.ones(4) if n else np.full(4, 0.25), slice(starts[d], starts[d + 1])
+        for _ in range(50 if n else 0):
+            mix = topics.expected(shares[None])[0]
+            new = 0.25 + mix * ((w[at] / (table[codes[at]] @ mix)) @ table[codes[at]])
+            done, shares = np.abs(new - shares).mean() < 1e-3, new
+            if done:
+                break
+        assert np.allclose(whole[d], shares, rtol=1e-9)
+
+
+def test_terms_are_counted_by_columns_of_words(spark):
+    vocab, idf = ["b", "a b", "a", "c a"], np.array([1.0, 2.0, 3.0, 4.0])
+    import pyarrow as pa
+
+    lists = pa.array([["a", "b", "a", "b"], None, ["c", "zz", "a"], ["c"], ["a"], ["b", "c", "a"]])
+    ((rows, flat, owner),) = topics._chunks(lists)
+    starts, codes, tf, w = topics._weigher(vocab, idf)(flat, owner, rows.stop)
+    got = [dict(zip(codes[a:b].tolist(), tf[a:b].tolist())) for a, b in zip(starts, starts[1:])]
+    assert got == [{0: 2, 1: 2, 2: 2}, {}, {2: 1}, {}, {2: 1}, {0: 1, 2: 1, 3: 1}]
+    assert np.allclose([(w[a:b] ** 2).sum() for a, b in zip(starts, starts[1:])], [1, 0, 1, 0, 1, 1])
