@@ -108,30 +108,40 @@ def plain_valences(words: Column, lexicon: dict[str, float]) -> Column:
 def rule_valences(words: Column, lexicon: dict[str, float], idioms: dict[str, float] = fv.IDIOMS) -> Column:
     """Valences adjusted for capitals, degree words and phrases, negation, idioms and a contrasting "but".
 
-    Phrases are looked up only around words that have a valence, so a text costs one lookup a word and a
-    few for each of those. As in the published model, idioms and degree phrases count from the fourth word
-    of a text on, behind a word without a valence, and a degree phrase moves either sign the same way.
+    Phrases are looked up only around words that have a valence, where the first and the last word begin and
+    end some phrase; so a text costs little more than one lookup a word. As in the published model, idioms and
+    degree phrases count from the fourth word of a text on, behind a word without a valence, and a degree phrase
+    moves either sign the same way.
     """
     degree = {w: fv.DEGREE_STEP for w in fv.INTENSIFIERS} | {w: -fv.DEGREE_STEP for w in fv.DAMPENERS}
     degree_phrases = {w: d for w, d in degree.items() if " " in w}
+    phrases = [p.split(" ") for p in (*idioms, *degree_phrases)]
+    begins, ends = {p[0] for p in phrases}, {p[-1] for p in phrases}
     roles = {
-        w: {"v": lexicon.get(w), "deg": degree.get(w, 0.0), "neg": w in fv.NEGATIONS}
-        for w in {*lexicon, *degree, *fv.NEGATIONS}
+        w: {"v": lexicon.get(w), "deg": degree.get(w, 0.0), "neg": w in fv.NEGATIONS, "begins": w in begins, "ends": w in ends}
+        for w in {*lexicon, *degree, *fv.NEGATIONS, *begins, *ends}
     }
 
     def fact(w: Column) -> Column:
         """What the rules need to know about a token, from a single lookup."""
         return let(
-            lookup(F.lower(w), roles, "struct<v:double,deg:double,neg:boolean>"),
-            lambda role: F.struct(
-                role["v"].alias("v"),
-                F.coalesce(role["deg"], F.lit(0.0)).alias("deg"),
-                (F.coalesce(role["neg"], F.lit(False)) | F.endswith(F.lower(w), F.lit("n't"))).alias("neg"),
-                ((F.upper(w) == w) & (F.lower(w) != w)).alias("cap"),
-                F.lower(w).alias("w"),
+            F.lower(w),
+            lambda low: let(
+                lookup(low, roles, "struct<v:double,deg:double,neg:boolean,begins:boolean,ends:boolean>"), lambda role: known(w, low, role)
             ),
         )
 
+    def known(w: Column, low: Column, role: Column) -> Column:
+        return F.struct(
+            role["v"].alias("v"),
+            F.coalesce(role["deg"], F.lit(0.0)).alias("deg"),
+            (F.coalesce(role["neg"], F.lit(False)) | F.endswith(low, F.lit("n't"))).alias("neg"),
+            ((low != w) & (F.upper(w) == w)).alias("cap"),
+            low.alias("w"),
+            F.coalesce(role["begins"], F.lit(False)).alias("begins"),
+            F.coalesce(role["ends"], F.lit(False)).alias("ends"),
+        )
+
     def adjusted(facts: Column, mixed: Column, but: Column) -> Column:
         def one(f: Column, i: Column) -> Column:
             def near(by: int) -> Column:
@@ -140,9 +150,10 @@ def rule_valences(words: Column, lexicon: dict[str, float], idioms: dict[str, fl
             def is_one(by: int, *options: str) -> Column:
                 return F.coalesce(near(by)["w"].isin(*options), F.lit(False))
 
-            def phrase(first: int, last: int) -> Column:
-                """Words at these distances, or null where the text has not all of them."""
-                return F.concat_ws(" ", *[near(k)["w"] for k in range(first, last + 1)])
+            def phrase(first: int, last: int, values: dict[str, float]) -> Column:
+                """The value of the words at these distances, looked up where they can be a phrase."""
+                whole = F.concat_ws(" ", *[near(k)["w"] for k in range(first, last + 1)])
+                return F.when(near(first)["begins"] & near(last)["ends"], lookup(whole, values))
 
             no = F.lit(False)
             stressed = is_one(-1, "so", "this"), is_one(-2, "so", "this")
@@ -152,10 +163,9 @@ def rule_valences(words: Column, lexicon: dict[str, float], idioms: dict[str, fl
             calm = [no, is_one(-2, "without") & doubt[0], is_one(-3, "without") & (doubt[0] | doubt[1])]
             behind = [(-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)]
             idiom = F.coalesce(
-                *[F.when(near(b).isNotNull(), lookup(phrase(a, b), idioms)) for a, b in [(0, 2), (0, 1)]],
-                *[lookup(phrase(a, b), idioms) for a, b in behind],
+                *[phrase(a, b, idioms) for a, b in [(0, 2), (0, 1), *behind]]
             )
-            extra = sum(F.coalesce(lookup(phrase(a, b), degree_phrases), F.lit(0.0)) for a, b in [(-3, -1), (-3, -2), (-2, -1)])
+            extra = sum(F.coalesce(phrase(a, b, degree_phrases), F.lit(0.0)) for a, b in [(-3, -1), (-3, -2), (-2, -1)])
             before = F.array(
                 *[
                     F.struct(

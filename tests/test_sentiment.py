@@ -141,6 +141,18 @@ def test_phrases_of_the_rules(spark):
     assert c("the least robust") < 0 < c("at least robust")
 
 
+def test_phrases_are_looked_up_only_where_they_can_begin_and_end(spark):
+    """Every word with a valence was joined to its neighbours and looked up ten times."""
+    rules = str(sn.rule_valences(F.col("words"), {"robust": 1.8}))
+    assert "begins" in rules and "ends" in rules
+    words = [["robust"], ["kind", "of", "robust"], ["a", "b", "c", "bus", "stop"], ["x", "bad", "ass", "robust"], ["x", "robust", "bad", "ass"]]
+    lexicon = {"robust": 1.8, "stop": -1.2, "ass": -2.5}
+    df = spark.createDataFrame(list(enumerate(words)), "k int, words array<string>")
+    got = {r["k"]: r["v"] for r in df.select("k", sn.rule_valences(F.col("words"), lexicon).alias("v")).collect()}
+    for k, w in enumerate(words):
+        assert got[k] == pytest.approx(by_hand(w, lexicon)), w
+
+
 def test_many_terms_are_glued_in_one_walk(spark):
     lexicon = {"going concern": -3.5, "going concern basis": -1.0, "material weakness": -3.0, "concern": -0.5}
     got = one(spark, "A Going\n concern, going concern  basis; material weakness. concerned material", sn.join_phrases(X, lexicon)[0])
